@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import dedup, fingerprints, sharding
+from orrery.llm import dedup, fingerprints, langid, mixing, packing, sharding, simhash
 from orrery.llm.common import documents, staged, text_of
 
 
@@ -39,6 +39,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir)).withColumn("law", F.lit("key"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -49,8 +55,28 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.mark(documents(spark, sf_dir)).drop("same_rows")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.take(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op5_fingerprints": op5_fingerprints, "op6_sharding": op6_sharding, "op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op2_packing": op2_packing, "op5_fingerprints": op5_fingerprints, "op6_sharding": op6_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing,
+        "op9_language_id": op9_language_id, "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
