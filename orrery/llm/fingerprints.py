@@ -22,7 +22,7 @@ def _nfkc(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _nfkc(text), F.lit(True))
-    return F.trim(F.regexp_replace(_nfkc(folded), r"[\s\x{85}\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(_nfkc(folded), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+", " "))
 
 
 def digest(canonical_text: Column) -> Column:
@@ -37,8 +37,8 @@ def mixed_digests(rows: DataFrame, digest_col: str, canonical_col: str) -> DataF
 
 
 def exact_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with columns fingerprint and group_size (rows of equal canonical text)."""
-    rows = docs.withColumn("_canonical", canonical(text_of(text_col))).withColumn("_digest", digest(F.col("_canonical")))
+    """`docs` with columns fingerprint and group_size (rows of equal canonical text); columns of these names are replaced."""
+    rows = docs.drop("fingerprint", "group_size").withColumn("_canonical", canonical(text_of(text_col))).withColumn("_digest", digest(F.col("_canonical")))
     mixed = mixed_digests(rows, "_digest", "_canonical")
     told = F.when(F.col("_mixed").isNull(), F.col("_digest")).otherwise(F.concat_ws("-", "_digest", F.sha2("_canonical", 256)))
     marked = rows.join(mixed, F.col("_digest") == F.col("_mixed"), "left").withColumn("fingerprint", told).drop("_canonical", "_digest", "_mixed")
@@ -54,16 +54,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     key = F.col("doc_id")
     ranges = RangeBuckets(docs.select("doc_id"), "doc_id", 4 * partitions(docs.sparkSession))
-    least = docs.agg(F.min("doc_id")).first()[0]
-    last = ranges.count - 1
     bucket = ranges.of(key)
+    begins = [(r["bucket"], r["least"]) for r in docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("least")).orderBy("bucket").collect()]
+    previous = dict(zip([b for b, _ in begins], [None, *(b for b, _ in begins)], strict=False))  # the range before, of those with rows
+    last, least = begins[-1][0] if begins else 0, min((x for _, x in begins if x is not None), default=None)
     own = F.struct(bucket.alias("bucket"), F.lit(0).alias("wraps"), F.lit(False).alias("guest"))
-    begins = F.array(*[F.lit(b).cast("long") for b in ranges.bounds]) if ranges.bounds else F.array().cast("array<long>")
-    earlier = F.struct((bucket - 1).alias("bucket"), F.lit(0).alias("wraps"), F.lit(True).alias("guest"))
+    firsts = F.array(*[F.lit(x).cast("long") for b, x in begins if x is not None and previous[b] is not None]).cast("array<long>")
+    before = F.array(*[F.lit(previous.get(b)).cast("int") for b in range(ranges.count)])
+    earlier = F.struct(F.element_at(before, bucket + 1).alias("bucket"), F.lit(0).alias("wraps"), F.lit(True).alias("guest"))
     around = F.struct(F.lit(last).alias("bucket"), F.lit(1).alias("wraps"), F.lit(True).alias("guest"))
     first = key.isNull() if least is None else key == F.lit(least)
     none = F.array().cast("array<struct<bucket:int,wraps:int,guest:boolean>>")
-    places = F.concat(F.array(own), F.when(F.array_contains(begins, key), F.array(earlier)).otherwise(none), F.when(first, F.array(around)).otherwise(none))
+    places = F.concat(F.array(own), F.when(F.array_contains(firsts, key), F.array(earlier)).otherwise(none), F.when(first, F.array(around)).otherwise(none))
     dealt = docs.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.*")
     order = Window.partitionBy("bucket").orderBy("wraps", F.asc_nulls_last("doc_id"), "text", "guest")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where(~F.col("guest")).drop("bucket", "wraps", "guest")

@@ -79,11 +79,14 @@ class Model:
 
     def __init__(self, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray):
         self.langs, size = langs, len(langs)
-        self.codes, row = np.unique(code, return_inverse=True)
+        tag, low = code >> np.uint64(56), np.uint64((1 << 56) - 1)
+        # contexts get rows as n-grams of one order less, also those (starts of texts) that never end in a coded byte
+        contexts = ((tag - np.uint64(1)) << np.uint64(56) | (code & low) >> np.uint64(8))[tag > 1]
+        self.codes = np.unique(np.concatenate([code, contexts]))
         count = np.zeros((len(self.codes), size))
-        count[row, lang] = n
+        count[np.searchsorted(self.codes, code), lang] = n
         order = (self.codes >> np.uint64(56)).astype(np.int64) - 1
-        body = self.codes & np.uint64((1 << 56) - 1)
+        body = self.codes & low
         self.escape = np.zeros((len(self.codes), size), np.float32)
         log_p = np.zeros((len(self.codes), size))
         with np.errstate(divide="ignore"):
@@ -99,9 +102,7 @@ class Model:
                 if k:
                     lower = np.searchsorted(self.codes, (np.uint64(k) << np.uint64(56)) | (body[at] & np.uint64((1 << (8 * k)) - 1)))
                     shorter = log_p[lower]
-                    holders = np.searchsorted(self.codes, (np.uint64(k) << np.uint64(56)) | heads)
-                    inside = (holders < len(self.codes)) & (self.codes[np.minimum(holders, len(self.codes) - 1)] == ((np.uint64(k) << np.uint64(56)) | heads))
-                    self.escape[holders[inside]] = leave[inside]  # a context of order k is an n-gram of order k - 1
+                    self.escape[np.searchsorted(self.codes, (np.uint64(k) << np.uint64(56)) | heads)] = leave
                 else:
                     shorter = np.full((len(at), size), -np.log(256.0))
                     self.root = leave[0].astype(np.float32) if len(heads) else np.zeros(size, np.float32)

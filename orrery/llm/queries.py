@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import dedup, fingerprints, langid, mixing, packing, sharding, simhash
+from orrery.llm import dedup, fingerprints, langid, lm, mixing, packing, pii, sharding, simhash, toxicity
 from orrery.llm.common import documents, staged, text_of
 
 
@@ -52,7 +52,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.mark(documents(spark, sf_dir)).drop("same_rows")
+    return dedup.mark(documents(spark, sf_dir))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +72,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "added")).alias("spans"))
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    shared, counts = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    scored = lm.score(docs, shared, counts)
+    return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(shared.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, chain).select("doc_id", F.col("_toxicity.score").alias("score"), F.size("_toxicity.spans").alias("n_spans"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_spans")
+
+
 def queries() -> dict:
     return {
-        "op2_packing": op2_packing, "op5_fingerprints": op5_fingerprints, "op6_sharding": op6_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing,
-        "op9_language_id": op9_language_id, "op10_simhash": op10_simhash,
+        "op1_pii": op1_pii, "op2_packing": op2_packing, "op3_language_model": op3_language_model, "op4_toxicity": op4_toxicity, "op5_fingerprints": op5_fingerprints,
+        "op6_sharding": op6_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_simhash": op10_simhash,
     }
 
 
