@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,26 +22,87 @@ from pyspark.sql import types as T
 
 from orrery.llm.common import staged
 
-WINDOW, END_ID, GROUP, CACHE = 4096, 2, 20_000, 300_000
+WINDOW, END_ID, GROUP, CACHE = 4096, 2, 20_000, 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # white space as the tokenizer's normalizer sees it; Python's str.split would also cut at U+001C to U+001F
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+# punctuation that may end a word; not the apostrophe, which the tokenizer may join to letters after it
+_ENDS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
-class WordCache(dict):
-    """Ids of words, as little-endian bytes. The tokenizer drops white space and never joins over it, so a text's ids are its words' ids."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+class WordCache:
+    """Ids of words, as little-endian bytes. The tokenizer drops white space and never joins over it, so a text's ids are its words' ids.
+
+    New words are tokenized together, once each, without the punctuation that ends them (which the tokenizer splits off a letter or
+    digit anyway). Two generations of at most CACHE words are kept, so frequent words outlive the many that occur once.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def __init__(self, tokenizer):
+        from tokenizers.normalizers import ByteLevel
+
+        self.tokenizer, self.model, self.byte_level, self.now, self.old = tokenizer, tokenizer.model, ByteLevel().normalize_str, {}, {}
+        ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        if ids("One two.") != ids("one") + ids("two") + ids("."):
+            raise ValueError("this tokenizer doesn't drop white space and case, so texts can't be tokenized by words")
+        #: Whether lower-case letters go to the model as they are, byte by byte.
+        self.plain = all(ids(w) == self.model_ids(w) for w in ("the", "straße", "élan", "unforeseeable"))
+
+    def model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else self.byte_level(word))]
+
+    def encode(self, words: list[str]) -> None:
+        if self.plain:  # Latin letters in lower case pass the tokenizer's other steps unchanged
+            rest = []
+            for w in words:
+                if w.isalpha() and w.islower() and max(w) <= "ÿ":
+                    self.now[w] = array("I", self.model_ids(w)).tobytes()
+                else:
+                    rest.append(w)
+            words = rest
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            owner = np.array([-1 if x is None else x for x in found.word_ids], np.int64)
+            if (owner < 0).any():  # ids that belong to no given word: one by one
+                self.now.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
+                continue
+            ends = (4 * np.searchsorted(owner, np.arange(1, len(some) + 1))).tolist()
+            start = 0
+            for word, end in zip(some, ends, strict=True):
+                self.now[word] = ids[start:end]
+                start = end
+
+    def fill(self, words: set[str]) -> None:
+        """Make the ids of all `words` known."""
+        if len(self.now) > CACHE:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+
+        def unknown(some) -> list[str]:
+            """Those of `some` that neither generation knows; the old one's are brought over."""
+            out = []
+            for w in some:
+                if w not in now:
+                    ids = old.get(w)
+                    if ids is None:
+                        out.append(w)
+                    else:
+                        now[w] = ids
+            return out
+
+        whole, parts = set(), []
+        for w in unknown(words):
+            core = w.rstrip(_ENDS)
+            if core != w and core and core[-1].isalnum():
+                parts.append((w, core, w[len(core) :]))
+            else:
+                whole.add(w)
+        whole.update(unknown({x for _, core, end in parts for x in (core, end)}))
+        self.encode(sorted(whole))
+        for w, core, end in parts:
+            now[w] = now[core] + now[end]
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -55,8 +116,32 @@ def word_cache(path: str) -> WordCache:
     return _CACHES[path]
 
 
-def token_bytes(text: str, cache: WordCache) -> bytes:
-    return b"".join(map(cache.__getitem__, _SPACES.split(text))) + np.array([END_ID], "<u4").tobytes()
+def words_of(text: str) -> list[str]:
+    """A text's words; in lower case where that can't change what the tokenizer, which finds special tokens, composes and lower-cases in
+    this order, makes of them."""
+    if "<|" in text:
+        return _SPACES.split(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _SPACES.split(text)
+    return _SPACES.split(text.lower())
+
+
+def token_bytes(texts: list[str], cache: WordCache) -> Iterator[bytes]:
+    """Ids of each text with the end id."""
+    end, at = np.array([END_ID], "<u4").tobytes(), 0
+    while at < len(texts):
+        some, filled = [], 0
+        while at < len(texts) and filled < 1 << 22:
+            some.append(words_of(texts[at]))
+            filled += len(texts[at])
+            at += 1
+        cache.fill(set().union(*some) - {""})
+        known = cache.now
+        known[""] = b""
+        for words in some:
+            yield b"".join(map(known.__getitem__, words)) + end
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,8 +153,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_id
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
                 out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = token_bytes(text or "", cache)
+                for doc, ids in zip(part.column(0).to_pylist(), token_bytes([t or "" for t in part.column(1).to_pylist()], cache), strict=True):
                     for at in range(0, len(ids), 4 * window):
                         piece = ids[at : at + 4 * window]
                         for k, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, np.frombuffer(piece, "<u4") if keep_ids else None), strict=True):
@@ -141,14 +225,14 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP, documents:
     groups = max(1, -(-documents // group))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        number = int(frame.pop("_group").iloc[0])
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        where, offset = best_fit_decreasing(frame["length"].to_numpy(), window)
-        return frame.assign(sequence_id=(number << 32) + where, offset=offset)
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        where, offset = best_fit_decreasing(table.column("length").to_numpy(), window)
+        first = table.column("_group")[0].as_py() << 32
+        return table.drop_columns("_group").append_column("sequence_id", pa.array(first + where)).append_column("offset", pa.array(offset))
 
     grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return grouped.groupBy("_group").applyInPandas(fit, schema)
+    return grouped.groupBy("_group").applyInArrow(fit, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
