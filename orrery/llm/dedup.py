@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import fresh_path, partitions, skew_safe_left_join, staged, text_of
 
-INDEX_SCHEMA = "digest string, keep_id long, group_size long, same_rows long, batch string"
+INDEX_SCHEMA = "digest string, keep_id long, group_size long, batch string"
 
 
 class DigestIndex:
@@ -43,23 +43,21 @@ class DigestIndex:
 def add_batch(docs: DataFrame, index: DigestIndex) -> str:
     """Append what is new in `docs(doc_id, digest)` to the index; the batch's name."""
     batch = uuid.uuid4().hex
-    rows = docs.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("same_rows"))
-    groups = rows.groupBy("digest").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("same_rows").alias("group_size"), F.coalesce(F.max_by("same_rows", "doc_id"), F.max("same_rows")).alias("same_rows")
-    )
+    # staged, as the planner would else push the anti-join below the aggregation and shuffle every row of a group of copies
+    groups = staged(docs.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     fresh = groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti")
     index.append(fresh.withColumn("batch", F.lit(batch)))
     return batch
 
 
 def mark(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, same_rows (rows of the batch equal to the kept one)."""
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
     index = index or DigestIndex(docs.sparkSession)
     light = staged(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest")), "dedup-digests")
     batch = add_batch(light, index)
     joined = skew_safe_left_join(light, index.read(), "digest", "group_size")
     return joined.select(
-        "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"), "same_rows"
+        "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
@@ -68,8 +66,9 @@ def keep(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_i
     index = index or DigestIndex(docs.sparkSession)
     light = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest"))
     batch = add_batch(light, index)
-    winners = index.read().where(F.col("batch") == batch).select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"), "same_rows")
+    winners = index.read().where(F.col("batch") == batch).select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"))
     here = docs.withColumn("_row_digest", F.sha2(text_of(text_col), 256))
-    single = here.join(winners.where("same_rows = 1"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest")), "left_semi")
-    repeated = here.join(winners.where("same_rows > 1"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest")), "left_semi")
-    return single.unionByName(repeated.dropDuplicates([id_col, "_row_digest"])).drop("_row_digest")
+    kept = here.join(winners, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest")), "left_semi")
+    if not light.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():  # rows that repeat: texts go through one more shuffle
+        kept = kept.dropDuplicates([id_col, "_row_digest"])
+    return kept.drop("_row_digest")
