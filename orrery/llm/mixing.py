@@ -117,7 +117,8 @@ def taken_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Placed documents, sources, and pieces with `times`, how often the mix takes their block."""
     rows = placed(docs)
     sources = staged(targets(rows), "mix-targets")
-    times = slots(sources).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
+    # the planner takes what is exploded from the few sources for small: never broadcast the slots
+    times = slots(sources).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     return rows, sources, pieces(rows).join(times, ["skey", "block"], "left").fillna(0, ["times"])
 
 
@@ -135,7 +136,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """The mix itself: shard, skey, pass, block and the documents' pieces in it (doc_id, first word, words), joined by index."""
     rows = placed(docs)
     own = pieces(rows)
-    return slots(staged(targets(rows), "mix-targets")).join(own, ["skey", "block"])
+    return own.join(slots(staged(targets(rows), "mix-targets")).hint("merge"), ["skey", "block"]).select("shard", "skey", "pass", "block", "doc_id", "start", "words")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
