@@ -95,6 +95,8 @@ def slots(sources: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
     so_far = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_SHARDS rows
     ranges = counts.withColumn("first", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where("n > 0")
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
+    # as many tasks as a shuffle has: few rows become many here, and the planner would else put them into one
+    ranges = ranges.repartition(partitions(sources.sparkSession), "shard", "skey")
     each = ranges.withColumn("blocks", blocks).withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     exact = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products of two block counts pass the range of long
     turn = F.pmod(F.xxhash64(F.lit(seed), "skey"), F.lit(len(PRIMES))).cast("int")
