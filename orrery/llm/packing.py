@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from orrery.llm.common import staged
 
-WINDOW, END_ID, GROUP, CACHE = 4096, 2, 20_000, 400_000
+WINDOW, END_ID, GROUP, CACHE = 4096, 2, 20_000, 250_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # white space as the tokenizer's normalizer sees it; Python's str.split would also cut at U+001C to U+001F
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -133,7 +133,7 @@ def token_bytes(texts: list[str], cache: WordCache) -> Iterator[bytes]:
     end, at = np.array([END_ID], "<u4").tobytes(), 0
     while at < len(texts):
         some, filled = [], 0
-        while at < len(texts) and filled < 1 << 22:
+        while at < len(texts) and filled < 1 << 21:
             some.append(words_of(texts[at]))
             filled += len(texts[at])
             at += 1
@@ -150,8 +150,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer_path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
                 out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 for doc, ids in zip(part.column(0).to_pylist(), token_bytes([t or "" for t in part.column(1).to_pylist()], cache), strict=True):
                     for at in range(0, len(ids), 4 * window):

@@ -68,7 +68,7 @@ def simhash(raw: bytes, size: int = SHINGLE) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprint(text: pa.Array) -> pa.Array:
-    prints = [simhash(x or b"") for x in text.cast(pa.binary()).to_pylist()]
+    prints = [simhash(x.as_py() or b"") for x in text.cast(pa.binary())]  # one text at a time
     return pa.array(np.array(prints, np.uint64).view(np.int64))
 
 
