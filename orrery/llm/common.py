@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import tempfile
 import uuid
 
@@ -51,11 +50,13 @@ def text_of(col: str | Column = "text") -> Column:
 class RangeBuckets:
     """Buckets of neighbouring long keys, about equally full, found from quantiles of the keys alone.
 
-    The bounds are keys that occur, so the first row of bucket b > 0 has the key `bounds[b - 1]`. Null keys fall into the last bucket.
+    At most `MOST` of them, as the bounds are literals of the plan. Null keys fall into the last bucket.
     """
 
+    MOST = 20_000
+
     def __init__(self, df: DataFrame, key: str, count: int):
-        count = max(1, count)
+        count = max(1, min(count, self.MOST))
         found = df.approxQuantile(key, [i / count for i in range(count)], 1 / (4 * count)) if count > 1 else []
         # approxQuantile works on doubles; whatever rounding does to a bound, comparing with `>=` keeps buckets ordered
         self.bounds = sorted({int(x) for x in found})[1:]
@@ -75,9 +76,6 @@ class RangeBuckets:
         inside = F.size(F.filter(F.element_at(F.array(*map(array, runs)), F.greatest(run, F.lit(1))), lambda x: x <= key))
         return F.when(key.isNull(), F.lit(len(self.bounds))).otherwise(F.when(run == 0, 0).otherwise((run - 1) * step + inside))
 
-    def index(self, key: int) -> int:
-        return bisect.bisect_right(self.bounds, key)
-
 
 def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """`rows` left join `groups` on `key`, one group row a key, where single keys may hold any share of the rows.

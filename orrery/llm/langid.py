@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_ORDER, SAMPLE_BYTES, TOTAL_BYTES, CHUNK = 3, 1_000_000, 32_000_000, 1 << 20
+MAX_ORDER, SAMPLE_BYTES, TOTAL_BYTES, CHUNK, ROWS = 3, 1_000_000, 32_000_000, 1 << 18, 500
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,12 +63,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(rows: DataFrame) -> DataFrame:
     """The bounded training sample of `rows(doc_id, lang, text)`: whole documents of each language in order of a hash of the id."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("bytes", F.octet_length("text").cast("long"))
-    totals = rows.groupBy("lang").agg(F.sum("bytes").alias("total"))
+    totals = rows.groupBy("lang").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n"))
     share = max(1, min(SAMPLE_BYTES, TOTAL_BYTES // max(1, totals.count())))
     rank = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11) / F.lit(float(2**53))
-    # about four times the share a language passes this filter; only ids and sizes go through the running sum
+    # about four times the share and 64 documents a language pass this filter; only their ids and sizes go through the running sum
     near = rows.select("doc_id", F.col("lang").alias("_lang"), "bytes", rank.alias("rank")).join(F.broadcast(totals.withColumnRenamed("lang", "_lang")), "_lang")
-    near = near.where(F.col("rank") < F.lit(4.0 * share) / F.col("total") + F.lit(64.0) * F.lit(1e-6)).select("_lang", "doc_id", "rank", "bytes")
+    near = near.where(F.col("rank") < F.lit(4.0 * share) / F.col("total") + F.lit(64.0) / F.col("n")).select("_lang", "doc_id", "rank", "bytes")
     upto = Window.partitionBy("_lang").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     chosen = near.withColumn("before", F.coalesce(F.sum("bytes").over(upto), F.lit(0))).where((F.col("before") + F.col("bytes") <= share) | (F.col("before") == 0))
     return rows.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "_lang")), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text")
@@ -220,7 +220,8 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(text: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(text.to_pylist())
+        parts = [shared.value.predict(text[at : at + ROWS].to_pylist()) for at in range(0, len(text), ROWS)]  # few texts at once
+        names, scores = [n for part, _ in parts for n in part], [x for _, part in parts for x in part]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict.asNondeterministic()  # so that no plan evaluates it twice
