@@ -11,15 +11,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(use: Callable[..., Column], *values: Column) -> Column:
+    """`use` of values that are evaluated once each, however often it names them: without this, nested expressions multiply."""
+    named = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(named), lambda s: use(*[s[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def tensor(shape: Column, data: Column) -> Column:
     """Raises unless the shape holds as many cells as there are."""
-    cells = F.aggregate(shape, F.lit(1), lambda a, d: a * d)
-    checked = F.when(cells == F.size(data), shape).otherwise(F.raise_error(F.lit("shape and cells differ")).cast("array<int>"))
-    return F.struct(checked.alias("shape"), F.transform(data, lambda x: x.cast("double")).alias("data"))
+
+    def checked(shape: Column, data: Column) -> Column:
+        cells = F.aggregate(shape, F.lit(1), lambda a, d: a * d)
+        good = F.when(cells == F.size(data), shape).otherwise(F.raise_error(F.lit("shape and cells differ")).cast("array<int>"))
+        return F.struct(good.alias("shape"), F.transform(data, lambda x: x.cast("double")).alias("data"))
+
+    return let(checked, shape, data)
 
 
 def vec(data: Column) -> Column:
-    return tensor(F.array(F.size(data)), data)
+    return let(lambda d: F.struct(F.array(F.size(d)).alias("shape"), F.transform(d, lambda x: x.cast("double")).alias("data")), data)
 
 
 def mat(data: Column, rows: int, columns: int) -> Column:
@@ -51,11 +61,15 @@ def eye(n: int) -> Column:
 
 def index(t: Column, *at: int) -> Column:
     """One cell; raises outside the bounds."""
-    offset, inside = F.lit(0), F.size(t["shape"]) == len(at)
-    for d, i in enumerate(at):
-        offset = offset * t["shape"][d] + i
-        inside = inside & (F.lit(i) >= 0) & (F.lit(i) < t["shape"][d])
-    return F.when(inside, F.element_at(t["data"], offset + 1)).otherwise(F.raise_error(F.lit("index out of bounds")).cast("double"))
+
+    def cell(t: Column) -> Column:
+        offset, inside = F.lit(0), F.size(t["shape"]) == len(at)
+        for d, i in enumerate(at):
+            offset = offset * F.get(t["shape"], F.lit(d)) + i
+            inside = inside & (F.lit(i) >= 0) & (F.lit(i) < F.get(t["shape"], F.lit(d)))
+        return F.when(inside, F.element_at(t["data"], offset + 1)).otherwise(F.raise_error(F.lit("index out of bounds")).cast("double"))
+
+    return let(cell, t)
 
 
 def reshape(t: Column, *shape: int) -> Column:
@@ -66,7 +80,7 @@ def block(t: Column, starts: list[int], lengths: list[int]) -> Column:
     """An n-d slice: cells whose every coordinate lies in its range."""
     rank = len(starts)
 
-    def inside(i: Column) -> Column:
+    def inside(t: Column, i: Column) -> Column:
         ok, rest = F.lit(True), i
         for d in range(rank - 1, -1, -1):
             c = rest % t["shape"][d]
@@ -74,28 +88,39 @@ def block(t: Column, starts: list[int], lengths: list[int]) -> Column:
             rest = F.floor(rest / t["shape"][d]).cast("int")
         return ok
 
-    return tensor(F.array(*map(F.lit, lengths)), F.filter(t["data"], lambda x, i: inside(i)))
+    return let(lambda t: tensor(F.array(*map(F.lit, lengths)), F.filter(t["data"], lambda x, i: inside(t, i))), t)
 
 
 def each(t: Column, f: Callable[[Column], Column]) -> Column:
-    return F.struct(t["shape"].alias("shape"), F.transform(t["data"], f).alias("data"))
+    return let(lambda t: F.struct(t["shape"].alias("shape"), F.transform(t["data"], f).alias("data")), t)
 
 
 def broadcasted(a: Column, b: Column, op: Callable[[Column, Column], Column]) -> Column:
     """Element by element, shapes aligned at their last axes; an axis of length 1 repeats. Raises if axes differ otherwise."""
-    rank = F.greatest(F.size(a["shape"]), F.size(b["shape"]))
-    padded = lambda t: F.concat(F.array_repeat(F.lit(1), rank - F.size(t["shape"])), t["shape"])
-    shape = F.zip_with(padded(a), padded(b), lambda x, y: F.when((x == y) | (y == 1), x).when(x == 1, y).otherwise(F.raise_error(F.lit("shapes don't match")).cast("int")))
 
-    def offset(flat: Column, own: Column) -> Column:
+    def padded(t: Column, rank: Column) -> Column:
+        return F.concat(F.array_repeat(F.lit(1), rank - F.size(t["shape"])), t["shape"])
+
+    def joined(x: Column, y: Column) -> Column:
+        return F.when((x == y) | (y == 1), x).when(x == 1, y).otherwise(F.raise_error(F.lit("shapes don't match")).cast("int"))
+
+    def place(flat: Column, shape: Column, own: Column) -> Column:
         start = F.struct(flat.cast("int").alias("rest"), F.lit(1).alias("stride"), F.lit(0).alias("at"))
         axes = F.reverse(F.zip_with(shape, own, lambda s, o: F.struct(s.alias("s"), o.alias("o"))))
         step = lambda acc, x: F.struct(F.floor(acc["rest"] / x["s"]).cast("int").alias("rest"), (acc["stride"] * x["o"]).alias("stride"), (acc["at"] + F.when(x["o"] == 1, 0).otherwise(acc["rest"] % x["s"]) * acc["stride"]).alias("at"))
         return F.aggregate(axes, start, step)["at"]
 
-    n = F.aggregate(shape, F.lit(1), lambda x, d: x * d)
-    data = F.transform(F.sequence(F.lit(0), n - 1), lambda i: op(F.element_at(a["data"], offset(i, padded(a)) + 1), F.element_at(b["data"], offset(i, padded(b)) + 1)))
-    return F.struct(shape.alias("shape"), F.when(n > 0, data).otherwise(F.array().cast("array<double>")).alias("data"))
+    def cells(a: Column, b: Column, pa: Column, pb: Column, shape: Column) -> Column:
+        n = F.aggregate(shape, F.lit(1), lambda x, d: x * d)
+        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        data = F.transform(every, lambda i: op(F.element_at(a["data"], place(i, shape, pa) + 1), F.element_at(b["data"], place(i, shape, pb) + 1)))
+        return F.struct(shape.alias("shape"), data.alias("data"))
+
+    def shaped(a: Column, b: Column) -> Column:
+        rank = F.greatest(F.size(a["shape"]), F.size(b["shape"]))
+        return let(lambda pa, pb: let(lambda shape: cells(a, b, pa, pb, shape), F.zip_with(pa, pb, joined)), padded(a, rank), padded(b, rank))
+
+    return let(shaped, a, b)
 
 
 def total(t: Column) -> Column:
@@ -103,15 +128,16 @@ def total(t: Column) -> Column:
 
 
 def _poisoned(t: Column, c: Column) -> Column:
+    """NaN if a cell is NaN; raises on an empty tensor."""
     return F.when(F.exists(t["data"], F.isnan), F.lit(float("nan"))).when(F.size(t["data"]) == 0, F.raise_error(F.lit("empty tensor")).cast("double")).otherwise(c)
 
 
 def least(t: Column) -> Column:
-    return _poisoned(t, F.array_min(t["data"]))
+    return let(lambda t: _poisoned(t, F.array_min(t["data"])), t)
 
 
 def most(t: Column) -> Column:
-    return _poisoned(t, F.array_max(t["data"]))
+    return let(lambda t: _poisoned(t, F.array_max(t["data"])), t)
 
 
 def norm(t: Column) -> Column:
@@ -119,53 +145,59 @@ def norm(t: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a["data"], b["data"], lambda x, y: x * y)
-    return F.when(a["shape"] == b["shape"], F.aggregate(products, F.lit(0.0), lambda s, x: s + x)).otherwise(F.raise_error(F.lit("lengths differ")).cast("double"))
+    summed = lambda a, b: F.aggregate(F.zip_with(a["data"], b["data"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return let(lambda a, b: F.when(a["shape"] == b["shape"], summed(a, b)).otherwise(F.raise_error(F.lit("lengths differ")).cast("double")), a, b)
 
 
 def matmul(a: Column, b: Column) -> Column:
     """Of two matrices in one row."""
-    n, k, m = a["shape"][0], a["shape"][1], b["shape"][1]
-    cell = lambda i: F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0.0), lambda s, j: s + F.element_at(a["data"], (F.floor(i / m) * k + j + 1).cast("int")) * F.element_at(b["data"], (j * m + i % m + 1).cast("int")))
-    return F.struct(F.array(n, m).alias("shape"), F.transform(F.sequence(F.lit(0), n * m - 1), cell).alias("data"))
+
+    def cells(a: Column, b: Column) -> Column:
+        n, k, m = a["shape"][0], a["shape"][1], b["shape"][1]
+        cell = lambda i: F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0.0), lambda s, j: s + F.element_at(a["data"], (F.floor(i / m) * k + j + 1).cast("int")) * F.element_at(b["data"], (j * m + i % m + 1).cast("int")))
+        return F.struct(F.array(n, m).alias("shape"), F.transform(F.sequence(F.lit(0), n * m - 1), cell).alias("data"))
+
+    return let(cells, a, b)
 
 
 def transpose(t: Column) -> Column:
-    n, m = t["shape"][0], t["shape"][1]
-    return F.struct(F.array(m, n).alias("shape"), F.transform(F.sequence(F.lit(0), n * m - 1), lambda i: F.element_at(t["data"], ((i % n) * m + F.floor(i / n) + 1).cast("int"))).alias("data"))
+    def cells(t: Column) -> Column:
+        n, m = t["shape"][0], t["shape"][1]
+        return F.struct(F.array(m, n).alias("shape"), F.transform(F.sequence(F.lit(0), n * m - 1), lambda i: F.element_at(t["data"], ((i % n) * m + F.floor(i / n) + 1).cast("int"))).alias("data"))
+
+    return let(cells, t)
 
 
 def trace(t: Column) -> Column:
-    n = t["shape"][0]
-    return F.aggregate(F.filter(t["data"], lambda x, i: i % (n + 1) == 0), F.lit(0.0), lambda a, x: a + x)
+    return let(lambda t: F.aggregate(F.filter(t["data"], lambda x, i: i % (t["shape"][0] + 1) == 0), F.lit(0.0), lambda a, x: a + x), t)
 
 
 def cross(a: Column, b: Column) -> Column:
-    x, y = a["data"], b["data"]
-    return vec(F.array(x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]))
+    return let(lambda x, y: vec(F.array(x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0])), a["data"], b["data"])
 
 
 def det(t: Column, n: int) -> Column:
     """Of an n x n tensor, n <= 3, as one expression."""
-    x = t["data"]
-    if n == 1:
-        return x[0]
-    if n == 2:
-        return x[0] * x[3] - x[1] * x[2]
-    if n == 3:
-        return x[0] * (x[4] * x[8] - x[5] * x[7]) - x[1] * (x[3] * x[8] - x[5] * x[6]) + x[2] * (x[3] * x[7] - x[4] * x[6])
-    raise ValueError("larger determinants: orrery.operators.tensor.determinants")
+    if n not in (1, 2, 3):
+        raise ValueError("larger determinants: orrery.operators.tensor.determinants")
+    forms = {
+        1: lambda x: x[0],
+        2: lambda x: x[0] * x[3] - x[1] * x[2],
+        3: lambda x: x[0] * (x[4] * x[8] - x[5] * x[7]) - x[1] * (x[3] * x[8] - x[5] * x[6]) + x[2] * (x[3] * x[7] - x[4] * x[6]),
+    }
+    return let(forms[n], t["data"])
 
 
 def inverse(t: Column, n: int) -> Column:
     """1 x 1 and 2 x 2; raises on a singular matrix."""
-    d, x = det(t, n), t["data"]
-    safe = F.when(d == 0, F.raise_error(F.lit("singular matrix")).cast("double")).otherwise(d)
-    if n == 1:
-        return mat(F.array(1 / safe), 1, 1)
-    if n == 2:
-        return mat(F.array(x[3] / safe, -x[1] / safe, -x[2] / safe, x[0] / safe), 2, 2)
-    raise ValueError("only 1 x 1 and 2 x 2 matrices")
+    if n not in (1, 2):
+        raise ValueError("only 1 x 1 and 2 x 2 matrices")
+
+    def cells(x: Column, d: Column) -> Column:
+        safe = F.when(d == 0, F.raise_error(F.lit("singular matrix")).cast("double")).otherwise(d)
+        return let(lambda s: mat(F.array(1 / s) if n == 1 else F.array(x[3] / s, -x[1] / s, -x[2] / s, x[0] / s), n, n), safe)
+
+    return let(cells, t["data"], det(t, n))
 
 
 def to_integers(t: Column) -> Column:

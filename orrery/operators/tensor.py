@@ -120,12 +120,15 @@ def q_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Determinants, inverse, trace, cross product, transpose and product of small matrices cut from each vector."""
-    m2, m3 = A.mat(F.slice("v", 1, 4), 2, 2), A.mat(F.col("v"), 3, 3)
-    safe = A.broadcasted(m2, A.mat(F.array(*map(F.lit, (3.0, 0.0, 0.0, 3.0))), 2, 2), lambda x, y: x + y)
-    c = A.cross(A.vec(F.slice("v", 1, 3)), A.vec(F.slice("v", 4, 3)))
-    p = A.matmul(m3, A.transpose(m3))
-    named = {"det2": A.det(m2, 2), "det3": A.det(m3, 3), "inv00": A.index(A.inverse(safe, 2), 0, 0), "inv01": A.index(A.inverse(safe, 2), 0, 1), "trace": A.trace(m3), "cross0": A.index(c, 0), "cross2": A.index(c, 2), "product01": A.index(p, 0, 1), "product22": A.index(p, 2, 2)}
-    return _v(spark, sf_dir, 9).select("vec_id", *(F.round(x, 6).alias(n) for n, x in named.items()))
+    shift = A.mat(F.array(*map(F.lit, (3.0, 0.0, 0.0, 3.0))), 2, 2)
+    t = _v(spark, sf_dir, 9).select("vec_id", "v", A.mat(F.slice("v", 1, 4), 2, 2).alias("m2"), A.mat(F.col("v"), 3, 3).alias("m3"))
+    t = t.select(
+        "vec_id", "m2", "m3", A.inverse(A.broadcasted(F.col("m2"), shift, lambda x, y: x + y), 2).alias("inv"), A.cross(A.vec(F.slice("v", 1, 3)), A.vec(F.slice("v", 4, 3))).alias("c"),
+        A.matmul(F.col("m3"), A.transpose(F.col("m3"))).alias("p"),
+    )
+    cell = lambda name, *at: A.index(F.col(name), *at)
+    named = {"det2": A.det(F.col("m2"), 2), "det3": A.det(F.col("m3"), 3), "inv00": cell("inv", 0, 0), "inv01": cell("inv", 0, 1), "trace": A.trace(F.col("m3")), "cross0": cell("c", 0), "cross2": cell("c", 2), "product01": cell("p", 0, 1), "product22": cell("p", 2, 2)}
+    return t.select("vec_id", *(F.round(x, 6).alias(n) for n, x in named.items()))
 
 
 def q_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; times without a zone are read as times of the session's zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
 def series(df: DataFrame, keys: list[str], order: list[str], value: str | Column, name: str = "x") -> DataFrame:
