@@ -31,9 +31,13 @@ def digest(canonical_text: Column) -> Column:
 
 
 def mixed_digests(rows: DataFrame, digest_col: str, canonical_col: str) -> DataFrame:
-    """Digests that stand for more than one canonical text (128 bits: practically none): smallest and largest bytes differ."""
-    groups = rows.groupBy(digest_col).agg(F.min(canonical_col).alias("a"), F.max(canonical_col).alias("b"))
-    return groups.where("a != b").select(F.col(digest_col).alias("_mixed"))
+    """Digests that stand for more than one canonical text (128 bits: practically none).
+
+    Texts of a digest are compared byte by byte as a set, before and after the shuffle, so each distinct text is sent once a task and a
+    group of copies of any size stays one text.
+    """
+    groups = rows.groupBy(digest_col).agg(F.size(F.collect_set(canonical_col)).alias("kinds"))
+    return groups.where("kinds > 1").select(F.col(digest_col).alias("_mixed"))
 
 
 def exact_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
