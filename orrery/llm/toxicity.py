@@ -104,17 +104,28 @@ def runs(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def seed_words(texts: list[set[str]], toxic: np.ndarray) -> tuple[set[str], set[str]]:
-    """Words and prefixes that mark tokens toxic: in at least 4 toxic documents, and at least 20 times as often there as elsewhere."""
+    """Words and prefixes that mark tokens toxic: in at least 4 toxic documents and 1 % of them, and at least 20 times as often there as
+    elsewhere."""
     out = []
     for kind in (lambda w: w, lambda w: w[:PREFIX] if len(w) > PREFIX else ""):
         inside, outside = Counter(), Counter()
         for words, y in zip(texts, toxic, strict=True):
             (inside if y else outside).update({kind(w) for w in words} - {""})
         a, b = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-        out.append({w for w, c in inside.items() if c >= 4 and (c / a) >= 20 * (outside[w] + 0.1) / b})
+        out.append({w for w, c in inside.items() if c >= max(4, 0.01 * a) and (c / a) >= 20 * (outside[w] + 0.25) / b})
     return out[0], out[1]
 
 
+def one_of_copies(ids: list[np.ndarray]) -> list[int]:
+    """Places of documents to learn words from: one of those that share their least word-pair hash, as near copies nearly always do. A
+    copied document's words would else look like marks of its label."""
+    seen: dict[int, int] = {}
+    for i, x in enumerate(ids):
+        pairs = x[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (x[1:].astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        seen.setdefault(int((pairs * np.uint64(0x94D049BB133111EB)).min()) if len(pairs) else -1 - i, i)
+    return sorted(seen.values())
+
+
 def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate: float = 0.3) -> Chain:
     """`share`: of toxic documents among all labelled ones."""
     chain = Chain()
@@ -124,7 +135,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     order: dict[str, int] = {}
     ids = [np.array([order.setdefault(bare(t), len(order)) for t in tokens(x)], np.int64) for x in texts]
     words = list(order)
-    plain, starts = seed_words([{words[i] for i in set(x.tolist())} for x in ids], toxic)
+    some = one_of_copies(ids)
+    plain, starts = seed_words([{words[i] for i in set(ids[k].tolist())} for k in some], toxic[some])
     marked = np.array([w in plain or (len(w) > PREFIX and w[:PREFIX] in starts) for w in words], bool)
     rows = [features(w) for w in words]
     width = max(map(len, rows))
