@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WIDE = "decimal(38,0)"
 #: Steps that Euclid's algorithm may need for numbers of 38 digits.
 EUCLID = 185
+SOON = 16
 
 
 def wide(c: Column) -> Column:
@@ -76,7 +77,9 @@ def divide(a: Column, b: Column) -> Column:
 def gcd(a: Column, b: Column) -> Column:
     pair = F.struct(F.abs(wide(a)).cast(WIDE).alias("a"), F.abs(wide(b)).cast(WIDE).alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(WIDE).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(EUCLID)), pair, step)["a"]
+    run = lambda p, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), p, step)
+    # most pairs are done after few steps; the others go on
+    return F.transform(F.array(run(pair, SOON)), lambda p: F.when(p["b"] == 0, p["a"]).otherwise(run(p, EUCLID - SOON)["a"]))[0]
 
 
 def rational(num: Column, den: Column) -> Column:
