@@ -29,6 +29,8 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 DIGIT_RUN = r"[0-9][0-9\x20-]{10,}+"
+#: What every run of 12 digits or more with single separators holds.
+CARD_LENGTH = r"[0-9](?:[\x20-]?[0-9]){11}"
 LOOSE_EMAIL = r"(?i)\b[a-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[a-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[a-z]{2,12}\b"
 LOOSE_PHONE = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 #: Fixed values.
@@ -92,7 +94,7 @@ def card_runs(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array(kind, start, end, s, base): all candidates of a text, base ones marked."""
-    has_digit, none = F.regexp_like(text, F.lit("[0-9]{3}")), F.array().cast(_SPAN)
+    none = F.array().cast(_SPAN)
     guarded = lambda test, spans: F.when(test, spans).otherwise(none)
     kind = lambda name, spans, base: F.transform(spans, lambda x: F.struct(F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), base(x["s"]).alias("base")))
     ips = F.filter(guarded(F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), matches(text, IP)), lambda x: F.forall(F.split(x["s"], r"\."), in_byte))
@@ -101,10 +103,10 @@ def candidates(text: Column) -> Column:
     return F.concat(
         kind("email", guarded(F.contains(text, F.lit("@")), matches(text, EMAIL)), yes),
         kind("ip", ips, yes),
-        kind("card", guarded(has_digit, card_runs(text)), lambda s: luhn(digits(s))),
+        kind("card", guarded(F.regexp_like(text, F.lit(CARD_LENGTH)), card_runs(text)), lambda s: luhn(digits(s))),
         kind("phone", phones, yes),
         kind("email", guarded(F.regexp_like(text, F.lit(r"(?i)[(\[\x20]dot[)\]\x20]")), matches(text, LOOSE_EMAIL)), no),
-        kind("phone", guarded(has_digit, matches(text, LOOSE_PHONE)), no),
+        kind("phone", guarded(F.regexp_like(text, F.lit("[0-9]{3}")), matches(text, LOOSE_PHONE)), no),
     )
 
 

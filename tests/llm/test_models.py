@@ -316,6 +316,15 @@ def test_base_spans_match_brute_force(spark, odd, none):
     assert pii.find(none).count() == 0
 
 
+def test_cards_grouped_by_ones_and_twos(spark):
+    digits = "4111111111111111"
+    texts = [f"pay {sep.join(digits[i : i + n] for i in range(0, 16, n))} now" for n in (1, 2) for sep in (" ", "-")]
+    texts += [f"a {t} b  {t}" for t in texts] + ["41 11 11 11 11 1", "pay 41 11 11  11 11 11 11 11", "41 11 11 11 11 11 11 12"]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: sorted(spans) for i, spans in got.items()} == {i: sorted(brute_base(t)) for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(8)] == [1, 1, 1, 1, 2, 2, 2, 2]
+
+
 def test_added_spans(spark):
     rows = [(i, f"filler {i} please call 415-555-{1000 + i} or phone +1 (212) 555-{1000 + i} today") for i in range(40)]
     rows += [(100 + i, f"plain text number {i} without anything") for i in range(40)]
