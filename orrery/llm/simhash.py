@@ -35,9 +35,9 @@ PART = 1 << 22
 _CHOICES = list(combinations(range(8), 8 - MAX_BITS))
 
 
-def shingle_counts(raw: bytes, size: int = SHINGLE) -> tuple[np.ndarray, int]:
-    """How many shingle hashes set each of the 64 bits, and the number of shingles; long texts in parts that overlap by size - 1 words."""
-    counts, total, kept, at = np.zeros(64, np.int64), 0, [], 0
+def shingle_hashes(raw: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles; long texts in parts that overlap by size - 1 words."""
+    found, kept, at = False, [], 0
     while at < len(raw) or at == 0:
         end = at + PART
         while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
@@ -46,18 +46,22 @@ def shingle_counts(raw: bytes, size: int = SHINGLE) -> tuple[np.ndarray, int]:
         last = end >= len(raw)
         if len(words) >= size:
             n = len(words) - size + 1
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(size)))), repeat(SEED)), np.uint64, n)
-        elif last and not total and words:
-            n, hashes = 1, np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-        else:
-            n = 0
-        if n:
-            counts += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            total += n
+            yield np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(size)))), repeat(SEED)), np.uint64, n)
+            found = True
+        elif last and not found and words:
+            yield np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
         kept = words[-(size - 1) :] if size > 1 else []
         at = end
         if last:
             break
+
+
+def shingle_counts(raw: bytes, size: int = SHINGLE) -> tuple[np.ndarray, int]:
+    """How many shingle hashes set each of the 64 bits, and the number of shingles."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(raw, size):
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(hashes)
     return counts, total
 
 
@@ -210,14 +214,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: a row per row of `docs`."""
-    prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp, least (doc_id), n (rows), root (the fingerprint that names the component): a staged row per fingerprint of `prints(doc_id, fp)`."""
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     lists = nodes.select("fp").mapInArrow(_postings, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     roots = components(lists.mapInArrow(_links, "hi long, lo long"))
-    rooted = staged(nodes.join(roots, F.col("fp") == F.col("hi"), "left").select("fp", "least", "n", F.coalesce("lo", "fp").alias("root")), "simhash-roots")
-    groups = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "simhash-groups")
-    named = staged(skew_safe_left_join(rooted.select("fp", "n", "root"), groups, "root", "nodes").select("fp", "n", "component_id"), "simhash-named")
+    return staged(nodes.join(roots, F.col("fp") == F.col("hi"), "left").select("fp", "least", "n", F.coalesce("lo", "fp").alias("root")), "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: a row per row of `docs`."""
+    prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
+    roots = rooted(prints)
+    groups = staged(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "simhash-groups")
+    named = staged(skew_safe_left_join(roots.select("fp", "n", "root"), groups, "root", "nodes").select("fp", "n", "component_id"), "simhash-named")
     joined = skew_safe_left_join(prints, named, "fp", "n")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
-from orrery.llm import langid, lm, packing, pii, simhash, toxicity
+from orrery.llm import langid, lm, nearcopies, packing, pii, simhash, toxicity
 from orrery.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -150,6 +150,43 @@ def test_near_duplicates_match_brute_force(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_copies(texts):
+    """The smallest place of each text's group, linked by 3 bits of SimHash or five-word similarity of 0.8."""
+    prints, sets, label = [brute_simhash(t) for t in texts], [], list(range(len(texts)))
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    for i, j in combinations(range(len(texts)), 2):
+        shared = len(sets[i] & sets[j])
+        if label[i] != label[j] and ((prints[i] ^ prints[j]).bit_count() <= 3 or (shared and 10 * shared >= 8 * len(sets[i] | sets[j]))):
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_near_copies_match_brute_force(spark, odd, none):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(260):
+        words = invented("aa", 100, i % 40 if i < 160 else 7).split()
+        for at in rng.integers(0, 100, i % 7):
+            words[at] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    words = invented("bb", 60, 9).split()
+    rows += [(1000 + i, " ".join(words[i : i + 40])) for i in range(0, 20, 2)] + [(1100, "four words are here"), (1101, "Four  words are here"), (1102, "four words are there")]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), odd):
+        texts = docs.collect()
+        label = brute_copies([r["text"] for r in texts])
+        least = {}
+        for r, root in zip(texts, label, strict=True):
+            if r["doc_id"] is not None:
+                least[root] = min(least.get(root, r["doc_id"]), r["doc_id"])
+        got = nearcopies.near_copies(docs).collect()
+        assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r["doc_id"], least.get(root)) for r, root in zip(texts, label, strict=True))
+    assert nearcopies.near_copies(none).count() == 0
+
+
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(100)] + [(501, 500)], "hi long, lo long")
     assert {(r["hi"], r["lo"]) for r in simhash.components(links).collect()} == {(i + 1, 0) for i in range(100)} | {(501, 500)}
