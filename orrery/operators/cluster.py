@@ -249,7 +249,7 @@ def responsibilities(points: DataFrame, value: str, key: str, model: Mixture) ->
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
 
 
 def q_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,9 @@ FIXED = KMeans(np.array([[-0.1, -0.1, -0.1, -0.1], [0.1, -0.1, 0.1, -0.1], [0.1,
 
 
 def q_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(_points(spark, sf_dir), "v", FIXED).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+    """The first four components, for which the centers and the SQL are written."""
+    points = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    return assign(points, "v", FIXED).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
 def _far(c) -> str:
@@ -273,10 +275,23 @@ ASSIGN_SQL = f"""WITH d AS (SELECT vec_id, {", ".join(f"{_far(c)} AS d{i}" for i
 SELECT vec_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster, round(least(d0, d1, d2), 6) AS distance FROM d"""
 
 
+WIDE = KMeans(np.array([np.full(64, -0.1), np.resize([0.1, -0.1], 64), np.full(64, 0.1)]), 0.0, 0, 0)
+
+
+def q_assign_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components, to centers of 64."""
+    return assign(_points(spark, sf_dir), "v", WIDE).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+_WIDE_CELLS = "(SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding)::double AS x FROM embeddings)"
+ASSIGN_WIDE_SQL = f"""WITH d AS (SELECT vec_id, sum((x + 0.1) ^ 2) AS d0, sum((x - CASE WHEN pos % 2 = 0 THEN 0.1 ELSE -0.1 END) ^ 2) AS d1, sum((x - 0.1) ^ 2) AS d2 FROM {_WIDE_CELLS} GROUP BY vec_id)
+SELECT vec_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster, round(least(d0, d1, d2), 6) AS distance FROM d"""
+
+
 def q_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     model = fit_gmm(points, "v", "vec_id", 3, rounds=15)
     return responsibilities(points, "v", "vec_id", model).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("log_density"), 3).alias("log_likelihood"))
 
 
-QUERIES = {"kmeans_fit": (q_kmeans, None), "kmeans_assign": (q_assign, ASSIGN_SQL), "gmm_fit": (q_gmm, None)}
+QUERIES = {"kmeans_fit": (q_kmeans, None), "kmeans_assign": (q_assign, ASSIGN_SQL), "kmeans_assign_wide": (q_assign_wide, ASSIGN_WIDE_SQL), "gmm_fit": (q_gmm, None)}

@@ -95,16 +95,28 @@ def _v(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, n).cast("array<double>").alias("v"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
 def _cells(df: DataFrame, t: F.Column, name: str = "v") -> DataFrame:
     return df.select("vec_id", t.alias("t")).select("vec_id", F.posexplode("t.data").alias("pos", name))
 
 
-def q_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, t = _v(spark, sf_dir), A.vec(F.col("v"))
+def _elementwise(df: DataFrame) -> DataFrame:
+    t = A.vec(F.col("v"))
     out = A.each(t, lambda x: F.round(F.sqrt(F.abs(x)) + F.exp(x) + F.sin(x) * F.cos(x) - x * x / 2, 6))
     return _cells(df, out)
 
 
+def q_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elementwise(_v(spark, sf_dir))
+
+
+def q_elementwise_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elementwise(_whole(spark, sf_dir))
+
+
 def q_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 2 x 3 matrix plus a row of 3, times a column of 2."""
     t = A.mat(F.col("v"), 2, 3)
@@ -113,9 +125,17 @@ def q_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(_v(spark, sf_dir), out)
 
 
-def q_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reductions(df: DataFrame) -> DataFrame:
     t = A.vec(F.col("v"))
-    return _v(spark, sf_dir).select("vec_id", *(F.round(c, 6).alias(n) for n, c in (("total", A.total(t)), ("least", A.least(t)), ("most", A.most(t)), ("norm", A.norm(t)), ("dot", A.dot(t, A.each(t, lambda x: x + 1))))))
+    return df.select("vec_id", *(F.round(c, 6).alias(n) for n, c in (("total", A.total(t)), ("least", A.least(t)), ("most", A.most(t)), ("norm", A.norm(t)), ("dot", A.dot(t, A.each(t, lambda x: x + 1))))))
+
+
+def q_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reductions(_v(spark, sf_dir))
+
+
+def q_reductions_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reductions(_whole(spark, sf_dir))
 
 
 def q_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +167,25 @@ def q_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram(_v(spark, sf_dir), "v", 6).withColumn("v", F.round("v", 6))
 
 
-def q_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _v(spark, sf_dir, 3).select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "v"))
+def q_gram_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _whole(spark, sf_dir)
+    width = df.agg(F.max(F.size("v"))).first()[0] or 0
+    return gram(df, "v", width).withColumn("v", F.round("v", 6))
+
+
+def _transposed(df: DataFrame) -> DataFrame:
+    cells = df.select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "v"))
     return transpose_cells(cells).withColumn("v", F.round("v", 6))
 
 
+def q_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transposed(_v(spark, sf_dir, 3))
+
+
+def q_transpose_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transposed(_whole(spark, sf_dir))
+
+
 def q_determinant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact determinants of 3 x 3 integer matrices: each vector's cells in thousandths."""
     return determinants(_v(spark, sf_dir, 9).select("vec_id", F.transform("v", lambda x: F.rint(x * 1000).cast("bigint")).alias("m")), "vec_id", "m", 3)
@@ -183,6 +217,7 @@ _det3 = f"{_d[0]} * ({_d[4]} * {_d[8]} - {_d[5]} * {_d[7]}) - {_d[1]} * ({_d[3]}
 _q = [f"round_even({x} * 1000, 0)::bigint" for x in _d]
 _det3i = f"{_q[0]} * ({_q[4]} * {_q[8]} - {_q[5]} * {_q[7]}) - {_q[1]} * ({_q[3]} * {_q[8]} - {_q[5]} * {_q[6]}) + {_q[2]} * ({_q[3]} * {_q[7]} - {_q[4]} * {_q[6]})"
 _CELLS = "(SELECT vec_id, unnest(range({n})) AS pos, unnest(embedding[1:{n}])::double AS x FROM embeddings)"
+_WHOLE = "(SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding)::double AS x FROM embeddings)"
 _safe = f"(({_d[0]} + 3) * ({_d[3]} + 3) - {_d[1]} * {_d[2]})"
 _bits = "(" + " + ".join(f"CASE WHEN {_d[i]} > 0 THEN {1 << i} ELSE 0 END" for i in range(6)) + ")::bigint"
 
@@ -195,6 +230,10 @@ QUERIES = {
     "tensor_matmul": (q_matmul, f"SELECT vec_id AS i, j, round(sum(x * (pos - 2 * j)), 6) AS v FROM {_CELLS.format(n=6)}, (SELECT unnest([0, 1, 2]) AS j) GROUP BY ALL"),
     "tensor_gram": (q_gram, _gram),
     "tensor_transpose": (q_transpose, f"SELECT pos AS i, vec_id AS j, round(x, 6) AS v FROM {_CELLS.format(n=3)}"),
+    "tensor_elementwise_wide": (q_elementwise_wide, f"SELECT vec_id, pos, round(sqrt(abs(x)) + exp(x) + sin(x) * cos(x) - x * x / 2, 6) AS v FROM {_WHOLE}"),
+    "tensor_reductions_wide": (q_reductions_wide, f"SELECT vec_id, round(sum(x), 6) AS total, round(min(x), 6) AS least, round(max(x), 6) AS most, round(sqrt(sum(x * x)), 6) AS norm, round(sum(x * (x + 1)), 6) AS dot FROM {_WHOLE} GROUP BY vec_id"),
+    "tensor_gram_wide": (q_gram_wide, f"SELECT a.pos AS i, b.pos AS j, round(sum(a.x * b.x), 6) AS v FROM {_WHOLE} a JOIN {_WHOLE} b USING (vec_id) GROUP BY ALL"),
+    "tensor_transpose_wide": (q_transpose_wide, f"SELECT pos AS i, vec_id AS j, round(x, 6) AS v FROM {_WHOLE}"),
     "tensor_determinant": (q_determinant, f"SELECT vec_id, ({_det3i})::varchar AS determinant FROM embeddings"),
     "tensor_solve": (q_solve, f"SELECT vec_id, round(({_d[4]} * ({_d[3]} + 3) - {_d[1]} * {_d[5]}) / {_safe}, 6) AS x0, round((({_d[0]} + 3) * {_d[5]} - {_d[2]} * {_d[4]}) / {_safe}, 6) AS x1, true AS solved FROM embeddings"),
     "tensor_exact_add": (q_exact_add, "SELECT p_partkey, (p_partkey::hugeint + 9223372036854775808::hugeint)::varchar AS \"first\", (p_size::hugeint + 4611686018427387904::hugeint)::varchar AS \"second\" FROM part"),

@@ -213,3 +213,13 @@ def test_markov(spark):
     assert got["sun", "rain"] == (2, 3 / 5) and got["rain", "rain"] == (0, 1 / 3) and sequence.row_stochastic(m).isEmpty()
     with pytest.raises(PySparkException):
         sequence.markov_score(spark.createDataFrame([(0, "sun", "snow")], "s int, from_state string, to_state string"), m, "s").collect()
+
+
+def test_clustering_reads_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(1)  # four groups that the first four components can't tell
+    rows = [(i, [0.0] * 4 + (10.0 * np.eye(60)[i % 4] + rng.normal(0, 0.1, 60)).tolist()) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    clusters, components = cluster.q_kmeans(spark, str(tmp_path)).collect(), cluster.q_gmm(spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in clusters) == sum(r["n"] for r in components) == 80
+    assert sum(r["inertia"] for r in clusters) > 1  # the prefix alone gives 0
+    assert cluster._points(spark, str(tmp_path)).first()["v"][4] != 0
