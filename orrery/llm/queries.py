@@ -80,8 +80,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    shared, counts = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
-    scored = lm.score(docs, shared, counts)
+    blocks = lm.tokenized(docs, ~lm.held_out(F.col("doc_id")))
+    shared, counts = lm.train_blocks(blocks)
+    scored = lm.score_blocks(blocks, shared, counts)
     return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(shared.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

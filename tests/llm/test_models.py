@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from orrery.llm import langid, lm, nearcopies, packing, pii, simhash, toxicity
@@ -316,6 +317,91 @@ def test_language_model(spark, odd, none):
     assert all(r["n_known"] == 0 for r in lm.score(odd, flat, nothing).collect())
 
 
+def brute_score(words, shared, train):
+    """log10 of a text's probability, token by token, by the definition: class, slot of the class, word of the cell."""
+    count = lambda w: train.get(w, 0)
+    cells, kinds = Counter(), Counter()
+    key = lambda w: lm.END if w is None else lm.key_of(w.encode())
+    cell = lambda w: shared.head.get(key(w), key(w) & (lm.CELLS - 1))
+    for w, n in train.items():
+        cells[cell(w)] += n
+        kinds[cell(w)] += 1
+    place = {k: i for i, k in enumerate(shared.hot_keys.tolist()) if i < lm.FEATURE_WORDS}
+    feature = lambda w: lm.CELLS + 1 + place[key(w)] if key(w) in place else 1 + cell(w)
+    row = lambda name: ((name * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - 15)
+    softmax = lambda x, i: float(x[i] - np.log(np.exp(x.astype(float)).sum()))
+    total, before, earlier = 0.0, 0, 0
+    for w in words:
+        names = [3 * before + 1, (before << 20) + 3 * earlier + 2, 3 * earlier + 3]
+        c, s = divmod(cell(w), lm.SLOTS)
+        total += softmax(shared.bias + sum(shared.weights[row(x)] for x in names), c) / math.log(10)
+        total += softmax(shared.inner_bias[c] + sum(shared.inner[row(x * lm.CLASSES + c)] for x in names), s) / math.log(10)
+        if cell(w) >= lm.HEAD:
+            total += math.log10((count(w) + 0.5) / (cells[cell(w)] + 0.5 * (kinds[cell(w)] + 1)))
+        before, earlier = feature(w), before
+    return total
+
+
+def test_blocks_hold_the_whole_texts(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 300)
+    monkeypatch.setattr(lm, "PART", 64)
+    monkeypatch.setattr(lm, "CACHE", 100)
+    texts = [invented("cc", i, i) for i in range(60)] + [None, "", "y" * 1000, "a\x1cb\x0bC " * 400]
+    batch = pa.RecordBatch.from_pylist([{"rid": i, "doc_id": i, "learn": i % 3 == 0, "text": t} for i, t in enumerate(texts)])
+    rows = [row for out in lm._tokenize(iter([batch])) for row in out.to_struct_array()]
+    assert len(rows) > 3 and [d for row in rows for d in row["doc_ids"].as_py()] == list(range(len(texts)))
+    got = [k for row in rows for k in lm.Block(row).keys[lm.Block(row).words].tolist()]
+    assert got == [lm.key_of(w) if w is not None else lm.END for t in texts for w in [*(t or "").encode().lower().split(), None]]
+    learned = [k for row in rows for k in lm.Block(row, learning=True).keys[lm.Block(row, learning=True).words].tolist()]
+    assert learned == [lm.key_of(w) if w is not None else lm.END for t in texts[::3] for w in [*(t or "").encode().lower().split(), None]]
+
+
+@pytest.mark.parametrize("hot", [lm.HOT_WORDS, 40])
+def test_scores_match_the_definition(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+    rows = [(i, invented(["aa", "bb", "cc"][i % 3], i % 60, i // 2)) for i in range(200)] + [(1000, "x" * 300 + " The tHe \x1c\x0b. " + "word " * 700), (1001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = lm.tokenized(docs, ~lm.held_out(F.col("doc_id")))
+    shared, counts = lm.train_blocks(blocks)
+    if hot < 1000:
+        assert len(shared.hot_keys) <= hot < counts.count()
+    split = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [None]
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update(split(t))
+    assert shared.total == sum(train.values()) and shared.kinds == len(train)
+    got = {r["doc_id"]: r for r in lm.score_blocks(blocks, shared, counts).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i]["n_tokens"] == len(split(t)) and got[i]["n_known"] == sum(w in train for w in split(t))
+        assert math.isclose(got[i]["score"], brute_score(split(t), shared, train), rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_every_training_document_is_learned_from(spark):
+    docs = spark.createDataFrame([(i, f"w{i} common") for i in range(500)], "doc_id long, text string").repartition(4)
+    rows = lm.tokenized(docs, F.col("doc_id") % 3 == 0).select("turn", F.explode(F.arrays_zip("doc_ids", "learn")).alias("x")).select("turn", "x.*").collect()
+    assert Counter(r["doc_ids"] for r in rows) == Counter(range(500)) and all(r["learn"] == (r["doc_ids"] % 3 == 0) and 0 <= r["turn"] < lm.ROUNDS for r in rows)
+
+
+def test_cell_probabilities_sum_to_one(spark):
+    """Class, slot and word probabilities multiply to a distribution over known words and one unknown word a cell."""
+    rows = [(i, invented("aa", 30, i)) for i in range(60)]
+    shared, counts = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    feat = np.array([lm.CELLS + 3, 7, 0], np.uint64)
+    names = lm.histories(feat, np.array([3]))[2:]
+    outer = np.exp(lm.class_logs(shared.weights, shared.bias, lm.hashed(names)))[0]
+    inner = np.exp(np.concatenate([lm.class_logs(shared.inner, shared.inner_bias[c], lm.within(names, np.array([c]))) for c in range(lm.CLASSES)]))
+    cell = (outer[:, None] * inner).ravel()
+    assert math.isclose(cell.sum(), 1, abs_tol=1e-4)
+    inside = 10 ** -shared.spread * 0.5
+    known = {r["key"]: r["n"] for r in counts.collect()}
+    for k, n in known.items():
+        if k not in shared.head:
+            inside[k & (lm.CELLS - 1)] += (n + 0.5) * 10 ** -shared.spread[k & (lm.CELLS - 1)]
+    assert np.allclose(inside[lm.HEAD :], 1)
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     w, b = rng.normal(size=(lm.DIMS, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
