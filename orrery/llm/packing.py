@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from orrery.llm.common import staged
 
-WINDOW, END_ID, GROUP, CACHE = 4096, 2, 20_000, 250_000
+WINDOW, END_ID, GROUP, CACHE, CACHE_CHARS = 4096, 2, 20_000, 250_000, 1 << 26
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # white space as the tokenizer's normalizer sees it; Python's str.split would also cut at U+001C to U+001F
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -34,14 +34,15 @@ _ENDS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 class WordCache:
     """Ids of words, as little-endian bytes. The tokenizer drops white space and never joins over it, so a text's ids are its words' ids.
 
-    New words are tokenized together, once each, without the punctuation that ends them (which the tokenizer splits off a letter or
-    digit anyway). Two generations of at most CACHE words are kept, so frequent words outlive the many that occur once.
+    New words are tokenized together, once each, without the punctuation that ends them after an ASCII letter or digit (where the
+    tokenizer splits anyway). Two generations of at most CACHE words and CACHE_CHARS characters are kept, so frequent words outlive the
+    many that occur once.
     """
 
     def __init__(self, tokenizer):
         from tokenizers.normalizers import ByteLevel
 
-        self.tokenizer, self.model, self.byte_level, self.now, self.old = tokenizer, tokenizer.model, ByteLevel().normalize_str, {}, {}
+        self.tokenizer, self.model, self.byte_level, self.now, self.old, self.held = tokenizer, tokenizer.model, ByteLevel().normalize_str, {}, {}, 0
         ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         if ids("One two.") != ids("one") + ids("two") + ids("."):
             raise ValueError("this tokenizer doesn't drop white space and case, so texts can't be tokenized by words")
@@ -53,10 +54,10 @@ class WordCache:
 
     def encode(self, words: list[str]) -> None:
         if self.plain:  # Latin letters in lower case pass the tokenizer's other steps unchanged
-            rest = []
+            rest, now, cut, level = [], self.now, self.model.tokenize, self.byte_level
             for w in words:
-                if w.isalpha() and w.islower() and max(w) <= "ÿ":
-                    self.now[w] = array("I", self.model_ids(w)).tobytes()
+                if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "ÿ"):
+                    now[w] = array("I", [t.id for t in cut(w if w.isascii() else level(w))]).tobytes()
                 else:
                     rest.append(w)
             words = rest
@@ -76,31 +77,30 @@ class WordCache:
 
     def fill(self, words: set[str]) -> None:
         """Make the ids of all `words` known."""
-        if len(self.now) > CACHE:
-            self.now, self.old = {}, self.now
+        if len(self.now) > CACHE or self.held > CACHE_CHARS:
+            self.now, self.old, self.held = {}, self.now if self.held <= CACHE_CHARS else {}, 0
         now, old = self.now, self.old
 
-        def unknown(some) -> list[str]:
+        def unknown(some: set[str]) -> set[str]:
             """Those of `some` that neither generation knows; the old one's are brought over."""
-            out = []
-            for w in some:
-                if w not in now:
-                    ids = old.get(w)
-                    if ids is None:
-                        out.append(w)
-                    else:
-                        now[w] = ids
-            return out
+            new = some.difference(now)
+            known = [w for w in new if w in old] if old else []
+            now.update((w, old[w]) for w in known)
+            return new.difference(known)
 
         whole, parts = set(), []
         for w in unknown(words):
-            core = w.rstrip(_ENDS)
-            if core != w and core and core[-1].isalnum():
-                parts.append((w, core, w[len(core) :]))
-            else:
-                whole.add(w)
+            if len(w) > 256:
+                self.held += len(w)  # others are bounded by their number
+            if w[-1] in _ENDS:
+                core = w.rstrip(_ENDS)
+                # a letter or digit of ASCII stays one of its own whatever follows it; others may lower-case to a letter with a mark
+                if core and core[-1].isascii() and core[-1].isalnum() and "<|" not in w:
+                    parts.append((w, core, w[len(core) :]))
+                    continue
+            whole.add(w)
         whole.update(unknown({x for _, core, end in parts for x in (core, end)}))
-        self.encode(sorted(whole))
+        self.encode(list(whole))
         for w, core, end in parts:
             now[w] = now[core] + now[end]
 
@@ -119,13 +119,14 @@ def word_cache(path: str) -> WordCache:
 def words_of(text: str) -> list[str]:
     """A text's words; in lower case where that can't change what the tokenizer, which finds special tokens, composes and lower-cases in
     this order, makes of them."""
-    if "<|" in text:
-        return _SPACES.split(text)
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _SPACES.split(text)
-    return _SPACES.split(text.lower())
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    # str.split cuts where the tokenizer does, and at these four
+    return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else _SPACES.split(text)
 
 
 def token_bytes(texts: list[str], cache: WordCache) -> Iterator[bytes]:

@@ -221,6 +221,30 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """100,000 random texts of marks, letters that change case, emoji, controls, spaces and special tokens, with the tokenizer as judge."""
+    from tokenizers import Tokenizer
+
+    tokenizer, cache, rng = Tokenizer.from_file(tokenizer_path()), packing.word_cache(tokenizer_path()), np.random.default_rng(8)
+    odd = list("aZé_.!,;'\"’-<|>&@()0٣½②Ⅷ İıŞßẞΣςσǅﬁＡÅÅ\u0301\u0307\u0327\u0338\u20dd😀👩\u200d\ufe0f\x00\x1c\x1f\x7f\x85\xa0\u2003\u2028\u3000\t\n中あ한अ\u093f¡µªº×") + ["'s", "'ll", "n't", "<|endoftext|>", "<|startoftext|>", "the", "The", "I\u0307", "don't.", "x<|", "|>"]
+    plain = list("abcdeXYZéÉ0123.,;:'!? ") + ["word", "Word,", "it's", " "]
+    for kind, n in ((odd, 70_000), (plain, 30_000)):
+        picks = rng.integers(0, len(kind), (n, 12))
+        texts = ["".join(kind[i] for i in row[: 1 + k % 12]) for k, row in enumerate(picks)]
+        want = tokenizer.encode_batch(texts, add_special_tokens=False)
+        for at in range(0, n, 5000):
+            for text, got, ids in zip(texts[at : at + 5000], packing.token_bytes(texts[at : at + 5000], cache), want[at : at + 5000], strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == [*ids.ids, 2], ascii(text)
+
+
+def test_giant_words_do_not_stay_in_the_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHARS", 10_000)
+    cache = packing.WordCache(packing.word_cache(tokenizer_path()).tokenizer)
+    for i in range(5):
+        list(packing.token_bytes([f"small {i} " + f"g{i}" * 5000], cache))
+    assert sum(map(len, [*cache.now, *cache.old])) < 30_000
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 65, 400)
