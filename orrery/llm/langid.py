@@ -8,7 +8,8 @@ Training reads a bounded sample: whole documents by hash of doc_id until `SAMPLE
 more than `TOTAL_BYTES` over all languages. Counting is a Spark aggregation; the summed counts are the model.
 
 Defined results: null text and text without a letter are `und` with score 0; without any training text all is `und`; ties go to the
-smaller language name. Bytes are compared after lower-casing A-Z and the two-byte Latin capitals.
+smaller language name; repeated rows are answered each, an empty table gives an empty result, and extra columns pass through (those
+named _predicted, _lang_pred or _lang_score are replaced). Numerals (a half, circled and Roman ones) aren't letters. Bytes are compared after lower-casing A-Z and the two-byte Latin capitals.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 MAX_ORDER, SAMPLE_BYTES, TOTAL_BYTES, CHUNK, ROWS = 3, 1_000_000, 32_000_000, 1 << 18, 500
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # a letter, or a numeral such as a half
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,6 +75,11 @@ def sample(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "_lang")), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text")
 
 
+def has_letter(text: str) -> bool:
+    first = _LETTER.search(text)
+    return first is not None and (first[0].isalpha() or any(map(str.isalpha, text[first.end() :])))
+
+
 class Model:
     """Frozen statistics: for each n-gram of any language a row of log probabilities and a row of log escapes, by language."""
 
@@ -195,7 +201,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        some = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if self.langs else []
+        some = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if self.langs else []
         names, scores = [UND] * len(texts), np.zeros(len(texts))
         if some:
             totals = self.totals([texts[i].encode("utf-8", "replace") for i in some])

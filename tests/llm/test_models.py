@@ -78,6 +78,13 @@ def test_held_out_accuracy_and_odd_rows(spark, odd, none):
     assert {r["_lang_pred"] for r in langid.identify(spark.createDataFrame([(1, None, "abc")], "doc_id long, lang string, text string")).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    texts = ["½ ² ① Ⅷ", "12 ٣", "½a", "Ⅷ é", "_ -", "中", "\u0301"]
+    rows = [(i, "aa", invented("aa", 30, i)) for i in range(20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.predict(texts)[0] == ["und", "und", "aa", "aa", "und", "aa", "und"]
+
+
 # ---- SimHash
 
 
