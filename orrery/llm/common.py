@@ -50,7 +50,8 @@ def text_of(col: str | Column = "text") -> Column:
 class RangeBuckets:
     """Buckets of neighbouring long keys, about equally full, found from quantiles of the keys alone.
 
-    At most `MOST` of them, as the bounds are literals of the plan. Null keys fall into the last bucket.
+    At most `MOST` of them, as the bounds are literals of the plan. Null keys fall into the last bucket. `cells` splits the rows of a
+    null key, or of a key that fills a bucket by itself, further.
     """
 
     MOST = 20_000
@@ -59,7 +60,10 @@ class RangeBuckets:
         count = max(1, min(count, self.MOST))
         found = df.approxQuantile(key, [i / count for i in range(count)], 1 / (4 * count)) if count > 1 else []
         # approxQuantile works on doubles; whatever rounding does to a bound, comparing with `>=` keeps buckets ordered
-        self.bounds = sorted({int(x) for x in found})[1:]
+        at = [int(x) for x in found]
+        #: Keys that fill a bucket or more: each has a bucket of its own.
+        self.hot = sorted({x for x, y in zip(at, at[1:], strict=False) if x == y and -(2**53) < x < 2**53})
+        self.bounds = sorted({*at, *self.hot, *(x + 1 for x in self.hot)} - {min(at, default=0)} | {x for x in self.hot if x > min(at)})
 
     @property
     def count(self) -> int:
@@ -76,6 +80,12 @@ class RangeBuckets:
         inside = F.size(F.filter(F.element_at(F.array(*map(array, runs)), F.greatest(run, F.lit(1))), lambda x: x <= key))
         return F.when(key.isNull(), F.lit(len(self.bounds))).otherwise(F.when(run == 0, 0).otherwise((run - 1) * step + inside))
 
+    def cells(self, key: Column, tie: Column) -> Column:
+        """Buckets in the order of (key, tie), nulls last: rows of one bucket, 64 for a null or hot key. `tie` is from 0 to 63, rising
+        with what breaks ties; null keys come after all others of the last bucket."""
+        alone = key.isin(self.hot) if self.hot else F.lit(False)
+        return self.of(key).cast("long") * 129 + F.when(key.isNull(), tie + 65).when(alone, tie).otherwise(0)
+
 
 def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """`rows` left join `groups` on `key`, one group row a key, where single keys may hold any share of the rows.

@@ -1,14 +1,16 @@
 """Mixing sources to target weights, by built-in functions only.
 
-Each source's words, documents in order of doc_id, are packed into blocks of `BLOCK` words. The output is a row of shards of slots; for
-each shard the counts of slots per source are multinomial draws (stratified: one uniform per 1/slots, so a count is within one of its
-expectation). The k-th slot of a source, counted across shards, takes the block at `perm(k mod blocks)` of pass `k div blocks`, perm
-being a pseudorandom affine permutation of the source's block indices; slots and blocks are joined by (source, index). No block serves
-more than `MAX_PASSES` passes.
+Each source's words, documents in order of doc_id, are packed into blocks of `BLOCK` words, fewer in sources that would have under
+`FEWEST` blocks. A source's target in blocks is its number of slots; each slot falls into an output shard by an independent uniform, so
+a source's counts per shard are multinomial draws around its target (counts drawn freely, shard by shard, would also miss the targets by
+their square roots, which sources must come near). The k-th slot of a source takes the block at place k mod blocks of a pseudorandom
+permutation of its block indices, another one for each pass k div blocks (swap-or-not rounds, which permute any number of indices);
+slots and blocks are joined by (source, index). Targets end at `MAX_PASSES` times a source's size, and so do its slots.
 
 Defined results: null text has no words; a null source is a source of its own, ordered last; documents without words are taken 0
 times; an empty table gives an empty mix; repeated rows are documents of their own in `take`, and in `mix_documents` rows equal in id,
-source and text each give the copies of the first of them.
+source and text each give the copies of the first of them; extra columns pass through. The sources are a small table: their targets
+are found by windows over all of them.
 """
 
 from __future__ import annotations
@@ -19,9 +21,7 @@ from pyspark.sql.window import Window
 
 from orrery.llm.common import WORD, RangeBuckets, partitions, staged, text_of
 
-BLOCK, SHARD_SLOTS, MAX_SHARDS, MAX_PASSES, WEIGHTS = 64, 4096, 10_000, 3, (1, 2, 3)
-#: Multipliers of the permutations: primes, so coprime to any block count that they don't divide.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+BLOCK, FEWEST, SHARD_SLOTS, CHUNK, MAX_PASSES, SWAPS, WEIGHTS = 64, 256, 4096, 1 << 14, 3, 24, (1, 2, 3)
 
 
 def word_count(text: Column) -> Column:
@@ -32,9 +32,9 @@ def source_key(col: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(col)), F.lit(""))
 
 
-def uniform(*cols) -> Column:
-    """In [0, 1), by hash."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
+def block_length(source_size: Column) -> Column:
+    """Words of a source's blocks: BLOCK, but short enough for FEWEST blocks."""
+    return F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(source_size / FEWEST))).cast("long")
 
 
 def targets(light: DataFrame, weights=WEIGHTS, cap: int = MAX_PASSES) -> DataFrame:
@@ -55,64 +55,60 @@ def targets(light: DataFrame, weights=WEIGHTS, cap: int = MAX_PASSES) -> DataFra
     return levels.select("skey", "source", "source_size", "total", F.least(F.lit(float(cap)) * F.col("source_size"), F.lit(water) * F.col("weight")).alias("target"))
 
 
-def placed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, skey, size, text_hash, start: where the document's words begin in its source's row of words.
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, skey, size, text_hash, start, length: where the document's words begin in its source's row of words, and the
+    length of the source's blocks.
 
     Sums per (source, range of ids) and a running sum within each such cell: no source's documents meet in one task.
     """
     buckets = RangeBuckets(docs.select("doc_id"), "doc_id", 4 * partitions(docs.sparkSession))
     light = staged(
-        docs.select("doc_id", "source", source_key().alias("skey"), word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("text_hash"), buckets.of(F.col("doc_id")).alias("bucket")),
+        docs.select("doc_id", "source", source_key().alias("skey"), word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("text_hash"), buckets.cells(F.col("doc_id"), F.shiftright(F.xxhash64(text_of()), 58) + 32).alias("bucket")),
         "mix-light",
     )
     cells = light.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(F.col("skey").alias("_skey"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("cell_start"))
+    starts = cells.select(F.col("skey").alias("_skey"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("cell_start"), block_length(F.sum("words").over(Window.partitionBy("skey"))).alias("length"))
     inside = Window.partitionBy("skey", "bucket").orderBy(F.asc_nulls_last("doc_id"), "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     at = light.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = at.join(starts, (F.col("skey") == F.col("_skey")) & (F.col("bucket") == F.col("_bucket")))
-    return staged(joined.select("doc_id", "source", "skey", "size", "text_hash", (F.col("cell_start") + F.col("_before")).alias("start")), "mix-placed")
+    return staged(joined.select("doc_id", "source", "skey", "size", "text_hash", (F.col("cell_start") + F.col("_before")).alias("start"), "length"), "mix-placed")
 
 
-def slots(sources: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def permuted(index: Column, size: Column, *keys) -> Column:
+    """The place of `index` in a pseudorandom permutation of 0 to size - 1, one for each value of `keys`.
+
+    Swap-or-not: a round pairs x with (shift - x) mod size and swaps the pair or not by a hash of its larger member, so each is a
+    permutation of any number of indices.
+    """
+
+    def swap(x: Column, turn: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit("shift"), turn, *keys), size) - x, size)
+        return F.when(F.xxhash64(F.lit("swap"), turn, F.greatest(x, other), *keys) < 0, other).otherwise(x)
+
+    return F.aggregate(F.array(*[F.lit(i) for i in range(SWAPS)]), index, swap)
+
+
+def slots(sources: DataFrame, seed: int = 17) -> DataFrame:
     """A row per slot of the mix: shard, skey, pass, block (index in its source)."""
-    total = sources.select("total").first()
-    total = int(total[0]) if total else 0
-    wanted = -(-total // block)
-    per_shard = max(SHARD_SLOTS, -(-wanted // MAX_SHARDS))
-    shards = max(1, -(-wanted // per_shard))
-    upto = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)
-    shares = sources.where("target > 0").withColumn("high", F.sum("target").over(upto) / F.lit(float(max(total, 1)))).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("skey")), F.lit(0.0)))
-    dealt = shares.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("n_slots", F.least(F.lit(per_shard), F.lit(wanted) - F.col("shard") * per_shard))
-
-    def below(x: Column) -> Column:
-        """Of the shard's stratified uniforms (i + r_i) / n, those under x."""
-        at = F.least(x * F.col("n_slots"), F.col("n_slots").cast("double"))
-        whole = F.floor(at)
-        return whole + F.when(uniform(F.lit(seed), F.col("shard"), whole) < at - whole, 1).otherwise(0)
-
-    counts = dealt.withColumn("n", (below(F.col("high")) - below(F.col("low"))).cast("long"))
-    so_far = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_SHARDS rows
-    ranges = counts.withColumn("first", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where("n > 0")
-    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    # as many tasks as a shuffle has: few rows become many here, and the planner would else put them into one
-    ranges = ranges.repartition(partitions(sources.sparkSession), "shard", "skey")
-    each = ranges.withColumn("blocks", blocks).withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
-    exact = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products of two block counts pass the range of long
-    turn = F.pmod(F.xxhash64(F.lit(seed), "skey"), F.lit(len(PRIMES))).cast("int")
-    usable = F.filter(F.concat(*[F.slice(F.array(*[F.lit(p).cast("long") for p in PRIMES]), turn + 1, F.lit(len(PRIMES))), F.array(*[F.lit(p).cast("long") for p in PRIMES])]), lambda p: F.col("blocks") % p != 0)
-    factor = exact(F.element_at(usable, 1) % F.col("blocks"))
-    shift = exact(F.pmod(F.xxhash64(F.lit(seed + 1), "skey"), F.col("blocks")))
-    index = ((exact(F.col("k") % F.col("blocks")) * factor + shift) % exact(F.col("blocks"))).cast("long")
-    return each.select("shard", "skey", F.floor(F.col("k") / F.col("blocks")).cast("int").alias("pass"), index.alias("block")).where(F.col("pass") < MAX_PASSES)
-
-
-def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """skey, block, start (the document's key within its source), words: a row per document and block that it shares."""
-    ends = F.col("start") + F.col("size")
+    own = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_length(F.col("source_size"))).cast("long"))
+    own = own.where("blocks > 0").withColumn("n", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MAX_PASSES * F.col("blocks")))
+    wanted = own.agg(F.sum("n")).first()[0] or 0
+    # in two steps, so that no row becomes a long array, and over as many tasks as a shuffle has
+    chunks = own.where("n > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    chunks = chunks.repartition(partitions(sources.sparkSession), "skey", "chunk")
+    each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)))
+    placed = each.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("int"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "skey", "k"), F.lit(max(1, -(-wanted // SHARD_SLOTS))))
+    return placed.select(shard.alias("shard"), "skey", "pass", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("skey"), F.col("pass")).alias("block"))
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """skey, block, length, start (the document's key within its source), words: a row per document and block that it shares."""
+    ends, block = F.col("start") + F.col("size"), F.col("length")
     spread = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((ends - 1) / block).cast("long"))))
     words = F.least(ends, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    return spread.select("skey", "block", "start", "doc_id", "text_hash", words.alias("words"))
+    return spread.select("skey", "block", "length", "start", "doc_id", "text_hash", words.alias("words"))
 
 
 def taken_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,13 +141,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each pass a copy of each document, of all its words or of those in the blocks that the pass takes
     (white space between them then becomes one space). The columns of `docs`, n_chars brought up to date."""
     rows, _, used = taken_blocks(docs)
-    gathered = used.groupBy("skey", "start", "doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("used"))
-    first = gathered.groupBy("skey", "doc_id", "text_hash").agg(F.min(F.struct("start", "used")).alias("own"))
+    gathered = used.groupBy("skey", "start", "length", "doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("used"))
+    first = gathered.groupBy("skey", "doc_id", "text_hash").agg(F.min(F.struct("start", "length", "used")).alias("own"))
     keyed = docs.withColumn("_skey", source_key()).withColumn("_hash", F.xxhash64(text_of())).withColumn("_id", F.col("doc_id"))
-    right = first.select(F.col("skey").alias("_r_skey"), F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash"), (F.col("own.start") % BLOCK).alias("_lead"), F.col("own.used.times").alias("_times"))
+    right = first.select(F.col("skey").alias("_r_skey"), F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash"), (F.col("own.start") % F.col("own.length")).alias("_lead"), F.col("own.length").alias("_length"), F.col("own.used.times").alias("_times"))
     joined = keyed.join(right, F.col("_id").eqNullSafe(F.col("_r_id")) & (F.col("_hash") == F.col("_r_hash")) & (F.col("_skey") == F.col("_r_skey")))
     copies = joined.where(F.array_max("_times") > 0).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max("_times").cast("int"))))
-    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), 0), lambda w, i: F.element_at(F.col("_times"), (F.floor((i + F.col("_lead")) / BLOCK) + 1).cast("int")) >= F.col("_pass"))
+    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), 0), lambda w, i: F.element_at(F.col("_times"), (F.floor((i + F.col("_lead")) / F.col("_length")) + 1).cast("int")) >= F.col("_pass"))
     whole = F.array_min("_times") >= F.col("_pass")
     cut = copies.withColumn("_whole", whole).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(words, " ")))
     if "n_chars" in docs.columns:

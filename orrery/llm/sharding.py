@@ -31,7 +31,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str
     """doc_id, size, text_crc32, shard, slot, grown_shard (one more shard of mean weight). Slots follow the key's order, nulls last.
 
     Slots come from counts per (shard, range of keys), at most shards x ranges rows, and a row number within each such cell, so no
-    shard's rows meet in one task.
+    shard's rows meet in one task; rows without a key, or of one that fills a range, are spread by their text.
     """
     weights = list(weights)
     grown = [*weights, sum(weights) / len(weights)]
@@ -40,7 +40,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str
     light = staged(
         docs.select(
             key.cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-            shard_of(key, weights).alias("shard"), shard_of(key, grown).alias("grown_shard"), buckets.of(key.cast("long")).alias("bucket"),
+            shard_of(key, weights).alias("shard"), shard_of(key, grown).alias("grown_shard"), buckets.cells(key.cast("long"), F.shiftright(F.crc32(text).cast("long"), 26)).alias("bucket"),
         ), "shards",
     )
     cells = light.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))

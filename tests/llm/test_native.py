@@ -167,3 +167,62 @@ def test_mixing_targets_and_takes(spark, odd, none):
     assert mixing.take(none).count() == 0 and mixing.mix_documents(none).count() == 0
     blocks = rows_of(mixing.blocks(docs))
     assert sum(b["words"] for b in blocks) == sum(again.values())
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(n)), s) for i, (s, n) in enumerate([("a", 20), ("b", 30), ("b", 1), ("c", 70), ("d", 3), (None, 9), ("e", 400), ("f", 5000), ("g", 1)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, sizes, of = rows_of(mixing.take(docs)), Counter(), {i: s for i, _, s in rows}
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = water(sizes, {s: 1 + i % 3 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))})
+    taken = Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[of[r["doc_id"]]] += r["taken"]
+    for s, n in sizes.items():
+        assert abs(taken[s] - want[s]) <= 1.5 * max(1, min(64, n // 256)) and math.isclose(next(r["target"] for r in got if of[r["doc_id"]] == s), want[s])
+
+
+def test_each_pass_is_a_permutation_of_its_own(spark):
+    for size in (1, 2, 7, 64, 1000):
+        frame = spark.range(size).crossJoin(spark.range(3).withColumnRenamed("id", "pass"))
+        rows = frame.select("id", "pass", mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(17), F.lit("s"), F.col("pass")).alias("at")).collect()
+        orders = [[r["at"] for r in sorted(rows, key=lambda r: r["id"]) if r["pass"] == p] for p in range(3)]
+        assert all(sorted(o) == list(range(size)) for o in orders)
+        if size == 1000:
+            assert len({tuple(o) for o in orders}) == 3
+            steps = Counter((b - a) % size for a, b in zip(orders[0], orders[0][1:]))
+            assert max(steps.values()) < 12 and abs(sum(a < b for a, b in zip(orders[0], orders[0][1:])) - 500) < 60
+
+
+def test_shard_counts_are_multinomial(spark):
+    """A source's counts over the shards vary as independent throws do, and add up to its target."""
+    sources = spark.createDataFrame([("=a", "a", 64 * 8000, 64 * 16000.0), ("=b", "b", 64 * 9000, 64 * 4000.0)], "skey string, source string, source_size long, target double")
+    counts = {(r["skey"], r["shard"]): r["count"] for r in mixing.slots(sources).groupBy("skey", "shard").count().collect()}
+    for key, n in (("=a", 16000), ("=b", 4000)):
+        own = [c for (k, _), c in counts.items() if k == key]
+        assert sum(own) == n and len(own) == 5
+        spread = sum((c - n / 5) ** 2 / (n / 5) for c in own)  # chi-square of 4 degrees
+        assert 0.05 < spread < 25
+
+
+def test_hot_and_missing_ids_are_spread(spark):
+    from orrery.llm.common import RangeBuckets
+
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} here", "ab"[i % 2]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    buckets = RangeBuckets(docs.select("doc_id"), "doc_id", 16)
+    tie = F.shiftright(F.xxhash64("text"), 58) + 32
+    cells = docs.select("doc_id", tie.alias("tie"), buckets.cells(F.col("doc_id"), tie).alias("cell")).collect()
+    order = sorted(cells, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["tie"]))
+    assert [r["cell"] for r in order] == sorted(r["cell"] for r in cells)
+    assert max(Counter(r["cell"] for r in cells).values()) < 400 and 7 in buckets.hot
+    got = rows_of(mixing.take(docs))
+    assert len(got) == 3000 and all(r["taken"] <= 3 * r["size"] for r in got)
+    shards = rows_of(sharding.assign(docs))
+    for shard in {r["shard"] for r in shards}:
+        own = [r for r in shards if r["shard"] == shard]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        ids = [r["doc_id"] for r in sorted(own, key=lambda r: r["slot"])]
+        assert ids == sorted(ids, key=lambda x: (x is None, x or 0))
