@@ -3,10 +3,11 @@
 A fingerprint is 8 bytes, so two that differ in at most 3 bits share at least 8 - 3 = 5 bytes at the same positions: the guaranteed
 minimum of matches. Posting lists of single positional bytes would be as long as the corpus, so a list here is keyed by 5 positions
 and their bytes together (56 choices): pairs whose tally reaches the minimum are those that meet in some list, and no others meet.
-Within a list each pair's positional matches are tallied and its bits verified. A list's members differ in 24 bits only; in long
-lists the pairs are not formed: values are matched through shared neighbours one bit away from one and up to two from the other,
-which finds the same links with work in proportion to the list. Lists give spanning links only; components follow from the links by
-alternating star contractions, each round a few shuffles of id pairs, its result written to the shared folder.
+So an entry stands for five matches at once, and a pair that meets has the minimum; `linked` tallies its positional matches and verifies
+its bits. A list's members differ in 24 bits only. Candidates of lists up to `PAIRWISE` are all their pairs; in longer ones they are the
+values that share a neighbour one bit away from one and up to two from the other: all that can pass, with work in proportion to the
+list. Both go through `linked`. Lists give spanning links only; components follow from the links by alternating star contractions, each
+round a few shuffles of id pairs, its result written to the shared folder.
 
 Equal fingerprints are one node from the start, so groups of copies of any size cost one row.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import skew_safe_left_join, staged
+from orrery.llm.common import skew_safe_left_join, staged, text_of
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 #: A list of up to this many fingerprints is compared pair by pair.
@@ -149,6 +150,8 @@ def long_list_links(key: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same = np.flatnonzero(near[1:] == near[:-1])
 
     def link(a: np.ndarray, b: np.ndarray) -> None:
+        good = linked(fp[a], fp[b])
+        a, b = a[good], b[good]
         new = merger.add(a, b)
         found.append((fp[a[new]], fp[b[new]]))
 
@@ -215,11 +218,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rooted(prints: DataFrame) -> DataFrame:
-    """fp, least (doc_id), n (rows), root (the fingerprint that names the component): a staged row per fingerprint of `prints(doc_id, fp)`."""
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    """fp, least (doc_id), n (rows), root (the fingerprint that names the component): a staged row per fingerprint of `prints(doc_id, fp)`.
+    With a column hash also first: the least (id is missing, doc_id, hash)."""
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")] if "hash" in prints.columns else []
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *first), "simhash-nodes")
     lists = nodes.select("fp").mapInArrow(_postings, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     roots = components(lists.mapInArrow(_links, "hi long, lo long"))
-    return staged(nodes.join(roots, F.col("fp") == F.col("hi"), "left").select("fp", "least", "n", F.coalesce("lo", "fp").alias("root")), "simhash-roots")
+    return staged(nodes.join(roots, F.col("fp") == F.col("hi"), "left").select(*nodes.columns, F.coalesce("lo", "fp").alias("root")), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,3 +235,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = staged(skew_safe_left_join(roots.select("fp", "n", "root"), groups, "root", "nodes").select("fp", "n", "component_id"), "simhash-named")
     joined = skew_safe_left_join(prints, named, "fp", "n")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, one document a group: that of the smallest id, nulls last, and then of the smallest hash of its text.
+    Rows equal in id and text are one document."""
+    text_hash = F.xxhash64(text_of(text_col))
+    prints = staged(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("hash"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
+    keep = rooted(prints).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.hash").alias("_keep_hash"))
+    here = docs.withColumn("_text_hash", text_hash)
+    return here.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi").select(*docs.columns)

@@ -158,6 +158,17 @@ def test_near_duplicates_match_brute_force(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_representatives_know_documents_by_id_and_text(spark, odd, none):
+    a, b = invented("bb", 120, 1), invented("aa", 120, 2)
+    near = next(t for k in range(400) if 0 < (brute_simhash(t := " ".join([*a.split()[:119], f"w{k}"])) ^ brute_simhash(a)).bit_count() <= 3)
+    rows = [(1, a), (2, b), (2, near), (None, near), (None, near + " "), (3, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, a), (2, b), (3, None)])
+    alone = spark.createDataFrame([(None, near), (None, a)], "doc_id long, text string")
+    assert simhash.representatives(alone).count() == 1
+    assert simhash.representatives(none).count() == 0 and simhash.representatives(odd).columns == odd.columns
+
+
 def brute_copies(texts):
     """The smallest place of each text's group, linked by 3 bits of SimHash or five-word similarity of 0.8."""
     prints, sets, label = [brute_simhash(t) for t in texts], [], list(range(len(texts)))
