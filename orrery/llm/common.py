@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only where a local session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
@@ -87,18 +89,19 @@ class RangeBuckets:
         return self.of(key).cast("long") * 129 + F.when(key.isNull(), tie + 65).when(alone, tie).otherwise(0)
 
 
-def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str, salt: tuple[str, ...] | None = None) -> DataFrame:
     """`rows` left join `groups` on `key`, one group row a key, where single keys may hold any share of the rows.
 
     `groups` must be staged (it is read three times). Keys whose `size` is at least `HOT_SHARE` of the total, hence at most
-    1 / HOT_SHARE of them, are joined by broadcast; the rows they match get a random salt in place of the key in the one shuffle join
-    that serves all others, so they spread evenly. Null keys match nothing.
+    1 / HOT_SHARE of them, are joined by broadcast; the rows they match get a hash of the columns `salt` (default: all of `rows`) in place
+    of the key in the one shuffle join that serves all others, so they spread, and alike if a task runs again. Null keys match nothing.
     """
+    salt = salt or tuple(rows.columns)
     payload = [c for c in groups.columns if c != key]
     total = groups.agg(F.sum(size)).first()[0] or 0
     hot = groups.where(F.col(size) >= max(2, total * HOT_SHARE)).select(F.col(key).alias("_hot_key"), F.struct(*payload).alias("_hot"))
     cold = groups.where(F.col(size) < max(2, total * HOT_SHARE)).select(F.col(key).alias("_cold_key"), F.struct(*payload).alias("_cold"))
-    spread = F.when(F.col("_hot").isNull(), F.xxhash64(F.col(key))).otherwise((F.rand(7) * 2**62).cast("long"))
+    spread = F.when(F.col("_hot").isNull(), F.xxhash64(F.col(key))).otherwise(F.xxhash64(*salt))
     joined = (
         rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_spread", spread)

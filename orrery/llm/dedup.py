@@ -10,8 +10,10 @@ marked alike by `mark`, and `keep` returns one of them. An empty batch appends n
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +23,47 @@ INDEX_SCHEMA = "digest string, keep_id long, group_size long, batch string"
 
 
 class DigestIndex:
-    """A bucketed table at `path`; opened again by path in a later session."""
+    """A bucketed table at `path`; opened again by path in a later session, with the bucket count stored beside it.
+
+    A batch's rows are appended under its name, and count only once that name is in the list of published batches (one row, one file,
+    written last): a batch that fails halfway is never seen, and is written anew under another name. The catalog's table is named after
+    the path, so opening again makes no other.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path, self.buckets = spark, path or fresh_path(spark, "digest-index"), buckets or partitions(spark)
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        self.spark, self.path = spark, (path or fresh_path(spark, "digest-index")).rstrip("/")
+        try:
+            stored = spark.read.parquet(f"{self.path}/_form").first()["buckets"]
+        except AnalysisException:  # nothing there yet
+            stored = buckets or partitions(spark)
+            spark.createDataFrame([(stored,)], "buckets int").coalesce(1).write.parquet(f"{self.path}/_form")
+        if buckets not in (None, stored):
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+        self.buckets, self.table = stored, f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        spark.catalog.refreshTable(self.table)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
-
-    def append(self, entries: DataFrame) -> None:
+        """The rows of published batches."""
+        try:
+            batches = self.spark.read.schema("batch string").parquet(f"{self.path}/_batches")
+        except AnalysisException:
+            return self.spark.table(self.table).where("false")
+        return self.spark.table(self.table).join(F.broadcast(batches), "batch", "left_semi").select("digest", "keep_id", "group_size", "batch")  # a row a batch
+
+    def append(self, entries: DataFrame, batch: str) -> None:
         """One task, hence one file, a bucket: bucketing and this repartition hash alike."""
         (
-            entries.repartition(self.buckets, "digest")
+            entries.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
         )
+        self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.path}/_batches")
         self.spark.catalog.refreshTable(self.table)
 
+    def forget(self) -> None:
+        """Drop the catalog's table; the files stay, to be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def add_batch(docs: DataFrame, index: DigestIndex) -> str:
     """Append what is new in `docs(doc_id, digest)` to the index; the batch's name."""
@@ -46,7 +71,7 @@ def add_batch(docs: DataFrame, index: DigestIndex) -> str:
     # staged, as the planner would else push the anti-join below the aggregation and shuffle every row of a group of copies
     groups = staged(docs.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     fresh = groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti")
-    index.append(fresh.withColumn("batch", F.lit(batch)))
+    index.append(fresh, batch)
     return batch
 
 
@@ -64,11 +89,13 @@ def mark(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_i
 def keep(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     index = index or DigestIndex(docs.sparkSession)
-    light = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest"))
+    light = staged(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest")), "dedup-digests")
     batch = add_batch(light, index)
     winners = index.read().where(F.col("batch") == batch).select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"))
+    winners = staged(winners, "dedup-winners")
     here = docs.withColumn("_row_digest", F.sha2(text_of(text_col), 256))
     kept = here.join(winners, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest")), "left_semi")
-    if not light.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():  # rows that repeat: texts go through one more shuffle
+    rows = light.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    if rows.count() > winners.count():  # rows that repeat: texts go through one more shuffle
         kept = kept.dropDuplicates([id_col, "_row_digest"])
     return kept.drop("_row_digest")

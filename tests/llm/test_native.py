@@ -4,6 +4,7 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import pytest
 from orrery.llm import dedup, fingerprints, mixing, sharding
 from pyspark.sql import functions as F
 
@@ -226,3 +227,43 @@ def test_hot_and_missing_ids_are_spread(spark):
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
         ids = [r["doc_id"] for r in sorted(own, key=lambda r: r["slot"])]
         assert ids == sorted(ids, key=lambda x: (x is None, x or 0))
+
+
+def test_index_opened_with_other_settings(spark, odd):
+    index = dedup.DigestIndex(spark, buckets=3)
+    n = dedup.keep(odd, index).count()
+    index.forget()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = dedup.DigestIndex(spark, index.path)  # another session's default count
+        assert again.buckets == 3 and again.table == index.table and dedup.keep(odd, again).count() == 0 and again.read().count() == n
+        plan = again.read().join(again.read().select(F.col("digest").alias("d")).hint("merge"), F.col("digest") == F.col("d"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "hashpartitioning(digest" not in plan  # both sides are read by bucket
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError, match="3 buckets"):
+        dedup.DigestIndex(spark, index.path, 4)
+
+
+def test_half_a_batch_is_never_seen(spark):
+    index = dedup.DigestIndex(spark, buckets=2)
+    entries = spark.createDataFrame([("d1", 1, 1)], "digest string, keep_id long, group_size long")
+    entries.withColumn("batch", F.lit("failed")).repartition(2, "digest").write.bucketBy(2, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(index.table)
+    assert index.read().count() == 0
+    index.append(entries, "whole")
+    assert [(r["digest"], r["batch"]) for r in index.read().collect()] == [("d1", "whole")]
+
+
+def test_one_id_with_two_texts(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (1, "b")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["text"]) for r in dedup.keep(docs).collect()) == Counter([(2, "a"), (1, "b")])
+    assert Counter((r["doc_id"], r["keep_id"], r["kept"]) for r in dedup.mark(docs).collect()) == Counter([(1, 2, False), (2, 2, True), (1, 1, True), (1, 1, True)])
+    mixed = spark.createDataFrame([(1, "a b c", "s", 5), (1, "d e", "s", 3), (1, "a b c", "t", 5)], "doc_id long, text string, source string, n_chars long")
+    words = Counter()
+    for r in mixing.mix_documents(mixed).collect():
+        words[r["source"]] += len(r["text"].split())
+    taken = Counter()
+    for r in mixing.take(mixed).collect():
+        taken[r["source_size"]] += r["taken"]
+    assert words["s"] == taken[5] and words["t"] == taken[3]
