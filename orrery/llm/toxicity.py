@@ -1,33 +1,38 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels exist for documents; token labels are drawn from them on the training sample: a word (or a word's first `PREFIX` letters) that
-occurs in several toxic documents and hardly in others marks its tokens toxic there. A two-state chain over runs of `RUN` tokens with
-features word, prefixes and suffix is fitted by gradient ascent on the exact conditional likelihood. Forward-backward marginals give
-each token's probability; a document's score is a logistic function of the maximum and of the sum of those of at least
-`COUNTED` (so that many doubtful tokens of a long text don't add up), fitted on the same sample and brought
-back to the share of toxic documents among all labelled ones.
+occurs in several toxic documents and hardly in others marks its tokens toxic there. A two-state chain over each whole document, with
+features word, prefixes, suffix and the words on both sides, is fitted by gradient ascent on the exact conditional likelihood.
+Forward-backward marginals give each token's probability; messages are passed in rows of `RUN` tokens and from row to row, so many
+documents go through numpy together and the marginals are those of the whole chain. A document's score is a logistic function of the
+maximum and of the sum of its marginals of at least `COUNTED` (so that many doubtful tokens of a long text don't add up), fitted on the
+same sample and brought back to the share of toxic documents among all labelled ones.
 
-Training reads a bounded sample: at most `PER_CLASS` documents of each label by hash of doc_id, none over `LONGEST` bytes. Every text
-is scored whole.
+Training reads a bounded sample: whole documents by hash of doc_id, at most `PER_CLASS` of each label and `SAMPLE_BYTES` of text of each
+(one at least); one task fits them. Every text is scored whole.
 
 Defined results: null and empty texts have no tokens and score as such; without labels of both kinds every score is the share of
-toxic labels (0 without labels); a document whose labels disagree counts as toxic; repeated rows are scored each.
+toxic labels (0 without labels); a document whose labels disagree counts as toxic; repeated rows are scored each; an empty table gives
+an empty result; extra columns pass through (one named _toxicity is replaced).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-PER_CLASS, LONGEST, RUN, DIMS, CACHE, THRESHOLD, COUNTED = 1500, 1 << 16, 64, 1 << 18, 400_000, 0.7, 0.25
+PER_CLASS, SAMPLE_BYTES, RUN, DIMS, CACHE, THRESHOLD, COUNTED = 1500, 1 << 24, 64, 1 << 18, 400_000, 0.7, 0.25
 PREFIX, PREFIXES = 5, (4, 5)
-BATCH = 1 << 16
+BATCH = 1 << 17
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _TOKEN = re.compile(r"\S+")
 
@@ -46,6 +51,11 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % DIMS for x in named]
 
 
+def side_features(word: str) -> list[int]:
+    """Hashed features that a bare word gives the token after it and the token before it."""
+    return [zlib.crc32(f"{side}{word}".encode("utf-8", "replace")) % DIMS for side in "lr"]
+
+
 class Chain:
     """Two states, clean and toxic. `weights`: of features, for toxic; `moves`: scores of clean-clean, clean-toxic, toxic-clean, toxic-toxic."""
 
@@ -53,14 +63,15 @@ class Chain:
         self.weights, self.bias, self.moves, self.start = np.zeros(DIMS), -4.0, np.zeros((2, 2)), 0.0
         self.document, self.prior = np.zeros(3), 0.0
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray, pairs: bool = False):
-        """P(toxic) per token for runs in rows of `scores` (padded to RUN); with `pairs` also the expected moves and the log normaliser."""
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray, pairs: bool = False, first: np.ndarray | None = None, last: np.ndarray | None = None):
+        """P(toxic) per token for runs in rows of `scores` (padded to one width); with `pairs` also the expected moves within rows and the
+        log normaliser. `first`: messages to the rows' first tokens from what precedes them, `last`: to their last tokens from what follows."""
         n, width = scores.shape
         move = np.exp(self.moves)
         up = np.exp(np.clip(scores, -30, 30))
         f = np.empty((width, 2, n))
-        b = np.ones((width, 2, n))
-        a0, a1 = np.ones(n), np.exp(self.start) * up[:, 0]
+        b = np.ones((width, 2, n)) if last is None else np.broadcast_to(last, (width, 2, n)).copy()
+        a0, a1 = (np.ones(n), np.exp(self.start) * up[:, 0]) if first is None else (first[0], first[1] * up[:, 0])
         log_z = np.zeros(n)
         for t in range(width):
             if t:
@@ -76,7 +87,7 @@ class Chain:
             n0, n1 = move[0, 0] * c0 + move[0, 1] * c1, move[1, 0] * c0 + move[1, 1] * c1
             z = n0 + n1
             on = t + 1 < lengths
-            b[t, 0], b[t, 1] = np.where(on, n0 / z, 1.0), np.where(on, n1 / z, 1.0)
+            b[t, 0], b[t, 1] = np.where(on, n0 / z, b[t, 0]), np.where(on, n1 / z, b[t, 1])
         p = f[:, 1] * b[:, 1] / (f[:, 0] * b[:, 0] + f[:, 1] * b[:, 1])
         if not pairs:
             return p.T
@@ -86,6 +97,54 @@ class Chain:
             expected += (cell / cell.sum(0) * (t + 1 < lengths)).sum(1).reshape(2, 2)
         return p.T, expected, log_z
 
+    def messages(self, scores: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Messages to each row's first token and to its last, from the other rows of its document; documents have `rows` rows each."""
+        n, width = scores.shape
+        move, up = np.exp(self.moves), np.exp(np.clip(scores, -30, 30))
+        through = np.zeros((2, 2, n))  # from the state of a row's first token to that of its last, all scores within
+        through[0, 0], through[1, 1] = 1, up[:, 0]
+        for t in range(1, width):
+            on = t < lengths
+            if not on.any():
+                break
+            to0, to1 = through[:, 0] * move[0, 0] + through[:, 1] * move[1, 0], (through[:, 0] * move[0, 1] + through[:, 1] * move[1, 1]) * up[:, t]
+            z = (to0 + to1).sum(0)
+            through[:, 0], through[:, 1] = np.where(on, to0 / z, through[:, 0]), np.where(on, to1 / z, through[:, 1])
+        first, last = np.empty((2, n)), np.ones((2, n))
+        first[0], first[1] = 1, np.exp(self.start)
+        begin = np.concatenate([[0], np.cumsum(rows)[:-1]])
+        for k in range(1, int(rows.max(initial=0))):
+            at = begin[rows > k] + k
+            a = np.einsum("in,ijn->jn", first[:, at - 1], through[:, :, at - 1])
+            a = move.T @ a
+            first[:, at] = a / a.sum(0)
+            at = begin[rows > k] + rows[rows > k] - k
+            b = move @ np.einsum("ijn,jn->in", through[:, :, at], last[:, at])
+            last[:, at - 1] = b / b.sum(0)
+        return first, last
+
+    def whole(self, scores: np.ndarray, sizes: np.ndarray, pairs: bool = False):
+        """P(toxic) of each token of documents that lie one after another, each a chain of `sizes` tokens; with `pairs` also the expected
+        moves."""
+        grid, lengths, place = runs(scores, sizes)
+        if not len(grid):
+            return (np.zeros(0), np.zeros((2, 2))) if pairs else np.zeros(0)
+        rows = -(-sizes // RUN)
+        first, last = self.messages(grid, lengths, rows[rows > 0])
+        if not pairs:
+            return self.marginals(grid, lengths, first=first, last=last).ravel()[place]
+        p, expected, _ = self.marginals(grid, lengths, True, first, last)
+        begins = np.zeros(len(grid), bool)
+        begins[np.concatenate([[0], np.cumsum(rows[rows > 0])[:-1]])] = True
+        at = np.flatnonzero(~begins)  # rows that go on from the one before: a row's last marginal and messages give the move between
+        if len(at):
+            before = p[at - 1, lengths[at - 1] - 1]
+            front = np.stack([1 - before, before]) / last[:, at - 1]
+            own = np.stack([1 - p[at, 0], p[at, 0]]) / first[:, at]
+            cell = front[:, None] * np.exp(self.moves)[:, :, None] * own[None]
+            expected = expected + (cell / cell.sum((0, 1))).sum(2)
+        return p.ravel()[place], expected
+
     def document_score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
         z = self.document[0] + self.document[1] * np.log(total + 1e-3) + self.document[2] * most
         return 1 / (1 + np.exp(-np.clip(z, -50, 50))) if self.document.any() else np.full(len(total), self.prior)
@@ -141,35 +200,43 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     rows = [features(w) for w in words]
     width = max(map(len, rows))
     table = np.array([r + [DIMS] * (width - len(r)) for r in rows])  # DIMS: no feature
+    sides = np.array([side_features(w) for w in words])
     sizes = np.array([len(x) for x in ids])
     flat = np.concatenate(ids)
     label = (marked[flat] & (np.repeat(toxic, sizes) == 1)).astype(float)
-    _, lengths, place = runs(np.zeros(len(flat)), sizes)
-    seen, used = np.zeros((2, 2)), np.repeat(np.arange(len(sizes)), sizes)
-    within = np.flatnonzero(place[1:] // RUN == place[:-1] // RUN)
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((label[within] == i) & (label[within + 1] == j)).sum()
-    by_word = np.bincount(flat, label, len(words))
-    speed, speed_bias, speed_moves = np.full(DIMS + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    used = np.repeat(np.arange(len(sizes)), sizes)
+    joined = np.flatnonzero(used[1:] == used[:-1])  # tokens whose next one is of the same document
+    begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+    seen = np.array([[((label[joined] == i) & (label[joined + 1] == j)).sum() for j in (0, 1)] for i in (0, 1)])
+    speed, speed_bias, speed_moves, speed_start = np.full(DIMS + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8), 1e-8
     weights = np.zeros(DIMS + 1)
+
+    def scores() -> np.ndarray:
+        out = (weights[table].sum(1) + chain.bias)[flat]
+        out[joined + 1] += weights[sides[:, 0]][flat[joined]]
+        out[joined] += weights[sides[:, 1]][flat[joined + 1]]
+        return out
+
     for _ in range(steps):
-        score = weights[table].sum(1) + chain.bias
-        grid, _, _ = runs(score[flat], sizes)
-        p, expected, _ = chain.marginals(grid, lengths, pairs=True)
-        miss = by_word - np.bincount(flat, p.ravel()[place], len(words))
-        slope = np.bincount(table.ravel(), np.repeat(miss, width), DIMS + 1) - 0.05 * weights
+        p, expected = chain.whole(scores(), sizes, pairs=True)
+        wrong = label - p
+        by_word = np.bincount(flat, wrong, len(words))
+        slope = np.bincount(table.ravel(), np.repeat(by_word, width), DIMS + 1) - 0.05 * weights
+        slope += np.bincount(sides[:, 0], np.bincount(flat[joined], wrong[joined + 1], len(words)), DIMS + 1)
+        slope += np.bincount(sides[:, 1], np.bincount(flat[joined + 1], wrong[joined], len(words)), DIMS + 1)
         slope[DIMS] = 0
         speed += slope**2
         weights += rate * slope / np.sqrt(speed)
-        speed_bias += miss.sum() ** 2
-        chain.bias += rate * miss.sum() / np.sqrt(speed_bias)
+        speed_bias += wrong.sum() ** 2
+        chain.bias += rate * wrong.sum() / np.sqrt(speed_bias)
         step = seen - expected - 0.05 * chain.moves
         speed_moves += step**2
         chain.moves += 0.1 * rate * step / np.sqrt(speed_moves)
+        step = wrong[begins].sum() - 0.05 * chain.start
+        speed_start += step**2
+        chain.start += 0.1 * rate * step / np.sqrt(speed_start)
     chain.weights = weights[:DIMS]
-    grid, _, _ = runs((weights[table].sum(1) + chain.bias)[flat], sizes)
-    p = chain.marginals(grid, lengths).ravel()[place]
+    p = chain.whole(scores(), sizes)
     total = np.bincount(used, np.where(p >= COUNTED, p, 0), len(sizes))
     most = np.zeros(len(sizes))
     np.maximum.at(most, used, p)
@@ -185,32 +252,48 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
 
 
 class TokenScores(dict):
+    """Token to number; `of` holds by number its own score and what it adds to the token after it and to the one before."""
+
     def __init__(self, chain: Chain):
         super().__init__()
-        self.chain = chain
-
-    def __missing__(self, token: str) -> float:
-        if len(self) >= CACHE:
+        self.chain, self.of, self.chars = chain, np.zeros((1 << 14, 3)), 0
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        if n >= len(self.of):
+            self.of = np.concatenate([self.of, np.zeros_like(self.of)])
+        word = bare(token)
+        self.of[n, 0] = self.chain.weights[features(word)].sum() + self.chain.bias
+        self.of[n, 1:] = self.chain.weights[side_features(word)]
+        self.chars += len(token)
+        return n
+
+    def room(self) -> None:
+        """Forget all when there is much."""
+        if len(self) >= CACHE or self.chars > 1 << 25:
             self.clear()
-        score = float(self.chain.weights[features(bare(token))].sum() + self.chain.bias)
-        if len(token) <= 64:
-            self[token] = score
-        return score
+            self.chars = 0
 
 
 def score_texts(texts: list[str | None], chain: Chain, cache: TokenScores) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """Score of each text, and its toxic spans (code points, end exclusive): tokens with a marginal of a half or more."""
     total, most, spans = np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
     held: list[tuple[int, int]] = []
-    scores: list[np.ndarray] = []
+    numbers: list[np.ndarray] = []
+    filled = 0
 
     def flush() -> None:
+        nonlocal filled
         if not held:
             return
         sizes = np.array([n for _, n in held])
         owner = np.repeat(np.array([i for i, _ in held]), sizes)
-        grid, lengths, place = runs(np.concatenate(scores), sizes)
-        p = chain.marginals(grid, lengths).ravel()[place]
+        each = cache.of[np.concatenate(numbers)]
+        same = np.flatnonzero(owner[1:] == owner[:-1])
+        scores = each[:, 0].copy()
+        scores[same + 1] += each[same, 1]
+        scores[same] += each[same + 1, 2]
+        p = chain.whole(scores, sizes)
         np.add.at(total, owner, np.where(p >= COUNTED, p, 0))
         np.maximum.at(most, owner, p)
         first = dict(zip([i for i, _ in held], np.concatenate([[0], np.cumsum(sizes)[:-1]]), strict=True))
@@ -219,14 +302,18 @@ def score_texts(texts: list[str | None], chain: Chain, cache: TokenScores) -> tu
             own = {int(h - first[i]) for h in hits[owner[hits] == i]}
             spans[i] = [m.span() for k, m in enumerate(_TOKEN.finditer(texts[i])) if k in own]
         held.clear()
-        scores.clear()
+        numbers.clear()
+        filled = 0
 
     for i, text in enumerate(texts):
         words = tokens(text) if text else []
         if words:
+            if not held:
+                cache.room()
             held.append((i, len(words)))
-            scores.append(np.fromiter(map(cache.__getitem__, words), np.float64, len(words)))
-            if sum(n for _, n in held) >= BATCH:
+            numbers.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
+            filled += len(words)
+            if filled >= BATCH:
                 flush()
     flush()
     return chain.document_score(total, most), spans
@@ -241,17 +328,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cha
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {bool(r[0]): r[1] for r in known.groupBy((F.col("toxic") > 0).alias("y")).count().collect()}
     share = counts.get(True, 0) / max(1, sum(counts.values()))
-    # by hash of the id, about twice as many of each class as wanted, as long texts and labels without text fall out
+    # by hash of the id, about twice as many of each class as wanted, as labels without text fall out
     rate = F.when(F.col("toxic") > 0, 2.0 * per_class / max(1, counts.get(True, 0))).otherwise(2.0 * per_class / max(1, counts.get(False, 0)))
     order = F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 11) / F.lit(float(2**53))
     near = known.withColumn("order", order).where(F.col("order") < rate).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("toxic"), "order")
-    chosen = []
-    for y in (False, True):
-        some = near.where(F.col("toxic") == F.lit(y)).orderBy("order").limit(2 * per_class)
-        found = docs.where(F.octet_length("text") <= LONGEST).join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
-        chosen.append(found.select("order", "text", "toxic").orderBy("order", "text").limit(per_class))
-    got = chosen[0].unionByName(chosen[1]).toArrow()
-    return fit(got.column("text").to_pylist(), np.array(got.column("toxic").to_pylist(), int), share)
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "_id"))).where(F.col("place") <= 2 * per_class)  # of about as many
+    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(near.drop("place")), F.col("doc_id") == F.col("_id"))
+    sizes = found.select("toxic", "order", F.octet_length("text").alias("n"), F.xxhash64("text").alias("hash")).toPandas()  # ids and sizes of at most 4 x per_class documents
+    wanted = []
+    for _, some in sizes.sort_values(["order", "hash"]).groupby("toxic"):
+        some = some.head(per_class)
+        within = some[(some["n"].cumsum() <= SAMPLE_BYTES) | (np.arange(len(some)) == 0)]
+        wanted += within["order"].tolist()
+    chosen = found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in wanted], "chosen double")), F.col("order") == F.col("chosen"), "left_semi")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(o, t, int(y)) for batch in batches for o, t, y in zip(*(batch.column(c).to_pylist() for c in ("order", "text", "toxic")), strict=True)]
+        rows.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], np.array([y for *_, y in rows], int), share))])], ["model"])
+
+    # one task for the bounded sample; the driver gets the weights alone
+    return pickle.loads(chosen.select("order", "text", "toxic").repartition(1).mapInArrow(fitted, "model binary").first()["model"]) if wanted else fit([], np.zeros(0, int), share)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -334,6 +334,48 @@ def test_marginals_match_enumeration():
     assert np.allclose(moves, want_moves)
 
 
+def test_marginals_of_whole_documents(monkeypatch):
+    """Messages from row to row give what one row as long as the document gives, moves over the rows' ends included."""
+    rng = np.random.default_rng(7)
+    chain = toxicity.Chain()
+    chain.moves, chain.start = rng.normal(size=(2, 2)) * 2, -0.7
+    sizes = np.array([5, 0, 64, 65, 1, 200, 128, 7])
+    scores = rng.normal(size=sizes.sum()) * 2
+    p, moves = chain.whole(scores, sizes, pairs=True)
+    assert np.allclose(p, chain.whole(scores, sizes))
+    monkeypatch.setattr(toxicity, "RUN", 256)
+    q, want = chain.whole(scores, sizes, pairs=True)
+    assert np.allclose(p, q) and np.allclose(moves, want)
+    at = 0
+    for n in sizes.tolist():
+        if n:
+            one, _, _ = chain.marginals(scores[None, at : at + n], np.array([n]), pairs=True)
+            assert np.allclose(one[0], p[at : at + n])
+        at += n
+
+
+def test_scores_are_those_of_the_chain(spark):
+    """Brute force: features of each token by definition, forward-backward in one row, the logistic of maximum and sum."""
+    rows = toxic_rows(300)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels)
+    texts = [r[1] for r in rows[:40]] + [" ".join(r[1] for r in rows[40:60]), None, "", "zorgh"]
+    got, _ = toxicity.score_texts(texts, chain, toxicity.TokenScores(chain))
+    for text, s in zip(texts, got, strict=True):
+        words = [toxicity.bare(t) for t in (text or "").lower().split()]
+        each = [chain.bias + sum(chain.weights[f] for f in toxicity.features(w)) for w in words]
+        for k, w in enumerate(words):
+            after, before = toxicity.side_features(w)
+            if k + 1 < len(words):
+                each[k + 1] += chain.weights[after]
+            if k:
+                each[k - 1] += chain.weights[before]
+        p = chain.marginals(np.array([each]), np.array([len(words)]))[0] if words else np.zeros(0)
+        want = chain.document_score(np.array([p[p >= toxicity.COUNTED].sum()]), np.array([p.max(initial=0)]))[0]
+        assert math.isclose(s, want, abs_tol=1e-9)
+    assert chain.start != 0
+
+
 # ---- language model
 
 
