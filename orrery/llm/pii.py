@@ -1,13 +1,14 @@
 """Personal data by weak supervision, with built-in functions only.
 
 Candidates are found by regular expressions: the base kinds (email, ip, card, phone), which always stay when valid, and looser shapes
-of the same kinds (an address spelled with 'at' and 'dot', a number without country code, a card number that fails its checksum).
+of the same kinds (an address spelled with 'at' and 'dot', a number without country code, a card number that fails its checksum), and
+secrets (long runs of letters and digits, of which keys and tokens are some).
 Three labelers vote on each candidate: its strict shape (regular expression and checksum), a gazetteer (known top-level domains, card
-issuers, number prefixes, address ranges) and the words before it. Expectation-maximisation over the counts of vote patterns (at most
+issuers, number prefixes, address ranges, lengths and prefixes of keys) and the words before it. Expectation-maximisation over the counts of vote patterns (at most
 4 kinds x 27) estimates how reliable each labeler is; its posteriors train a naive Bayes span classifier on shape features (sums of
 posteriors by feature), and loose candidates that it accepts with `ACCEPT` or more, and that overlap no base span, are added.
 
-Only spans with their near context leave the text scan; patterns and feature values are bounded tables.
+Labelers and features read at most the first 200 characters of a span and the `NEAR` before it. Only these leave the text scan; patterns and feature values are bounded tables.
 
 Defined results: null text is empty; kinds may overlap each other, spans of one kind don't; repeated rows are answered each; an empty
 table gives an empty result. Offsets are code points, ends exclusive.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds as listed in `spans`; secrets are added by the method alone.
+ALL_KINDS = (*KINDS, "secret")
 # Possessive where giving back can't help, so that long runs don't backtrack; no group repeats per character, which would recurse.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -33,33 +36,65 @@ DIGIT_RUN = r"[0-9][0-9\x20-]{10,}+"
 CARD_LENGTH = r"[0-9](?:[\x20-]?[0-9]){11}"
 LOOSE_EMAIL = r"(?i)\b[a-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[a-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[a-z]{2,12}\b"
 LOOSE_PHONE = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])[A-Za-z0-9+/_-]{20,512}+={0,2}"
+SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2})$"
 #: Fixed values.
+SECRET_FORMS = r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|(?:ghp|gho|sk|pk|xox[bp]|AKIA|AIza)[_-]?[A-Za-z0-9_-]{16,})$"
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "co", "uk", "de", "fr", "es", "eu", "example")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|adresse|correo|courriel)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|addr|login|client)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta|payment)\b",
+    "secret": r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key|auth|bearer|credential)\b[\"'\x20:=]*$",
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|contact|telefon|t[eé]l[eé]phone|tel[eé]fono)\b",
 }
 NEAR, ACCEPT, ROUNDS = 40, 0.9, 25
-_SPAN = "array<struct<start:int,end:int,s:string>>"
+_SPAN = "array<struct<start:int,end:int,s:string,before:string>>"
+#: Matches folded at once: a fold copies its array at each step.
+FOLD = 256
+
+
+def tail(*parts: Column) -> Column:
+    """The last NEAR code points of what the parts make together."""
+    return F.substring(F.concat(*parts), -NEAR, NEAR)
 
 
 def matches(text: Column, pattern: str, between: bool = False) -> Column:
-    """Spans of a pattern's matches (leftmost, non-overlapping), or of what lies between them, from lengths of both."""
+    """Spans of a pattern's matches (leftmost, non-overlapping), or of what lies between them, with the text just before each.
+
+    Offsets are running sums of the lengths of matches and gaps, folded in parts of FOLD and then over the parts, so a text with very
+    many matches costs little more than its length.
+    """
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         gap, hit = x["gap"], x["hit"]
         start = acc["at"] + F.length(gap)
         end = start + F.coalesce(F.length(hit), F.lit(0))
-        span = F.struct(acc["at"].alias("start"), start.alias("end"), gap.alias("s")) if between else F.struct(start.alias("start"), end.alias("end"), hit.alias("s"))
-        out = F.array_append(acc["out"], span) if between else F.when(hit.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span))
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    return F.aggregate(zipped, zero, step)["out"]
+        before = tail(acc["tail"], gap)
+        if between:
+            span = F.struct(acc["at"].alias("start"), start.alias("end"), gap.alias("s"), acc["tail"].alias("before"))
+            out = F.array_append(acc["out"], span)
+        else:
+            span = F.struct(start.alias("start"), end.alias("end"), hit.alias("s"), before.alias("before"))
+            out = F.when(hit.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span))
+        return F.struct(end.alias("at"), tail(before, F.coalesce(hit, F.lit(""))).alias("tail"), out.alias("out"))
+
+    def parts(all_: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int"))
+        empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+        return F.transform(at, lambda i: F.aggregate(F.slice(all_, i * FOLD + 1, F.lit(FOLD)), empty, step))
+
+    def join(acc: Column, part: Column) -> Column:
+        own = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), part["out"].alias("out"))
+        return F.struct((acc["at"] + part["at"]).alias("at"), tail(acc["tail"], part["tail"]).alias("tail"), F.array_append(acc["out"], own).alias("out"))
+
+    folded = F.element_at(F.transform(F.array(zipped), parts), 1)  # so that the pieces are bound once
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<struct<at:int,tail:string,out:{_SPAN}>>").alias("out"))
+    placed = F.aggregate(folded, start, join)["out"]
+    return F.flatten(F.transform(placed, lambda p: F.transform(p["out"], lambda x: F.struct((x["start"] + p["at"]).alias("start"), (x["end"] + p["at"]).alias("end"), x["s"].alias("s"), tail(p["tail"], x["before"]).alias("before")))))
 
 
 def digits(s: Column) -> Column:
@@ -88,7 +123,13 @@ def long_enough(s: Column, low: int, high: int) -> Column:
 
 def card_runs(text: Column) -> Column:
     """Runs of digits with single separators: digit runs split where two separators meet, a last separator cut."""
-    flat = F.flatten(F.transform(matches(text, DIGIT_RUN), lambda r: F.transform(matches(r["s"], r"[\x20-]{2,}+", True), lambda p: F.struct((r["start"] + p["start"]).alias("start"), (r["start"] + p["start"] + F.length(F.rtrim(F.translate(p["s"], "-", " ")))).alias("end"), F.rtrim(F.translate(p["s"], "-", " ")).alias("s")))))
+    trimmed = lambda p: F.rtrim(F.translate(p["s"], "-", " "))
+
+    def cut(r: Column, p: Column) -> Column:
+        start = r["start"] + p["start"]
+        return F.struct(start.alias("start"), (start + F.length(trimmed(p))).alias("end"), trimmed(p).alias("s"), tail(r["before"], p["before"]).alias("before"))
+
+    flat = F.flatten(F.transform(matches(text, DIGIT_RUN), lambda r: F.transform(matches(r["s"], r"[\x20-]{2,}+", True), lambda p: cut(r, p))))
     return F.filter(flat, lambda p: long_enough(p["s"], 12, 19))
 
 
@@ -96,7 +137,7 @@ def candidates(text: Column) -> Column:
     """array(kind, start, end, s, base): all candidates of a text, base ones marked."""
     none = F.array().cast(_SPAN)
     guarded = lambda test, spans: F.when(test, spans).otherwise(none)
-    kind = lambda name, spans, base: F.transform(spans, lambda x: F.struct(F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), base(x["s"]).alias("base")))
+    kind = lambda name, spans, base: F.transform(spans, lambda x: F.struct(F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), base(x["s"]).alias("base"), x["before"].alias("before")))
     ips = F.filter(guarded(F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), matches(text, IP)), lambda x: F.forall(F.split(x["s"], r"\."), in_byte))
     phones = F.filter(guarded(F.contains(text, F.lit("+")), matches(text, PHONE)), lambda x: long_enough(x["s"], 9, 15))
     yes, no = lambda s: F.lit(True), lambda s: F.lit(False)
@@ -107,6 +148,7 @@ def candidates(text: Column) -> Column:
         kind("phone", phones, yes),
         kind("email", guarded(F.regexp_like(text, F.lit(r"(?i)[(\[\x20]dot[)\]\x20]")), matches(text, LOOSE_EMAIL)), no),
         kind("phone", guarded(F.regexp_like(text, F.lit("[0-9]{3}")), matches(text, LOOSE_PHONE)), no),
+        kind("secret", guarded(F.regexp_like(text, F.lit(SECRET)), matches(text, SECRET)), no),
     )
 
 
@@ -116,15 +158,17 @@ def votes(rows: DataFrame) -> DataFrame:
     known = F.when(F.col("kind") == "email", F.element_at(F.split(F.lower(s), r"\.| dot |[(\[]dot[)\]]"), -1).isin(*DOMAINS))
     known = known.when(F.col("kind") == "card", F.regexp_like(number, F.lit(ISSUERS)))
     known = known.when(F.col("kind") == "ip", ~F.regexp_like(s, F.lit(r"^(?:0|22[4-9]|2[3-5][0-9])\.")))
+    known = known.when(F.col("kind") == "secret", F.regexp_like(s, F.lit(SECRET_FORMS)))
     known = known.otherwise(~F.regexp_like(number, F.lit(r"^(?:1?[01]|0{3})")))
     near = reduce(lambda c, k: c.when(F.col("kind") == k, F.regexp_like("before", F.lit(CONTEXT[k]))), CONTEXT, F.when(F.lit(False), False))
+    shape = F.when(F.col("kind") == "secret", F.regexp_like(s, F.lit(SECRET_SHAPE))).otherwise(F.col("base")).cast("int")
     return rows.select(
-        "*", F.col("base").cast("int").alias("shape"), F.when(known, 1).otherwise(0).alias("gazetteer"), F.when(near, 1).otherwise(-1).alias("context"),
+        "*", shape.alias("shape"), F.when(known, 1).otherwise(0).alias("gazetteer"), F.when(near, 1).otherwise(-1).alias("context"),
         F.concat_ws(":", "kind", F.lit("digits"), F.least(F.length(number), F.lit(20))).alias("f_digits"),
         F.concat_ws(":", "kind", F.lit("marks"), F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(s, "[A-Za-z0-9]", ""), ""))), ""), 1, 8)).alias("f_marks"),
         F.concat_ws(":", "kind", F.lit("left"), F.when(F.regexp_like("before", F.lit(r"[:=#]\s*$")), "sign").when(F.regexp_like("before", F.lit(r"\s$")), "space").otherwise("other")).alias("f_left"),
         F.concat_ws(":", "kind", F.lit("near"), F.when(near, "yes").otherwise("no")).alias("f_near"),
-        F.concat_ws(":", "kind", F.lit("shape"), F.col("base").cast("int")).alias("f_shape"),
+        F.concat_ws(":", "kind", F.lit("shape"), shape).alias("f_shape"),
     )
 
 
@@ -167,7 +211,7 @@ def _lookup(table: dict, key: Column, default: float) -> Column:
 def classified(rows: DataFrame) -> DataFrame:
     """Candidates with the classifier's probability, column p."""
     voted = staged(votes(rows), "pii-votes")
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()]  # at most 4 x 27
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()]  # at most 5 x 27
     posterior = reliabilities(patterns)
     name = F.concat_ws("|", "kind", *LABELERS)
     soft = voted.withColumn("q", _lookup({"|".join(map(str, k)): v for k, v in posterior.items()}, name, 0.5))
@@ -182,7 +226,7 @@ def classified(rows: DataFrame) -> DataFrame:
 
 def joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
-    place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    place = lambda x: F.array_position(F.array(*map(F.lit, ALL_KINDS)), x["kind"])
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), place(x).alias("place"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -191,10 +235,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, base (array of kind, start, end), added (the same): a row per row of `docs`."""
     text = text_of(text_col)
     scanned = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("_text")).withColumn("_found", candidates(F.col("_text")))
-    before = lambda x: F.substring(F.col("_text"), F.greatest(x["start"] + 1 - NEAR, F.lit(1)), F.least(x["start"], F.lit(NEAR)))
     light = staged(
         scanned.select(
-            "doc_id", "text_hash", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.substring(x["s"], 1, 200).alias("s"), x["base"].alias("base"), before(x).alias("before"))).alias("found")
+            "doc_id", "text_hash", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.substring(x["s"], 1, 200).alias("s"), x["base"].alias("base"), x["before"].alias("before"))).alias("found")
         ), "pii-candidates",
     )
     rows = light.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")

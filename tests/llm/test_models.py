@@ -1,5 +1,7 @@
+import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -543,6 +545,30 @@ def test_added_spans(spark):
             assert text[i][s["start"] : s["end"]] == f"415-555-{1000 + i}"
 
 
+def test_many_matches_in_one_text(spark):
+    """Thousands of matches: offsets run on over the parts that are folded at once, and the time stays in proportion."""
+    text = " ".join(f"{'x' * (i % 7)} a{i}@b.co 10.0.{i % 256}.{i % 200} é" for i in range(8000))
+    began = time.time()
+    got = pii.find(spark.createDataFrame([(1, text), (2, "y " * 300 + "c@d.ef")], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    assert {r["doc_id"]: sorted((s["kind"], s["start"], s["end"]) for s in r["base"]) for r in got} == {1: brute_base(text), 2: [("email", 600, 606)]}
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_text_before_a_match(spark, n):
+    text = "start " + " ".join(f"w{i} {i}@x.yz" for i in range(n))
+    rows = spark.createDataFrame([(text,)], "text string").select(F.explode(pii.matches(F.col("text"), pii.EMAIL)).alias("x")).select("x.*").collect()
+    assert len(rows) == n and all(r["before"] == text[max(0, r["start"] - pii.NEAR) : r["start"]] and r["s"] == text[r["start"] : r["end"]] for r in rows)
+
+
+def test_secrets_are_added(spark):
+    rows = [(i, f"some words {i} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and more") for i in range(60)]
+    rows += [(100 + i, f"see the page {'section' * 3}{i}/part-{i}-of-the-long-document for number {i}") for i in range(60)]
+    text = dict(rows)
+    got = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [hashlib.sha1(str(i).encode()).hexdigest()] for i in range(60)) and not any(got[100 + i] for i in range(60))
+
+
 def test_reliable_labelers_get_more_say():
     patterns = [(("a", 1, 1, 1), 50), (("a", 0, 0, 0), 50), (("a", 1, 1, 0), 5), (("a", 0, 1, 0), 5), (("a", 0, 0, 1), 20)]
     p = pii.reliabilities(patterns)
