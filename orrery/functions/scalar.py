@@ -75,11 +75,18 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    pair = F.struct(F.abs(wide(a)).cast(WIDE).alias("a"), F.abs(wide(b)).cast(WIDE).alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(WIDE).alias("b")))
-    run = lambda p, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), p, step)
-    # most pairs are done after few steps; the others go on
-    return F.transform(F.array(run(pair, SOON)), lambda p: F.when(p["b"] == 0, p["a"]).otherwise(run(p, EUCLID - SOON)["a"]))[0]
+    """Euclid's steps, in 64 bits where both numbers fit (short decimals otherwise take most of the time)."""
+
+    def euclid(kind: str) -> Column:
+        pair = F.struct(F.abs(wide(a)).cast(kind).alias("a"), F.abs(wide(b)).cast(kind).alias("b"))
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(kind).alias("b")))
+        run = lambda p, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), p, step)
+        # most pairs are done after few steps; the others go on
+        return F.transform(F.array(run(pair, SOON)), lambda p: F.when(p["b"] == 0, p["a"]).otherwise(run(p, EUCLID - SOON)["a"]))[0]
+
+    most = F.lit(2**63 - 1)
+    fits = (F.abs(wide(a)) <= most) & (F.abs(wide(b)) <= most)
+    return F.when(fits, euclid("bigint").cast(WIDE)).otherwise(euclid(WIDE))
 
 
 def rational(num: Column, den: Column) -> Column:
@@ -89,10 +96,24 @@ def rational(num: Column, den: Column) -> Column:
     return F.transform(F.array(common.cast(WIDE)), lambda g: F.struct((num / g).cast(WIDE).alias("num"), (den / g).cast(WIDE).alias("den")))[0]
 
 
+DECIMAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
+
+
 def rational_of(text: Column) -> Column:
-    """'6/8' or '5'; raises on a zero denominator."""
+    """'6/8', '5', '0.5' or '-1.4/2', exactly (decimals are digits over a power of ten); raises on anything else and on a zero denominator."""
     parts = F.split(F.trim(text), "/")
-    return rational(wide(parts[0]), F.coalesce(wide(F.get(parts, F.lit(1))), F.lit(1)))
+    good = (F.size(parts) <= 2) & F.forall(parts, lambda p: F.regexp_like(F.trim(p), F.lit(DECIMAL)))
+
+    def number(part: Column) -> tuple[Column, Column]:
+        part = F.trim(part)
+        places = F.length(F.regexp_extract(part, r"\.([0-9]*)$", 1))
+        return wide(F.translate(part, ".", "")), wide(F.concat(F.lit("1"), F.repeat(F.lit("0"), places)))
+
+    top, top_unit = number(parts[0])
+    low, low_unit = number(F.coalesce(F.get(parts, F.lit(1)), F.lit("1")))
+    form = rational((top * low_unit).cast(WIDE), (low * top_unit).cast(WIDE))
+    bad = F.raise_error(F.concat(F.lit("not a rational: "), text)).cast(f"struct<num:{WIDE},den:{WIDE}>")
+    return F.when(text.isNotNull(), F.when(good, form).otherwise(bad))
 
 
 def rational_add(a: Column, b: Column) -> Column:

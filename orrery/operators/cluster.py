@@ -87,7 +87,7 @@ def plus_plus(points: DataFrame, value: str, key: str, k: int, units: Units, n:
 
 
 def fit_kmeans(points: DataFrame, value: str, key: str, k: int, seed: int = 4, restarts: int = 4, rounds: int = 50) -> KMeans:
-    """Lloyd's rounds from k-means++ starts; an empty cluster takes the point farthest from its center. Of the restarts the lowest inertia
+    """Lloyd's rounds from k-means++ starts; empty clusters take the points farthest from their centers, one each. Of the restarts the lowest inertia
     wins, ties to the first; centers come in lexicographic order. `work`: distances computed."""
     points = points.select(key, value).cache()
     n = points.count()
@@ -113,9 +113,12 @@ def fit_kmeans(points: DataFrame, value: str, key: str, k: int, seed: int = 4, r
             total = _total(points, sums, k * (d + 2)).reshape(k, d + 2)
             work += n * k
             fresh = np.where(total[:, d : d + 1] > 0, total[:, :d] / np.maximum(total[:, d : d + 1], 1), centers)
-            for empty in np.flatnonzero(total[:, d] == 0):
-                far = points.mapInPandas(lambda bs, c=centers: (pd.DataFrame({key: b[key], "x": b[value], "d": _distances(_matrix(b[value]), c).min(1)}) for b in bs), f"{key} long, x array<double>, d double").orderBy(F.desc("d"), key).first()
-                fresh[empty] = far["x"]
+            if len(empty := np.flatnonzero(total[:, d] == 0)):
+                # the worst-fit points, farthest first, one place each
+                far = points.mapInPandas(lambda bs, c=centers: (pd.DataFrame({key: b[key], "x": b[value], "d": _distances(_matrix(b[value]), c).min(1)}) for b in bs), f"{key} long, x array<double>, d double")
+                worst = far.groupBy("x").agg(F.max("d").alias("d"), F.min(key).alias(key)).orderBy(F.desc("d"), key).limit(len(empty)).collect()
+                for at, row in zip(empty, worst, strict=False):
+                    fresh[at] = row["x"]
             done = np.allclose(fresh, centers, rtol=0, atol=1e-12)
             centers, inertia = fresh, float(total[:, d + 1].sum())
             if done:

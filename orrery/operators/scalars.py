@@ -133,6 +133,18 @@ SELECT e.o_orderkey, e.out AS coefficients, round(o.o_orderkey::double / (o.o_cu
 FROM e JOIN orders o USING (o_orderkey) WHERE e.b = 0
 """
 
+def rational_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal texts as exact rationals, and a quotient of two."""
+    text = F.col("l_discount").cast("string")
+    both = F.concat_ws("/", text, F.col("l_quantity").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_discount", "l_quantity").distinct()
+    return rows.select("l_discount", "l_quantity", S.rational_text(S.rational_of(text)).alias("exact"), S.rational_text(S.rational_of(both)).alias("quotient"))
+
+
+RATIONAL_DECIMALS_SQL = """WITH d AS (SELECT DISTINCT l_discount, l_quantity, round(l_discount * 100)::bigint AS n, round(l_quantity)::bigint * 100 AS q FROM lineitem)
+SELECT l_discount, l_quantity, CASE WHEN n % 100 = 0 THEN (n // 100)::varchar ELSE (n // gcd(n, 100))::varchar || '/' || (100 // gcd(n, 100))::varchar END AS exact,
+ CASE WHEN n % q = 0 THEN (n // q)::varchar ELSE (n // gcd(n, q))::varchar || '/' || (q // gcd(n, q))::varchar END AS quotient FROM d"""
+
 #: The number kinds, the Spark type of each, and whether its results are exact.
 DOMAINS = [
     ("bool", "BOOLEAN", True), ("i8", "TINYINT", True), ("i16", "SMALLINT", True), ("i32", "INT", True), ("i64", "BIGINT", True), ("bigint", "DECIMAL(38,0)", True),
@@ -158,7 +170,7 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROMOTIONS_SQL = "SELECT p_partkey, p_size::tinyint::int AS i8, p_size::smallint::int AS i16, p_size::bigint AS i64, p_size::varchar AS \"bigint\", p_size::float::double AS f32, p_size::double AS f64 FROM part"
 
 QUERIES = {
-    "scalar_integers": (integers, INTEGERS_SQL), "scalar_rationals": (rationals, RATIONALS_SQL), "scalar_rational_parse": (rational_parse, RATIONAL_PARSE_SQL), "scalar_floats": (floats, FLOATS_SQL),
+    "scalar_integers": (integers, INTEGERS_SQL), "scalar_rationals": (rationals, RATIONALS_SQL), "scalar_rational_parse": (rational_parse, RATIONAL_PARSE_SQL), "scalar_rational_decimals": (rational_decimals, RATIONAL_DECIMALS_SQL), "scalar_floats": (floats, FLOATS_SQL),
     "scalar_complex": (complexes, COMPLEXES_SQL), "scalar_booleans": (booleans, BOOLEANS_SQL), "scalar_reductions": (reductions, REDUCTIONS_SQL), "scalar_continued_fractions": (fractions, FRACTIONS_SQL),
     "scalar_domains": (domains, DOMAINS_SQL), "scalar_promotions": (promotions, PROMOTIONS_SQL),
 }

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,36 @@ KERNELS = {
 }
 
 
+#: For each kind the part it takes of a transform of length `size`, where coefficient k is read and sample i placed, and
+#: which samples count half.
+FAST = {
+    "dct1": (1, lambda n: 2 * (n - 1), lambda k: k, lambda i: i, lambda n: [0, n - 1]),
+    "dct2": (1, lambda n: 4 * n, lambda k: k, lambda i: 2 * i + 1, lambda n: []),
+    "dct3": (1, lambda n: 4 * n, lambda k: 2 * k + 1, lambda i: i, lambda n: [0]),
+    "dct4": (1, lambda n: 8 * n, lambda k: 2 * k + 1, lambda i: 2 * i + 1, lambda n: []),
+    "dst1": (0, lambda n: 2 * (n + 1), lambda k: k + 1, lambda i: i + 1, lambda n: []),
+    "dst2": (0, lambda n: 4 * n, lambda k: k + 1, lambda i: 2 * i + 1, lambda n: []),
+    "dst3": (0, lambda n: 4 * n, lambda k: 2 * k + 1, lambda i: i + 1, lambda n: [n - 1]),
+    "dst4": (0, lambda n: 8 * n, lambda k: 2 * k + 1, lambda i: 2 * i + 1, lambda n: []),
+}
+
+
+def fast_trigonometric(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """The same coefficients as `trigonometric`, a series a row, in n log n: real or imaginary parts of one longer Fourier transform."""
+    cosine, size, read, put, half = FAST[kind]
+
+    def f(x: np.ndarray) -> dict[str, np.ndarray]:
+        n = len(x)
+        if n < 2:
+            return {"k": np.zeros(0, int), "y": np.zeros(0)}
+        spread, i = np.zeros(size(n)), np.arange(n)
+        np.add.at(spread, put(i), np.where(np.isin(i, half(n)), 0.5, 1.0) * x)
+        y = np.fft.fft(spread)[read(i)]
+        return {"k": i, "y": 2 * y.real if cosine else -2 * y.imag}
+
+    return kernel(df, keys, ["x"], f, "k int, y double")
+
+
 def dft_bin(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return dft(df, keys, F.array(F.lit(k)))
 
@@ -195,6 +226,7 @@ def cross_spectrum(df: DataFrame, keys: list[str], length: int, hop: int, window
     return mean.withColumn("coherence", F.least(F.coalesce(F.try_divide(F.col("re") ** 2 + F.col("im") ** 2, F.col("px") * F.col("py")), F.lit(0.0)), F.lit(1.0)))
 
 
+@lru_cache(maxsize=64)
 def slepian(n: int, half_bandwidth: float, count: int) -> np.ndarray:
     """Tapers of the largest concentration: eigenvectors of the published tridiagonal matrix, unit norm, largest entry positive."""
     i = np.arange(n)
@@ -303,7 +335,18 @@ def predict(df: DataFrame, keys: list[str], order: int, horizon: int, backward:
 
 
 def solve_toeplitz(column: np.ndarray, row: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Levinson's recursion, n^2; where a leading block is singular, the dense solution."""
     n = len(column)
+    with np.errstate(all="ignore"):
+        forward, backward, x = np.array([1 / column[0]]), np.array([1 / column[0]]), np.array([right[0] / column[0]])
+        for i in range(1, n):
+            miss_f, miss_b, miss_x = column[i:0:-1] @ forward, row[1 : i + 1] @ backward, column[i:0:-1] @ x
+            d = 1 - miss_f * miss_b
+            longer, shifted = np.append(forward, 0.0), np.append(0.0, backward)
+            forward, backward = (longer - miss_f * shifted) / d, (shifted - miss_b * longer) / d
+            x = np.append(x, 0.0) + (right[i] - miss_x) * backward
+    if np.isfinite(x).all():
+        return x
     i = np.arange(n)
     values = np.concatenate([row[:0:-1], column])
     return np.linalg.solve(values[i[:, None] - i[None, :] + n - 1], right)
@@ -415,7 +458,7 @@ def q_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trig_query(kind: str):
-    return lambda spark, sf_dir: _rounded(trigonometric(user_series(spark, sf_dir), U, kind), "y", digits=3)
+    return lambda spark, sf_dir: _rounded(fast_trigonometric(user_series(spark, sf_dir), U, kind), "y", digits=3)
 
 
 _N = f"WITH s AS ({USER_SERIES_SQL}), n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM s)"
@@ -539,12 +582,38 @@ def q_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fft_two_pass(days, 64, 8), "re", "im", digits=3)
 
 
+CROSS_SQL = f"""{_N}, g AS (SELECT user_id, idx - 4 * m AS i, m, x, x * CASE WHEN idx % 2 = 0 THEN 1.0 ELSE -0.5 END AS y, 0.5 - 0.5 * cos(2 * pi() * (idx - 4 * m) / 8) AS w FROM (SELECT *, unnest(range(n // 4)) AS m FROM n)
+  WHERE idx >= 4 * m AND idx < 4 * m + 8 AND 4 * m + 8 <= n), k AS (SELECT *, unnest(range(5)) AS k, 4.0 AS g FROM g),
+ d AS (SELECT user_id, m, k, sum(x * w * cos(2 * pi() * k * i / 8)) AS a, -sum(x * w * sin(2 * pi() * k * i / 8)) AS b, sum(y * w * cos(2 * pi() * k * i / 8)) AS c, -sum(y * w * sin(2 * pi() * k * i / 8)) AS e FROM k GROUP BY ALL),
+ p AS (SELECT user_id, k, avg(a * c + b * e) / 16 AS re, avg(a * e - b * c) / 16 AS im, avg(a * a + b * b) / 16 AS px, avg(c * c + e * e) / 16 AS py FROM d GROUP BY ALL)
+SELECT user_id, k::int AS k, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(least(coalesce((re * re + im * im) / nullif(px * py, 0), 0), 1), 3) + 0.0 AS coherence FROM p"""
+TOEPLITZ_SQL = f"""{_N}, c AS (SELECT user_id, idx, n, x - avg(x) OVER (PARTITION BY user_id) AS y FROM n WHERE n > 3),
+ l AS (SELECT *, lead(y, 1, 0) OVER w AS y1, lead(y, 2, 0) OVER w AS y2, lead(y, 3, 0) OVER w AS y3 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+ r AS (SELECT user_id, sum(y * y) AS r0, sum(y * y1) AS r1, sum(y * y2) AS r2, sum(y * y3) AS r3 FROM l GROUP BY user_id HAVING sum(y * y) > 0),
+ a AS (SELECT *, r1 / r0 AS a1 FROM r), b AS (SELECT *, r0 - a1 * r1 AS e1, (r2 - a1 * r1) / (r0 - a1 * r1) AS k2 FROM a), d AS (SELECT *, a1 - k2 * a1 AS b1, e1 * (1 - k2 * k2) AS e2 FROM b),
+ e AS (SELECT *, (r3 - b1 * r2 - k2 * r1) / e2 AS k3 FROM d)
+SELECT user_id, j::int AS j, round(CASE j WHEN 1 THEN b1 - k3 * k2 WHEN 2 THEN k2 - k3 * b1 ELSE k3 END, 4) + 0.0 AS a FROM e, range(1, 4) t(j)"""
+# Burg's reflections, one after another: f and b are the forward and backward errors, lagged by a window
+_BURG = f"""{_N}, c AS (SELECT user_id, idx, n, x, avg(x) OVER (PARTITION BY user_id) AS mean FROM n), y AS (SELECT user_id, idx, n, mean, x - mean AS y, lag(x - mean) OVER (PARTITION BY user_id ORDER BY idx) AS z FROM c),
+ k1 AS (SELECT user_id, coalesce(-2 * sum(y * z) / nullif(sum(y * y + z * z), 0), 0) AS k1 FROM y WHERE idx >= 1 GROUP BY user_id),
+ f1 AS (SELECT y.*, k1, y + k1 * z AS f, lag(z + k1 * y) OVER (PARTITION BY user_id ORDER BY idx) AS g FROM y JOIN k1 USING (user_id) WHERE idx >= 1),
+ k2 AS (SELECT user_id, coalesce(-2 * sum(f * g) / nullif(sum(f * f + g * g), 0), 0) AS k2 FROM f1 WHERE idx >= 2 GROUP BY user_id),
+ f2 AS (SELECT f1.user_id, idx, f + k2 * g AS f, lag(g + k2 * f) OVER (PARTITION BY user_id ORDER BY idx) AS g FROM f1 JOIN k2 USING (user_id) WHERE idx >= 2),
+ k3 AS (SELECT user_id, coalesce(-2 * sum(f * g) / nullif(sum(f * f + g * g), 0), 0) AS k3 FROM f2 WHERE idx >= 3 GROUP BY user_id),
+ v AS (SELECT user_id, any_value(mean) AS mean, any_value(n) AS n, avg(y * y) AS e0, arg_min(y, idx) AS first, arg_max(y, idx) AS last, max(CASE WHEN idx = 1 THEN y END) AS second, max(CASE WHEN idx = n - 2 THEN y END) AS before FROM y GROUP BY user_id),
+ fit AS (SELECT *, e0 * (1 - k1 * k1) AS e1, e0 * (1 - k1 * k1) * (1 - k2 * k2) AS e2, k1 + k2 * k1 AS a1, k2 AS a2 FROM v JOIN k1 USING (user_id) JOIN k2 USING (user_id))"""
+BURG_SQL = _BURG + """, o AS (SELECT user_id, mean, n, unnest([1, 2, 3]) AS p, unnest([e1, e2, e2 * (1 - k3 * k3)]) AS e FROM fit JOIN k3 USING (user_id) WHERE n >= 5)
+SELECT user_id, p::int AS order, round(mean, 4) AS mean, round(e, 4) AS variance FROM o QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n * ln(greatest(e, 1e-300)) + 2 * p, p) = 1""".replace("AS order", 'AS "order"')
+PREDICT_SQL = _BURG + """, t AS (SELECT user_id, mean, a1, a2, 'after' AS side, last AS u, before AS w FROM fit WHERE n >= 4 UNION ALL SELECT user_id, mean, a1, a2, 'before', first, second FROM fit WHERE n >= 4),
+ p1 AS (SELECT *, -(a1 * u + a2 * w) AS p1 FROM t), p2 AS (SELECT *, -(a1 * p1 + a2 * u) AS p2 FROM p1), p3 AS (SELECT *, -(a1 * p2 + a2 * p1) AS p3 FROM p2)
+SELECT user_id, unnest([1, 2, 3])::int AS step, round(unnest([p1, p2, p3]) + mean, 4) + 0.0 AS y, side FROM p3"""
+
 QUERIES = {
     "signal_dft": (q_dft, DFT_SQL), "signal_fft": (q_fft, DFT_SQL),
     "signal_fft_round_trip": (q_round_trip, "SELECT w AS normalization, 0.0::double AS error, (SELECT count(*) FROM events) AS n FROM (SELECT unnest(['inverse', 'forward', 'orthonormal']) AS w)"),
     **{f"signal_{kind}": (_trig_query(kind), _trig_sql(kind)) for kind in KERNELS},
-    "signal_periodogram": (q_periodogram, PERIODOGRAM_SQL), "signal_welch": (q_welch, WELCH_SQL), "signal_cross_spectrum": (q_cross, None), "signal_multitaper": (q_multitaper, None),
-    "signal_lomb_scargle": (q_lomb, LOMB_SQL), "signal_burg": (q_burg, None), "signal_mem_spectrum": (q_mem, None), "signal_predict": (q_predict, None), "signal_toeplitz": (q_toeplitz, None),
+    "signal_periodogram": (q_periodogram, PERIODOGRAM_SQL), "signal_welch": (q_welch, WELCH_SQL), "signal_cross_spectrum": (q_cross, CROSS_SQL), "signal_multitaper": (q_multitaper, None),
+    "signal_lomb_scargle": (q_lomb, LOMB_SQL), "signal_burg": (q_burg, BURG_SQL), "signal_mem_spectrum": (q_mem, None), "signal_predict": (q_predict, PREDICT_SQL), "signal_toeplitz": (q_toeplitz, TOEPLITZ_SQL),
     "signal_deconvolve": (q_deconvolve, "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT 0.0::double AS error, sum(n)::bigint AS n FROM n WHERE n >= 3"),
     "signal_analytic": (q_analytic, "SELECT 0.0::double AS error, true AS bounds, count(*) AS n FROM events"),
     "signal_instantaneous_frequency": (q_frequency, f"WITH s AS ({USER_SERIES_SQL}) SELECT user_id, idx + 0.5::double AS idx, round(0.5 / (2 * pi()), 6) AS frequency FROM s QUALIFY lead(idx) OVER (PARTITION BY user_id ORDER BY idx) IS NOT NULL"),
