@@ -142,7 +142,8 @@ def rational_neg(a: Column) -> Column:
 
 
 def rational_text(a: Column) -> Column:
-    return F.when(a["den"] == 1, a["num"].cast("string")).otherwise(F.concat_ws("/", a["num"].cast("string"), a["den"].cast("string")))
+    said = lambda r: F.when(r["den"] == 1, r["num"].cast("string")).otherwise(F.concat_ws("/", r["num"].cast("string"), r["den"].cast("string")))
+    return F.transform(F.array(a), said)[0]  # evaluates `a` once
 
 
 def rational_value(a: Column) -> Column:
