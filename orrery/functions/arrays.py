@@ -215,3 +215,81 @@ def to_single(t: Column) -> Column:
 def add_exact(data: Column, c: Column) -> Column:
     """An integer array plus a scalar, widened so that no cell overflows."""
     return F.transform(data, lambda x: x.cast("decimal(38,0)") + c.cast("decimal(38,0)"))
+
+
+# ---- tensors of structs (rational or complex cells of orrery.functions.scalar): `each` and `broadcasted` take them as they are
+
+
+def tensor_of(shape: Column, data: Column) -> Column:
+    """Like `tensor`, with cells of any type."""
+
+    def checked(shape: Column, data: Column) -> Column:
+        fits = F.aggregate(shape, F.lit(1), lambda a, d: a * d) == F.size(data)
+        return F.struct(F.when(fits, shape).otherwise(F.raise_error(F.lit("shape and cells differ")).cast("array<int>")).alias("shape"), data.alias("data"))
+
+    return let(checked, shape, data)
+
+
+def total_of(t: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(t["data"], zero, add)
+
+
+def matmul_of(a: Column, b: Column, zero: Column, add: Callable[[Column, Column], Column], mul: Callable[[Column, Column], Column]) -> Column:
+    """The product of two matrices over any ring; raises if the inner lengths differ."""
+
+    def cells(a: Column, b: Column) -> Column:
+        k, m = F.get(a["shape"], F.lit(1)), F.get(b["shape"], F.lit(1))
+        n = F.when(k == b["shape"][0], a["shape"][0]).otherwise(F.raise_error(F.lit("shapes don't match")).cast("int"))
+        at = lambda t, i: F.element_at(t["data"], (i + 1).cast("int"))
+        cell = lambda i: F.aggregate(F.sequence(F.lit(0), k - 1), zero, lambda s, j: add(s, mul(at(a, F.floor(i / m) * k + j), at(b, j * m + i % m))))
+        return F.struct(F.array(n, m).alias("shape"), F.transform(F.sequence(F.lit(0), n * m - 1), cell).alias("data"))
+
+    return let(cells, a, b)
+
+
+# ---- boolean tensors: struct(shape, words array<bigint>), cell i in bit i % 64 of word i / 64; bits beyond the cells are 0
+
+
+def bits(shape: Column, flags: Column) -> Column:
+    """Packs booleans; raises unless the shape holds as many cells as there are."""
+
+    def packed(shape: Column, flags: Column) -> Column:
+        cells = F.aggregate(shape, F.lit(1), lambda a, d: a * d)
+        good = F.when(cells == F.size(flags), shape).otherwise(F.raise_error(F.lit("shape and cells differ")).cast("array<int>"))
+        # the last place of a word is its sign
+        place = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)])
+        word = lambda w: F.aggregate(F.zip_with(F.slice(flags, w * 64 + 1, F.lit(64)), place, lambda f, p: F.when(f, p).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+        every = F.when(F.size(flags) > 0, F.sequence(F.lit(0), F.floor((F.size(flags) - 1) / 64).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.struct(good.alias("shape"), F.transform(every, word).alias("words"))
+
+    return let(packed, shape, flags)
+
+
+def _words(a: Column, b: Column, op: Callable[[Column, Column], Column]) -> Column:
+    def both(a: Column, b: Column) -> Column:
+        same = F.when(a["shape"] == b["shape"], a["shape"]).otherwise(F.raise_error(F.lit("shapes don't match")).cast("array<int>"))
+        return F.struct(same.alias("shape"), F.zip_with(a["words"], b["words"], op).alias("words"))
+
+    return let(both, a, b)
+
+
+def bits_or(a: Column, b: Column) -> Column:
+    return _words(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def bits_xor(a: Column, b: Column) -> Column:
+    return _words(a, b, lambda x, y: x.bitwiseXOR(y))
+
+
+def bits_and(a: Column, b: Column) -> Column:
+    return _words(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def flags_of(t: Column) -> Column:
+    def unpacked(t: Column) -> Column:
+        n = F.aggregate(t["shape"], F.lit(1), lambda a, d: a * d)
+        word = lambda i: F.element_at(t["words"], (F.floor(i / 64) + 1).cast("int"))
+        cell = lambda i: F.call_function("getbit", word(i), (i % 64).cast("int")) == 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), cell)).otherwise(F.array().cast("array<boolean>"))
+
+    return let(unpacked, t)

@@ -224,3 +224,37 @@ def fraction_coefficients(num: Column, den: Column, most: int = 64) -> Column:
         return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] - whole * s["b"]).cast(WIDE).alias("b"), F.array_append(s["out"], whole).alias("out")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["out"]
+
+
+#: Terms that go on by rule after these first ones (fixed values; the tail of pi is 1 for ever, an approximation).
+FRACTION_STARTS = {"sqrt2": [1], "phi": [1], "e": [2], "pi": [3, 7, 15, 1, 292]}
+
+
+def fraction_constant(name: str, terms: Column) -> Column:
+    """The first `terms` coefficients of sqrt2, phi, e or pi; raises below one term."""
+    start = FRACTION_STARTS[name]
+    later = {
+        "sqrt2": lambda i: F.lit(2),
+        "e": lambda i: F.when(i % 3 == 1, 2 * F.floor(i / 3) + 2).otherwise(1),
+    }.get(name, lambda i: F.lit(1))
+    n = F.when(terms < 1, F.raise_error(F.lit("a continued fraction has a first term")).cast("int")).otherwise(terms.cast("int"))
+    first = F.array(*map(F.lit, start))
+    rest = F.when(n > len(start), F.transform(F.sequence(F.lit(0), n - len(start) - 1), lambda i: later(i).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.slice(first, F.lit(1), F.least(n, F.lit(len(start)))), rest)
+
+
+COMPLEX = r"^([+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?)(?:([+-](?:[0-9.]+(?:[eE][+-]?[0-9]+)?)?)i)?$"
+
+
+def complex_parse(text: Column) -> Column:
+    """'1.5-2i', '3+i' or '4'; raises on anything else."""
+    said = F.trim(text)
+    im = F.regexp_extract(said, COMPLEX, 2)
+    form = complex_of(F.regexp_extract(said, COMPLEX, 1), F.when(im == "", "0").when(im.isin("+", "-"), F.concat(im, F.lit("1"))).otherwise(im))
+    bad = F.raise_error(F.concat(F.lit("not a complex number: "), text)).cast("struct<re:double,im:double>")
+    return F.when(text.isNotNull(), F.when(F.regexp_like(said, F.lit(COMPLEX)), form).otherwise(bad))
+
+
+def complex_text(a: Column) -> Column:
+    """Real part, sign, imaginary part, i."""
+    return F.concat(a["re"].cast("string"), F.when(a["im"] < 0, "").otherwise("+"), a["im"].cast("string"), F.lit("i"))

@@ -168,6 +168,76 @@ def solve(f: Slope, x0: Column, y0: Column, end: Column, h: float = 0.01, method
     return F.aggregate(F.when(checked > 0, F.sequence(F.lit(1), checked)).otherwise(F.array().cast("array<int>")), start, step)
 
 
+class Cells:
+    """An array Column with the arithmetic that the steppers use, cell by cell; the other operand may be a number, a Column or Cells."""
+
+    def __init__(self, data: Column):
+        self.data = data
+
+    def _with(self, other, op: Callable[[Column, Column], Column]) -> Cells:
+        if isinstance(other, Cells):
+            return Cells(F.zip_with(self.data, other.data, op))
+        fixed = other if isinstance(other, Column) else F.lit(other)
+        return Cells(F.transform(self.data, lambda x: op(x, fixed)))
+
+    def __add__(self, other) -> Cells:
+        return self._with(other, lambda x, y: x + y)
+
+    def __sub__(self, other) -> Cells:
+        return self._with(other, lambda x, y: x - y)
+
+    def __mul__(self, other) -> Cells:
+        return self._with(other, lambda x, y: x * y)
+
+    def __truediv__(self, other) -> Cells:
+        return self._with(other, lambda x, y: x / y)
+
+    def __neg__(self) -> Cells:
+        return Cells(F.transform(self.data, lambda x: -x))
+
+    def __getitem__(self, place: int) -> Column:
+        return F.get(self.data, F.lit(place))
+
+    @staticmethod
+    def of(*cells: Column) -> Cells:
+        return Cells(F.array(*cells))
+
+
+def _cells_step(method: str, f: Callable, x: Column, y: Column, h: Column) -> Column:
+    """One step of a state of cells; slopes are named once each."""
+    slope = lambda x, y: f(x, Cells(y)).data
+    move = lambda y, k, by: F.zip_with(y, k, lambda a, b: a + by * b)
+    if method == "forward-euler":
+        return move(y, slope(x, y), h)
+    if method == "midpoint":
+        return _let(move(y, slope(x, y), h / 2), lambda z: move(y, slope(x + h / 2, z), h))
+    if method == "backward-euler":
+        return F.aggregate(F.sequence(F.lit(1), F.lit(16)), move(y, slope(x, y), h), lambda z, _: move(y, slope(x + h, z), h))
+
+    def last(a: Column, b: Column, c: Column, d: Column) -> Column:
+        return F.zip_with(y, F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), lambda y, k: y + h / 6 * (k["a"] + 2 * k["b"] + 2 * k["c"] + k["d"]))
+
+    half = lambda k: _let(move(y, k, h / 2), lambda z: slope(x + h / 2, z))
+    whole = lambda k: _let(move(y, k, h), lambda z: slope(x + h, z))
+    return _let(slope(x, y), lambda a: _let(half(a), lambda b: _let(half(b), lambda c: _let(whole(c), lambda d: last(a, b, c, d)))))
+
+
+def solve_cells(f: Callable[[Column, Cells], Cells], x0: Column, y0: Column, end: Column, h: float = 0.01, method: str = "rk4", most: int = 100_000) -> Column:
+    """The state at `end` of a system whose state is an array: as `solve`, without the path. `f` takes x and Cells and gives Cells."""
+    if h == 0:
+        raise ValueError("step of 0")
+    n = F.ceil(F.round(F.abs(end - x0) / abs(h), 9)).cast("int")
+    checked = F.when(n > most, F.raise_error(F.lit("too many steps")).cast("int")).otherwise(n)
+    signed = F.signum(end - x0) * abs(h)
+    steps = F.when(checked > 0, F.sequence(F.lit(1), checked)).otherwise(F.array().cast("array<int>"))
+
+    def step(y: Column, i: Column) -> Column:
+        start = x0 + signed * (i - 1)
+        return _cells_step(method, f, start, y, F.when(i == n, end - start).otherwise(signed))
+
+    return F.aggregate(steps, y0.cast("array<double>"), step)
+
+
 def solve_adaptive(rows: DataFrame, key: str, f: Callable, x0: str, y0: str, end: str, tolerance: float = 1e-8, h: float = 0.01, most: int = 100_000) -> DataFrame:
     """(key, x, y, steps) at `end`: Runge-Kutta-Fehlberg of orders 4 and 5 for all rows of a batch at once; `f` works on numpy arrays."""
     a = [[], [1 / 4], [3 / 32, 9 / 32], [1932 / 2197, -7200 / 2197, 7296 / 2197], [439 / 216, -8, 3680 / 513, -845 / 4104], [-8 / 27, 2, -3544 / 2565, 1859 / 4104, -11 / 40]]
@@ -263,6 +333,14 @@ def q_ode_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve_adaptive(p, "p_partkey", lambda x, y: -y / 2, "x0", "a", "end").select("p_partkey", F.round("y", 5).alias("y"))
 
 
+def q_ode_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oscillator y'' = -y as a state of two cells, from (a, b) over a span of 1, by Runge-Kutta of order 4."""
+    turn = lambda x, y: Cells.of(y[1], -y[0])
+    p = _parts(spark, sf_dir)
+    y = solve_cells(turn, F.lit(0.0), F.array("a", "b"), F.lit(1.0), 0.05)
+    return p.select("p_partkey", y.alias("y")).select("p_partkey", *(F.round(F.col("y")[i], 3).alias(n) for i, n in enumerate(("place", "speed"))))
+
+
 X, Y = E.Var("a"), E.Var("b")
 BODY = (X**2 * Y + E.sin(X) / Y) ** 2 + E.exp(-X) * E.ln(Y + 1)
 
@@ -322,6 +400,7 @@ QUERIES = {
     "numeric_quadrature": (q_quadrature, f"{_P} SELECT p_partkey, " + ", ".join(f"{_true.format(2)} AS {n.replace('-', '_')}" if n != "trapezoid" else "round(1 - cos(b) + b ^ 4 / 12 + (b / 256) ^ 2 / 12 * (cos(b) - 1 + b * b), 2) AS trapezoid" for n in QUADRATURE) + " FROM p"),
     "numeric_adaptive": (q_adaptive, f"{_P} SELECT p_partkey, round(CASE WHEN b <= 1 THEN 2.0 / 3 * (1 - (1 - b) ^ 1.5) ELSE 2.0 / 3 * (1 + (b - 1) ^ 1.5) END + 1 - exp(-b), 4) AS value FROM p"),
     "ode_fixed_step": (q_ode, ODE_SQL), "ode_rkf45": (q_ode_adaptive, "SELECT p_partkey, round(p_retailprice / 1000 * exp(-0.5), 5) AS y FROM part"),
+    "ode_cells": (q_ode_cells, "WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS a, p_size / 10 AS b FROM part) SELECT p_partkey, round(a * cos(1) + b * sin(1), 3) AS place, round(b * cos(1) - a * sin(1), 3) AS speed FROM p"),
     "cas_columns": (q_cas, CAS_SQL),
     "cas_functions": (q_functions, "WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS a, p_size / 10 AS b FROM part) SELECT p_partkey, round(a * a * cos(b) + 1, 6) AS h, round(2 * a * cos(b), 6) AS grad0, round(-a * a * sin(b), 6) AS grad1 FROM p"),
     "numeric_autodiff": (q_autodiff, AUTODIFF_SQL),

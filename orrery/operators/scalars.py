@@ -169,7 +169,40 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROMOTIONS_SQL = "SELECT p_partkey, p_size::tinyint::int AS i8, p_size::smallint::int AS i16, p_size::bigint AS i64, p_size::varchar AS \"bigint\", p_size::float::double AS f32, p_size::double AS f64 FROM part"
 
+def fraction_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convergents of the built-in continued fractions after as many terms as the part's size."""
+    p = table(spark, sf_dir, "part").select("p_size").distinct()
+    named = F.array(*[F.struct(F.lit(n).alias("name"), S.fraction_constant(n, F.col("p_size")).alias("terms")) for n in S.FRACTION_STARTS])
+    each = p.select(F.col("p_size").alias("terms"), F.explode(named).alias("c")).withColumn("r", S.fraction_convergent(F.col("c.terms")))
+    return each.select("terms", "c.name", F.col("r.num").cast("string").alias("num"), F.col("r.den").cast("string").alias("den"))
+
+
+FRACTION_CONSTANTS_SQL = """
+WITH RECURSIVE n AS (SELECT unnest(['sqrt2', 'phi', 'e', 'pi']) AS name),
+ t AS (SELECT name, i, CASE name WHEN 'sqrt2' THEN CASE WHEN i = 0 THEN 1 ELSE 2 END WHEN 'phi' THEN 1
+   WHEN 'e' THEN CASE WHEN i = 0 THEN 2 WHEN i % 3 = 2 THEN 2 * ((i + 1) // 3) ELSE 1 END
+   ELSE CASE i WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 15 WHEN 4 THEN 292 ELSE 1 END END::hugeint AS a FROM n, (SELECT unnest(range(60)) AS i)),
+ c AS (SELECT name, 0::bigint AS i, a AS h, 1::hugeint AS h0, 1::hugeint AS k, 0::hugeint AS k0 FROM t WHERE i = 0
+  UNION ALL SELECT c.name, t.i, t.a * c.h + c.h0, c.h, t.a * c.k + c.k0, c.k FROM c JOIN t ON t.name = c.name AND t.i = c.i + 1)
+SELECT p_size AS terms, name, h::varchar AS num, k::varchar AS den FROM c JOIN (SELECT DISTINCT p_size FROM part) p ON c.i = p.p_size - 1
+"""
+
+
+def complex_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complex numbers written as text, read and squared."""
+    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "-").otherwise("+"), (F.col("p_partkey") % 100).cast("string"), F.lit(".5i"))
+    p = table(spark, sf_dir, "part").select("p_partkey", S.complex_parse(text).alias("z"))
+    return p.select("p_partkey", S.complex_text(F.col("z")).alias("said"), *(S.complex_mul(F.col("z"), F.col("z"))[f].alias(f) for f in ("re", "im")))
+
+
+COMPLEX_TEXTS_SQL = """
+WITH z AS (SELECT p_partkey, p_size::double AS x, (CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END) * (p_partkey % 100 + 0.5::double) AS y FROM part)
+SELECT p_partkey, x::varchar || CASE WHEN y < 0 THEN '' ELSE '+' END || y::varchar || 'i' AS said, x * x - y * y AS re, 2 * x * y AS im FROM z
+"""
+
+
 QUERIES = {
+    "scalar_fraction_constants": (fraction_constants, FRACTION_CONSTANTS_SQL), "scalar_complex_text": (complex_texts, COMPLEX_TEXTS_SQL),
     "scalar_integers": (integers, INTEGERS_SQL), "scalar_rationals": (rationals, RATIONALS_SQL), "scalar_rational_parse": (rational_parse, RATIONAL_PARSE_SQL), "scalar_rational_decimals": (rational_decimals, RATIONAL_DECIMALS_SQL), "scalar_floats": (floats, FLOATS_SQL),
     "scalar_complex": (complexes, COMPLEXES_SQL), "scalar_booleans": (booleans, BOOLEANS_SQL), "scalar_reductions": (reductions, REDUCTIONS_SQL), "scalar_continued_fractions": (fractions, FRACTIONS_SQL),
     "scalar_domains": (domains, DOMAINS_SQL), "scalar_promotions": (promotions, PROMOTIONS_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.stats import GOLDEN, splitmix
-from orrery.sources.tables import table
+from orrery.sources.scratch import shared_path
+from orrery.sources.tables import series, table
 
 
 # ---- Markov chains
@@ -24,13 +26,14 @@ def transitions(df: DataFrame, seq: str, order: list[str], state: str) -> DataFr
     return df.select(seq, F.col(state).alias("from_state"), after.alias("to_state")).where("to_state IS NOT NULL")
 
 
-def transition_matrix(pairs: DataFrame, smoothing: float = 1.0) -> DataFrame:
+def transition_matrix(pairs: DataFrame, smoothing: float = 1.0, states: DataFrame | None = None) -> DataFrame:
     """from_state, to_state, n, p = (n + a) / (row + a S) for all pairs of the vocabulary, unseen ones included.
 
-    The vocabulary comes from the pairs; the dense matrix has S x S rows, so S is meant to be small and is checked.
+    The vocabulary is `states(s)`, or what the pairs hold; the dense matrix has S x S rows, so S is meant to be small and is checked.
     """
     counts = pairs.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
-    states = counts.select(F.explode(F.array("from_state", "to_state")).alias("s")).distinct()
+    if states is None:
+        states = counts.select(F.explode(F.array("from_state", "to_state")).alias("s")).distinct()
     size = states.count()
     if size > 5000:
         raise ValueError(f"{size} states: the dense matrix would have {size * size} rows")
@@ -49,6 +52,49 @@ def markov_score(pairs: DataFrame, matrix: DataFrame, seq: str) -> DataFrame:
     return scored.withColumn("mean_nll", -F.col("log_likelihood") / F.col("n")).withColumn("perplexity", F.exp("mean_nll"))
 
 
+def held_out_rows(df: DataFrame, seq: str, held_out: int) -> DataFrame:
+    """`df` with held_out: whether a row's sequence is among the last `held_out` in order of its key. Raises unless some are left to
+    learn from. The cut is one key, found by sorting the keys alone; it reaches the executors as a literal."""
+    if held_out < 0:
+        raise ValueError("a negative number of sequences")
+    if not held_out:
+        return df.withColumn("held_out", F.lit(False))
+    cut = df.select(seq).where(F.col(seq).isNotNull()).distinct().orderBy(F.col(seq).desc()).offset(held_out - 1).limit(2).collect()
+    if len(cut) < 2:
+        raise ValueError(f"{held_out} held-out sequences leave none to learn from")
+    return df.withColumn("held_out", F.col(seq) >= F.lit(cut[0][0]))
+
+
+def fit_markov(df: DataFrame, seq: str, order: list[str], state: str, held_out: int = 0, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The transition matrix of all but the last `held_out` sequences, and per sequence its score with held_out.
+
+    The vocabulary is that of the training sequences, those of a single row included; a held-out state outside it raises when the scores
+    are read, and so does a smoothing below 0. A part without any pair has no scores.
+    """
+    if not smoothing >= 0:
+        raise ValueError("smoothing below 0")
+    rows = held_out_rows(df, seq, held_out)
+    after = F.lead(state).over(Window.partitionBy(seq).orderBy(*order))
+    pairs = rows.select(seq, "held_out", F.col(state).alias("from_state"), after.alias("to_state")).where("to_state IS NOT NULL")
+    vocabulary = rows.where("NOT held_out").select(F.col(state).alias("s")).distinct()
+    matrix = transition_matrix(pairs.where("NOT held_out"), smoothing, vocabulary)
+    scores = markov_score(pairs.select(F.struct(seq, "held_out").alias("who"), "from_state", "to_state"), matrix, "who")
+    return matrix, scores.select(f"who.{seq}", "who.held_out", "n", "log_likelihood", "mean_nll", "perplexity")
+
+
+def stable_text(matrix: DataFrame, header: str, smoothing: float, held_out: int, corpus: dict[str, str]) -> str:
+    """The model as text that is equal for equal models: header, policy, states in order, counts of the pairs seen. Texts are hexadecimal
+    UTF-8, smoothing the bits of its double. `corpus` has id, source, license and hash. The matrix is bounded (see transition_matrix)."""
+    rows = matrix.select(F.col("from_state").cast("string"), F.col("to_state").cast("string"), "n").orderBy("from_state", "to_state").collect()
+    states = sorted({r["from_state"] for r in rows})
+    place = {x: i for i, x in enumerate(states)}
+    lines = [header, f"additive-smoothing-bits={struct.unpack('>Q', struct.pack('>d', smoothing))[0]:016x}", f"held-out-sequences={held_out}"]
+    lines += [f"corpus-{k}={corpus[k].encode().hex()}" for k in ("id", "source", "license", "hash")]
+    lines += [f"states={len(states)}", *(f"state={i}:{x.encode().hex()}" for x, i in place.items())]
+    counted = sorted((place[r["from_state"]], place[r["to_state"]], r["n"]) for r in rows if r["n"])
+    return "\n".join([*lines, *(f"transition={a}:{b}:{n}" for a, b, n in counted)]) + "\n"
+
+
 def row_stochastic(matrix: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """Rows of the matrix that don't sum to 1 or have a probability outside [0, 1]; none for a valid matrix."""
     return matrix.groupBy("from_state").agg(F.sum("p").alias("total"), F.min("p").alias("least")).where((F.abs(F.col("total") - 1) > tolerance) | (F.col("least") < 0))
@@ -192,6 +238,81 @@ def fit(df: DataFrame, seq: str, states: int, symbols: int, seed: int = 23, roun
     return model, found
 
 
+def values_at(df: DataFrame, order: list[str], value: str, places: list[int]) -> list[float]:
+    """The values at the given places of `df` sorted by `order`: rows are numbered by their sorted partition and their place in it, so
+    only a count a partition reaches the driver."""
+    spark, at = df.sparkSession, shared_path(df.sparkSession, "sorted")
+    df.orderBy(*order).select(F.monotonically_increasing_id().alias("m"), F.col(value).cast("double").alias("v")).write.parquet(at)
+    numbered = spark.read.parquet(at)
+    counts = numbered.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    found = {}
+    for wanted in sorted(set(places)):
+        before = 0
+        for r in counts:
+            if wanted < before + r["n"]:
+                found[wanted] = (r["p"] << 33) + wanted - before
+                break
+            before += r["n"]
+    got = {r["m"]: r["v"] for r in numbered.where(F.col("m").isin(list(found.values()))).collect()}
+    return [got[found[w]] for w in places]
+
+
+def first_gaussian_model(df: DataFrame, seq: str, states: int, seed: int, variance_floor: float) -> Hmm:
+    """Start and transition rows as `first_model` draws them; means are values drawn from all rows in order of (seq, t), variances that of
+    all values."""
+    r = Units(seed)
+    row = lambda n: (lambda v: v / v.sum())(np.array([0.5 + r.unit() for _ in range(n)]))
+    start, move = row(states), np.array([row(states) for _ in range(states)])
+    known = df.agg(F.count("x").alias("n"), F.var_pop("x").alias("variance")).first()
+    means = values_at(df, [seq, "t"], "x", [r.next() % known["n"] for _ in range(states)])
+    return Hmm(start, move, mean=np.array(means), variance=np.full(states, max(known["variance"], variance_floor)))
+
+
+def fit_gaussian(df: DataFrame, seq: str, states: int, seed: int = 23, rounds: int = 6, smoothing: float = 1e-6, tolerance: float = 1e-9, variance_floor: float = 1e-6, floor: float = 1e-12) -> tuple[Hmm, list[float]]:
+    """Baum-Welch over `df(seq, t, x)` with a Gaussian a state: as `fit`, with sums of weights, values and squares in place of symbol
+    counts. A state of no weight keeps its mean and variance. Values are taken from their mean, so that squares keep their digits."""
+    if df.where("x IS NULL OR isnan(x)").limit(1).count():
+        raise ValueError("missing values")
+    centre = df.agg(F.avg("x")).first()[0]
+    if centre is None:
+        raise ValueError("no sequences")
+    sequences = df.groupBy(seq).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda r: r["x"].cast("double")).alias("xs")).select("xs").cache()
+    model, found = first_gaussian_model(df, seq, states, seed, variance_floor), []
+
+    def expected(model: Hmm) -> np.ndarray:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            start, move, sums, total = np.zeros(states), np.zeros((states, states)), np.zeros((3, states)), 0.0
+            for batch in batches:
+                for xs in batch["xs"]:
+                    x = np.asarray(xs, float)
+                    ll, marginal, moves = model.forward_backward(x)
+                    near = x - centre
+                    total += ll
+                    start += marginal[0]
+                    move += moves
+                    sums += np.array([marginal.sum(0), near @ marginal, near**2 @ marginal])
+            values = np.concatenate([[total], start, move.ravel(), sums.ravel()])
+            yield pd.DataFrame({"i": np.arange(len(values)), "v": values})
+
+        rows = sequences.mapInPandas(count, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        return np.array([r["v"] for r in rows])
+
+    for number in range(rounds + 1):
+        v = expected(model)
+        found.append(float(v[0]))
+        if number == rounds or (len(found) > 1 and abs(found[-1] - found[-2]) <= tolerance):
+            break
+        start, move, (weight, first, second) = v[1 : 1 + states], v[1 + states : 1 + states + states**2].reshape(states, states), v[1 + states + states**2 :].reshape(3, states)
+        norm = lambda m: np.maximum(m + smoothing, floor) / np.maximum(m + smoothing, floor).sum(-1, keepdims=True)
+        some = weight > floor
+        safe = np.where(some, weight, 1.0)
+        mean = np.where(some, centre + first / safe, model.mean)
+        variance = np.where(some, np.maximum(second / safe - (first / safe) ** 2, variance_floor), model.variance)
+        model = Hmm(norm(start), norm(move), mean=mean, variance=variance)
+    sequences.unpersist()
+    return model, found
+
+
 # ---- queries
 
 
@@ -211,6 +332,26 @@ def q_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("log_likelihood", "mean_nll", "perplexity")))
 
 
+def q_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's score under the chain of all users but the last ten."""
+    _, scores = fit_markov(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", 10)
+    return scores.select("user_id", "held_out", "n", *(F.round(c, 6).alias(c) for c in ("log_likelihood", "mean_nll", "perplexity")))
+
+
+HOLDOUT_SQL = """WITH h AS (SELECT *, user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id DESC LIMIT 10) AS held_out FROM events),
+ p AS (SELECT user_id, held_out, event_type AS f, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM h), v AS (SELECT count(DISTINCT event_type) AS s FROM h WHERE NOT held_out),
+ c AS (SELECT f, t, count(*) AS n FROM p WHERE t IS NOT NULL AND NOT held_out GROUP BY ALL), r AS (SELECT f, sum(n) AS n FROM c GROUP BY f),
+ s AS (SELECT user_id, held_out, count(*) AS n, sum(ln((coalesce(c.n, 0) + 1.0) / (coalesce(r.n, 0) + v.s))) AS l FROM p CROSS JOIN v LEFT JOIN c USING (f, t) LEFT JOIN r USING (f) WHERE p.t IS NOT NULL GROUP BY ALL)
+SELECT user_id, held_out, n, round(l, 6) AS log_likelihood, round(-l / n, 6) AS mean_nll, round(exp(-l / n), 6) AS perplexity FROM s"""
+
+
+def q_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    model, found = fit_gaussian(series(events, ["user_id"], ["ts", "event_id"], "value").withColumnRenamed("idx", "t"), "user_id", 2)
+    rows = [(i, float(model.mean[i]), float(model.variance[i]), float(model.start[i])) for i in range(2)]
+    return spark.createDataFrame(rows, "state int, mean double, variance double, start double").withColumn("log_likelihood", F.lit(found[-1]))
+
+
 def q_stochastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_stochastic(transition_matrix(user_events(spark, sf_dir))).agg(F.count(F.lit(1)).alias("bad_rows"))
 
@@ -247,6 +388,8 @@ QUERIES = {
     "markov_matrix": (q_matrix, f"WITH {_PAIRS}, {_matrix_sql('true')} SELECT from_state, to_state, n, round(p, 6) AS p FROM m"),
     "markov_score": (q_score, f"WITH {_PAIRS}, {_matrix_sql('user_id % 100 < 90')}, s AS (SELECT user_id, count(*) AS n, sum(ln(m.p)) AS l FROM p JOIN m USING (from_state, to_state) WHERE user_id % 100 >= 90 GROUP BY user_id) SELECT user_id, n, round(l, 6) AS log_likelihood, round(-l / n, 6) AS mean_nll, round(exp(-l / n), 6) AS perplexity FROM s"),
     "markov_row_stochastic": (q_stochastic, "SELECT 0 AS bad_rows"),
+    "markov_holdout": (q_holdout, HOLDOUT_SQL),
+    "hmm_fit_gaussian": (q_gaussian, None),
     "hmm_decode": (q_decode, None),
     "hmm_fit": (q_fit, None),
 }

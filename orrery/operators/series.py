@@ -68,6 +68,34 @@ def convolve_blocks(df: DataFrame, keys: list[str], kernel: list[float], block:
     return parts.select(*keys, "first", "rows").mapInPandas(each, f"{kinds}, idx long, y double").groupBy(*keys, "idx").agg(F.sum("y").alias("y"))
 
 
+def convolve_overlap_save(df: DataFrame, keys: list[str], kernel: list[float], block: int = 4096) -> DataFrame:
+    """Overlap-save: each block also gets the last len(kernel) - 1 samples before it, is convolved in a circle and drops what wraps
+    around. A place comes from one block alone, so nothing is summed afterwards. Places of a series must have no gaps."""
+    h = np.asarray(kernel, float)
+    past = len(h) - 1
+    if block < max(past, 1):
+        raise ValueError("a block must hold the kernel's past")
+    own = F.floor(F.col("idx") / block)
+    blocks = F.when(F.col("idx") % block >= block - past, F.array(own, own + 1)).otherwise(F.array(own)) if past else F.array(own)
+    parts = df.withColumn("block", F.explode(blocks)).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("rows"))
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    size = block + past
+    turned = np.fft.rfft(h, size)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, r in batch.iterrows():
+                start, x = int(r["block"]) * block, np.zeros(size)
+                for s in r["rows"]:
+                    x[s["idx"] - start + past] = s["x"]
+                last = r["rows"][-1]["idx"]  # of the series, unless the block is full
+                n = block if last == start + block - 1 else min(block, last + past - start + 1)
+                y = np.fft.irfft(np.fft.rfft(x) * turned, size)[past : past + n]
+                yield pd.DataFrame({k: r[k] for k in keys} | {"idx": start + np.arange(n), "y": y})
+
+    return parts.mapInPandas(each, f"{kinds}, idx long, y double")
+
+
 def correlate(df: DataFrame, keys: list[str], lags: int, norm: str = "none") -> DataFrame:
     """Of columns x and y: (keys, lag, r), r = sum x[n] y[n + lag] for lags -lags … lags; norms none, biased, unbiased, coefficient."""
     w = _along(keys)
@@ -291,6 +319,10 @@ def _full_sql(place: str, where: str, final: str = "i") -> str:
     return f"WITH {_S}, f AS (SELECT user_id, {place} AS i, sum(x * h) AS y FROM s JOIN n USING (user_id) CROSS JOIN k GROUP BY user_id, {place}) SELECT user_id, {final} AS idx, round(y, 5) AS y FROM f JOIN n USING (user_id) WHERE {where}"
 
 
+def q_overlap_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convolve_overlap_save(user_series(spark, sf_dir), ["user_id"], KERNEL, 16).withColumn("y", F.round("y", 5))
+
+
 def q_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convolve_blocks(user_series(spark, sf_dir), ["user_id"], KERNEL, 16).withColumn("y", F.round("y", 5))
 
@@ -393,7 +425,7 @@ QUERIES = {
     "signal_convolve_same": (_kernel_query("same"), _full_sql("idx + j", "i >= 1 AND i < n + 1", "i - 1")),
     "signal_convolve_valid": (_kernel_query("valid"), _full_sql("idx + j", "i >= 3 AND i < n", "i - 3")),
     "signal_convolve_circular": (_kernel_query("circular"), _full_sql("(idx + j) % n", "true")),
-    "signal_convolve_blocks": (q_blocks, _full_sql("idx + j", "true")),
+    "signal_convolve_blocks": (q_blocks, _full_sql("idx + j", "true")), "signal_overlap_save": (q_overlap_save, _full_sql("idx + j", "true")),
     "signal_correlate": (q_correlate, CORRELATE_SQL),
     "signal_savitzky_golay": (q_savgol, SAVGOL_SQL),
     "signal_unwrap": (q_unwrap, f"SELECT user_id, idx, round(idx * 2.5, 6) AS y FROM ({USER_SERIES_SQL})"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
+from orrery.functions import scalar as S
 from orrery.sources.tables import table
 
 
@@ -210,6 +211,50 @@ def q_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _v(spark, sf_dir).select("vec_id", word.bitwiseOR(mask).alias("either"), word.bitwiseXOR(mask).alias("differ"), word.bitwiseAND(mask).alias("both"))
 
 
+def q_bits_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed boolean tensors over whole vectors: the sign bits against every third place."""
+    df = _whole(spark, sf_dir)
+    shape = F.array(F.size("v"))
+    t = df.select("vec_id", A.bits(shape, F.transform("v", lambda x: x > 0)).alias("a"), A.bits(shape, F.transform("v", lambda x, i: i % 3 == 0)).alias("b"))
+    said = lambda x: F.array_join(F.transform(A.flags_of(x), lambda f: F.when(f, "1").otherwise("0")), "")
+    a, b = F.col("a"), F.col("b")
+    return t.select("vec_id", said(A.bits_or(a, b)).alias("either"), said(A.bits_xor(a, b)).alias("differ"), said(A.bits_and(a, b)).alias("both"))
+
+
+def _ratio(num: F.Column, den: F.Column) -> F.Column:
+    return S.rational(num, den)
+
+
+def q_rational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2 x 2 matrices of exact rationals: m + 1/3 in each cell, then the trace of m m."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    cells = F.array(_ratio(k % 97, n), _ratio(n, F.lit(6)), _ratio(-k % 89, F.lit(4)), _ratio(F.lit(1), n))
+    t = table(spark, sf_dir, "part").select("p_partkey", A.tensor_of(F.array(F.lit(2), F.lit(2)), cells).alias("m"))
+    third = A.tensor_of(F.array(F.lit(1)), F.array(_ratio(F.lit(1), F.lit(3))))
+    moved = t.select("p_partkey", A.broadcasted(F.col("m"), third, S.rational_add).alias("s"), A.matmul_of(F.col("m"), F.col("m"), _ratio(F.lit(0), F.lit(1)), S.rational_add, S.rational_mul).alias("p"))
+    said = {"s00": F.col("s.data")[0], "s01": F.col("s.data")[1], "s10": F.col("s.data")[2], "s11": F.col("s.data")[3]}
+    return moved.select("p_partkey", *(S.rational_text(c).alias(n) for n, c in said.items()), S.rational_text(S.rational_add(F.col("p.data")[0], F.col("p.data")[3])).alias("trace"))
+
+
+def _said_sql(num: str, den: str, name: str) -> str:
+    return f"CASE WHEN {den} = gcd({num}, {den}) THEN (({num}) // {den})::varchar ELSE (({num}) // gcd({num}, {den}))::varchar || '/' || (({den}) // gcd({num}, {den}))::varchar END AS {name}"
+
+
+RATIONAL_SQL = f"""WITH p AS (SELECT p_partkey, (p_partkey % 97)::bigint AS k, (-p_partkey % 89)::bigint AS j, p_size::bigint AS n FROM part)
+SELECT p_partkey, {_said_sql("(3 * k + n)", "(3 * n)", "s00")}, {_said_sql("(n + 2)", "6", "s01")}, {_said_sql("(3 * j + 4)", "12", "s10")}, {_said_sql("(3 + n)", "(3 * n)", "s11")},
+ {_said_sql("(12 * k * k + n * n * n * j + 12)", "(12 * n * n)", "trace")} FROM p"""
+
+
+def q_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole vectors as complex tensors (neighbouring components are a cell's parts): their squares, cell by cell, and the sum of these."""
+    df = _whole(spark, sf_dir)
+    half = F.floor(F.size("v") / 2).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), half - 1), lambda i: S.complex_of(F.get("v", 2 * i), F.get("v", 2 * i + 1)))
+    t = df.select("vec_id", A.tensor_of(F.array(half), cells).alias("z")).select("vec_id", A.broadcasted(F.col("z"), F.col("z"), S.complex_mul).alias("z"))
+    summed = t.select("vec_id", A.total_of(F.col("z"), S.complex_of(F.lit(0.0), F.lit(0.0)), S.complex_add).alias("s"))
+    return summed.select("vec_id", *(F.round(F.col("s")[f], 6).alias(f) for f in ("re", "im")))
+
+
 _D = "(embedding[{}]::double)"
 _d = [_D.format(i + 1) for i in range(9)]
 _gram = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum({_d[i]} * {_d[j]}), 6) AS v FROM embeddings" for i in range(6) for j in range(6))
@@ -238,4 +283,8 @@ QUERIES = {
     "tensor_solve": (q_solve, f"SELECT vec_id, round(({_d[4]} * ({_d[3]} + 3) - {_d[1]} * {_d[5]}) / {_safe}, 6) AS x0, round((({_d[0]} + 3) * {_d[5]} - {_d[2]} * {_d[4]}) / {_safe}, 6) AS x1, true AS solved FROM embeddings"),
     "tensor_exact_add": (q_exact_add, "SELECT p_partkey, (p_partkey::hugeint + 9223372036854775808::hugeint)::varchar AS \"first\", (p_size::hugeint + 4611686018427387904::hugeint)::varchar AS \"second\" FROM part"),
     "tensor_bits": (q_bits, f"SELECT vec_id, {_bits} | 45 AS either, xor({_bits}, 45) AS differ, {_bits} & 45 AS both FROM embeddings"),
+    "tensor_bits_packed": (q_bits_packed, "SELECT vec_id, string_agg(CASE WHEN x > 0 OR pos % 3 = 0 THEN '1' ELSE '0' END, '' ORDER BY pos) AS either, string_agg(CASE WHEN (x > 0) <> (pos % 3 = 0) THEN '1' ELSE '0' END, '' ORDER BY pos) AS differ, "
+        f"string_agg(CASE WHEN x > 0 AND pos % 3 = 0 THEN '1' ELSE '0' END, '' ORDER BY pos) AS both FROM {_WHOLE} GROUP BY vec_id"),
+    "tensor_rational": (q_rational, RATIONAL_SQL),
+    "tensor_complex": (q_complex, f"SELECT vec_id, round(sum(CASE WHEN pos % 2 = 0 THEN x * x ELSE -x * x END), 6) AS re, round(sum(2 * x * y) FILTER (pos % 2 = 0), 6) AS im FROM (SELECT *, lead(x) OVER (PARTITION BY vec_id ORDER BY pos) AS y FROM {_WHOLE}) GROUP BY vec_id"),
 }

@@ -6,15 +6,17 @@ by Spark; state is bounded by the watermark for windows and by the number of key
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orrery.operators.series import KERNEL
 from orrery.sources.scratch import shared_path
-from orrery.sources.tables import table
+from orrery.sources.tables import USER_SERIES_SQL, table
 
 
 def windowed_statistics(stream: DataFrame, time: str, value: str, keys: list[str], window: str, late: str, slide: str | None = None) -> DataFrame:
@@ -59,6 +61,37 @@ def envelope(stream: DataFrame, key: str, order: str, value: str, attack: float,
     return stream.groupBy(key).applyInPandasWithState(step, f"{kinds}, e double", "e double", "append", GroupStateTimeout.NoTimeout)
 
 
+def convolution(stream: DataFrame, key: str, order: str, value: str, kernel: list[float]) -> DataFrame:
+    """(key, order, idx, y): overlap-add of each key's values with a kernel. What the kernel makes of the values so far beyond the last
+    one, len(kernel) - 1 sums, is kept between batches and added to the next; places after a key's last value stay in the state."""
+    h = np.asarray(kernel, float)
+    past = len(h) - 1
+
+    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, tail = state.get if state.exists else (0, [0.0] * past)
+        frame = pd.concat(list(frames)).sort_values(order)
+        n = len(frame)
+        y = np.convolve(frame[value].to_numpy(float), h)
+        y[:past] += np.asarray(tail)
+        state.update((seen + n, y[n : n + past].tolist()))
+        yield pd.DataFrame({key: [k[0]] * n, order: frame[order], "idx": seen + np.arange(n), "y": y[:n]})
+
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (key, order))
+    return stream.groupBy(key).applyInPandasWithState(step, f"{kinds}, idx long, y double", "seen long, tail array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def resumed(parts: list[DataFrame], form: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Rows of `form` over a stream that gets one part after another. The query stops after each and is started again from its
+    checkpoint, so all that spans two parts comes from saved state."""
+    spark, source = parts[0].sparkSession, shared_path(parts[0].sparkSession, f"{name}-source")
+    out, check = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = form(spark.readStream.schema(part.schema).parquet(source))
+        stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream until its source is empty, into Parquet in the shared folder, and read that. In complete mode each batch replaces the
     result, so the last is read."""
@@ -113,7 +146,44 @@ def _envelope_sql() -> str:
     return ENVELOPE_SQL.replace("SELECT user_id, idx, round(e, 5) AS e FROM r", "SELECT user_id, round(sum(e), 3) AS total, count(*) AS n FROM r GROUP BY user_id")
 
 
+def event_parts(spark: SparkSession, sf_dir: str, count: int = 3) -> list[DataFrame]:
+    """Events with a sortable time, cut by time into `count` parts of about equal size."""
+    events = table(spark, sf_dir, "events")
+    cuts = events.select(F.unix_micros("ts").alias("m")).approxQuantile("m", [i / count for i in range(1, count)], 0.01)
+    at = F.concat_ws("|", F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    rows = events.select("user_id", at.alias("at"), "event_type", "value", sum((F.when(F.unix_micros("ts") >= int(c), 1).otherwise(0) for c in cuts), F.lit(0)).alias("part"))
+    return [rows.where(F.col("part") == i).drop("part") for i in range(count)]
+
+
+def q_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resumed(event_parts(spark, sf_dir), lambda s: convolution(s, "user_id", "at", "value", KERNEL), "convolution")
+    return got.select("user_id", "idx", F.round("y", 5).alias("y"))
+
+
+def q_transitions_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resumed(event_parts(spark, sf_dir), lambda s: transition_counts(s, "user_id", "at", "event_type"), "transitions")
+    return got.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_envelope_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resumed(event_parts(spark, sf_dir), lambda s: envelope(s, "user_id", "at", "value", 0.5, 0.1), "envelope")
+    return got.groupBy("user_id").agg(F.round(F.sum("e"), 3).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def q_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows' medians, exact while a window has fewer rows than the summary's accuracy."""
+    got = drained(windowed_statistics(events_stream(spark, sf_dir), "ts", "value", ["event_type"], "1 day", "2 days"), "medians", "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", F.round("median", 5).alias("median"))
+
+
+TRANSITIONS_SQL = """WITH p AS (SELECT event_type AS from_state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_state FROM events)
+SELECT from_state, to_state, count(*) AS n FROM p WHERE to_state IS NOT NULL GROUP BY ALL"""
+CONVOLUTION_SQL = f"""SELECT user_id, idx, round({" + ".join(f"coalesce(lag(x, {j}) OVER w, 0) * {h}" for j, h in enumerate(KERNEL))}, 5) AS y FROM ({USER_SERIES_SQL})
+WINDOW w AS (PARTITION BY user_id ORDER BY idx)"""
+
 QUERIES = {
+    "stream_convolution": (q_convolution, CONVOLUTION_SQL), "stream_transitions_resumed": (q_transitions_resumed, TRANSITIONS_SQL), "stream_envelope_resumed": (q_envelope_resumed, _envelope_sql()),
+    "stream_medians": (q_medians, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(quantile_disc(value, 0.5), 5) AS median FROM events GROUP BY ALL"),
     "stream_windows": (q_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 5) AS mean, round(min(value), 5) AS least, round(max(value), 5) AS most FROM events GROUP BY ALL"),
     "stream_sessions": (q_sessions, SESSIONS_SQL),
     "stream_transitions": (q_transitions, "WITH p AS (SELECT event_type AS from_state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_state FROM events) SELECT from_state, to_state, count(*) AS n FROM p WHERE to_state IS NOT NULL GROUP BY ALL"),
