@@ -338,7 +338,7 @@ def q_ode_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = lambda x, y: Cells.of(y[1], -y[0])
     p = _parts(spark, sf_dir)
     y = solve_cells(turn, F.lit(0.0), F.array("a", "b"), F.lit(1.0), 0.05)
-    return p.select("p_partkey", y.alias("y")).select("p_partkey", *(F.round(F.col("y")[i], 3).alias(n) for i, n in enumerate(("place", "speed"))))
+    return p.select("p_partkey", y.alias("y")).select("p_partkey", *(F.round(F.col("y")[i], 6).alias(n) for i, n in enumerate(("place", "speed"))))
 
 
 X, Y = E.Var("a"), E.Var("b")
@@ -400,7 +400,9 @@ QUERIES = {
     "numeric_quadrature": (q_quadrature, f"{_P} SELECT p_partkey, " + ", ".join(f"{_true.format(2)} AS {n.replace('-', '_')}" if n != "trapezoid" else "round(1 - cos(b) + b ^ 4 / 12 + (b / 256) ^ 2 / 12 * (cos(b) - 1 + b * b), 2) AS trapezoid" for n in QUADRATURE) + " FROM p"),
     "numeric_adaptive": (q_adaptive, f"{_P} SELECT p_partkey, round(CASE WHEN b <= 1 THEN 2.0 / 3 * (1 - (1 - b) ^ 1.5) ELSE 2.0 / 3 * (1 + (b - 1) ^ 1.5) END + 1 - exp(-b), 4) AS value FROM p"),
     "ode_fixed_step": (q_ode, ODE_SQL), "ode_rkf45": (q_ode_adaptive, "SELECT p_partkey, round(p_retailprice / 1000 * exp(-0.5), 5) AS y FROM part"),
-    "ode_cells": (q_ode_cells, "WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS a, p_size / 10 AS b FROM part) SELECT p_partkey, round(a * cos(1) + b * sin(1), 3) AS place, round(b * cos(1) - a * sin(1), 3) AS speed FROM p"),
+    # a step of order 4 turns the state as c + i s does, so 20 steps are its power, written by size and angle
+    "ode_cells": (q_ode_cells, "WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS a, p_size / 10 AS b, 1 - 0.05::double ^ 2 / 2 + 0.05::double ^ 4 / 24 AS c, 0.05::double - 0.05::double ^ 3 / 6 AS s FROM part), "
+        "t AS (SELECT *, (c * c + s * s) ^ 10 AS r, 20 * atan2(s, c) AS h FROM p) SELECT p_partkey, round(r * (a * cos(h) + b * sin(h)), 6) AS place, round(r * (b * cos(h) - a * sin(h)), 6) AS speed FROM t"),
     "cas_columns": (q_cas, CAS_SQL),
     "cas_functions": (q_functions, "WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS a, p_size / 10 AS b FROM part) SELECT p_partkey, round(a * a * cos(b) + 1, 6) AS h, round(2 * a * cos(b), 6) AS grad0, round(-a * a * sin(b), 6) AS grad1 FROM p"),
     "numeric_autodiff": (q_autodiff, AUTODIFF_SQL),
