@@ -38,7 +38,12 @@ def mul(*c: Column) -> Column:
 
 
 def neg(c: Column) -> Column:
-    return -wide(c)
+    """A product, as Spark's unary minus (and abs) keep 34 digits of a decimal only."""
+    return (wide(c) * F.lit(-1)).cast(WIDE)
+
+
+def size(c: Column) -> Column:
+    return F.when(wide(c) < 0, neg(c)).otherwise(wide(c))
 
 
 def rem(a: Column, b: Column) -> Column:
@@ -78,22 +83,49 @@ def gcd(a: Column, b: Column) -> Column:
     """Euclid's steps, in 64 bits where both numbers fit (short decimals otherwise take most of the time)."""
 
     def euclid(kind: str) -> Column:
-        pair = F.struct(F.abs(wide(a)).cast(kind).alias("a"), F.abs(wide(b)).cast(kind).alias("b"))
+        pair = F.struct(size(a).cast(kind).alias("a"), size(b).cast(kind).alias("b"))
         step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(kind).alias("b")))
         run = lambda p, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), p, step)
         # most pairs are done after few steps; the others go on
         return F.transform(F.array(run(pair, SOON)), lambda p: F.when(p["b"] == 0, p["a"]).otherwise(run(p, EUCLID - SOON)["a"]))[0]
 
     most = F.lit(2**63 - 1)
-    fits = (F.abs(wide(a)) <= most) & (F.abs(wide(b)) <= most)
+    fits = (size(a) <= most) & (size(b) <= most)
     return F.when(fits, euclid("bigint").cast(WIDE)).otherwise(euclid(WIDE))
 
 
+#: Divisors from which on a quotient of 38 digits has at most 32, as many as Spark's division of such decimals keeps before the point.
+LONG_DIVISOR = 10**7
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """floor(a / b) exactly, for all of 38 digits; null for b = 0."""
+
+    def of(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        exact = lambda x, y: ((x - x % y).cast(WIDE) / y).cast(WIDE)
+        unit = F.lit("1" + "0" * 19).cast(WIDE)  # short divisors take the number in two parts
+        high = lambda h: ((h * unit).cast(WIDE) + exact((a - (h * b).cast(WIDE) * unit).cast(WIDE), b)).cast(WIDE)
+        parts = F.transform(F.array(exact(exact(a, unit), b)), high)[0]
+        fits = (a <= F.lit(2**63 - 1)) & (b <= F.lit(2**63 - 1))
+        short = F.call_function("div", a.cast("bigint"), b.cast("bigint")).cast(WIDE)
+        whole = F.when(fits, short).when(b >= LONG_DIVISOR, exact(a, b)).otherwise(parts)
+        floor = lambda q: F.when(s["apart"], (neg(q) - F.when(a % b == 0, 0).otherwise(1)).cast(WIDE)).otherwise(q)
+        return F.when(b != 0, F.transform(F.array(whole), floor)[0])
+
+    apart = (wide(a) < 0) != (wide(b) < 0)
+    return F.transform(F.array(F.struct(size(a).alias("a"), size(b).alias("b"), apart.alias("apart"))), of)[0]
+
+
 def rational(num: Column, den: Column) -> Column:
     """In lowest terms; raises on den = 0."""
-    num, den = wide(num), wide(den)
-    common = F.when(den == 0, F.raise_error(F.lit("zero denominator")).cast(WIDE)).otherwise(gcd(num, den)) * F.when(den < 0, -1).otherwise(1)
-    return F.transform(F.array(common.cast(WIDE)), lambda g: F.struct((num / g).cast(WIDE).alias("num"), (den / g).cast(WIDE).alias("den")))[0]
+
+    def reduced(s: Column) -> Column:
+        common = F.when(s["den"] == 0, F.raise_error(F.lit("zero denominator")).cast(WIDE)).otherwise(gcd(s["num"], s["den"])) * F.when(s["den"] < 0, -1).otherwise(1)
+        lowest = lambda g: F.struct(quotient(s["num"], g).alias("num"), quotient(s["den"], g).alias("den"))
+        return F.transform(F.array(common.cast(WIDE)), lowest)[0]
+
+    return F.transform(F.array(F.struct(wide(num).alias("num"), wide(den).alias("den"))), reduced)[0]
 
 
 DECIMAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
@@ -117,11 +149,17 @@ def rational_of(text: Column) -> Column:
 
 
 def rational_add(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
+    """Over the least common denominator, so that no more digits are formed than the sum needs."""
+
+    def summed(s: Column) -> Column:
+        own, other = quotient(s["a"]["den"], s["g"]), quotient(s["b"]["den"], s["g"])
+        return rational((s["a"]["num"] * other).cast(WIDE) + (s["b"]["num"] * own).cast(WIDE), (s["a"]["den"] * other).cast(WIDE))
+
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), gcd(a["den"], b["den"]).alias("g"))), summed)[0]
 
 
 def rational_sub(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
+    return rational_add(a, rational_neg(b))
 
 
 def rational_mul(a: Column, b: Column) -> Column:
@@ -138,7 +176,7 @@ def rational_power(a: Column, n: int) -> Column:
 
 
 def rational_neg(a: Column) -> Column:
-    return F.struct((-a["num"]).cast(WIDE).alias("num"), a["den"].alias("den"))
+    return F.struct(neg(a["num"]).alias("num"), a["den"].alias("den"))
 
 
 def rational_text(a: Column) -> Column:
@@ -220,7 +258,7 @@ def fraction_coefficients(num: Column, den: Column, most: int = 64) -> Column:
     start = F.struct(wide(num).alias("a"), wide(den).alias("b"), F.array().cast(f"array<{WIDE}>").alias("out"))
 
     def step(s, _):
-        whole = F.floor(F.try_divide(s["a"], s["b"])).cast(WIDE)
+        whole = quotient(s["a"], s["b"])
         return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] - whole * s["b"]).cast(WIDE).alias("b"), F.array_append(s["out"], whole).alias("out")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["out"]
@@ -256,5 +294,6 @@ def complex_parse(text: Column) -> Column:
 
 
 def complex_text(a: Column) -> Column:
-    """Real part, sign, imaginary part, i."""
-    return F.concat(a["re"].cast("string"), F.when(a["im"] < 0, "").otherwise("+"), a["im"].cast("string"), F.lit("i"))
+    """Real part, sign, imaginary part, i; a negative zero is written as zero."""
+    re, im = (F.when(a[part] == 0, 0.0).otherwise(a[part]) for part in ("re", "im"))
+    return F.concat(re.cast("string"), F.when(im < 0, "").otherwise("+"), im.cast("string"), F.lit("i"))

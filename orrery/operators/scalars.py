@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions import big as B
 from orrery.functions import scalar as S
 from orrery.sources.tables import table
 
@@ -201,7 +202,99 @@ SELECT p_partkey, x::varchar || CASE WHEN y < 0 THEN '' ELSE '+' END || y::varch
 """
 
 
+def fraction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continued fractions of ratios that lie a ten-millionth or less from an integer."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[(F.col("p_size").cast("bigint") * den + off).alias("x") for den in (10**7, 10**12) for off in (-1, 1)])).alias("num"))
+    cut = p.withColumn("den", F.when(F.col("num") < 10**10, 10**7).otherwise(10**12))
+    return cut.select("p_partkey", "num", F.array_join(S.fraction_coefficients(F.col("num"), F.col("den")).cast("array<string>"), ",").alias("coefficients"))
+
+
+FRACTION_EDGES_SQL = """
+WITH RECURSIVE p AS (SELECT p_partkey, p_size * den + off AS num, CASE WHEN p_size * den + off < 10000000000 THEN 10000000 ELSE 1000000000000 END AS den
+  FROM part, (SELECT unnest([10000000, 1000000000000]) AS den), (SELECT unnest([-1, 1]) AS off)),
+e(p_partkey, num, a, b, out, step) AS (
+ SELECT p_partkey, num, num::hugeint, den::hugeint, '', 0 FROM p
+ UNION ALL SELECT p_partkey, num, b, a % b, CASE WHEN step = 0 THEN (a // b)::varchar ELSE out || ',' || (a // b)::varchar END, step + 1 FROM e WHERE b <> 0)
+SELECT p_partkey, num, out AS coefficients FROM e WHERE b = 0
+"""
+
+
+def big_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers of 200 and 120 digits a part, some negative."""
+    long = lambda c, times, digits: F.substring(F.repeat(c.cast("string"), times), 1, digits)
+    key, size = F.col("p_partkey") * 7919 + 13, F.col("p_size") * 104_729 + F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "-").otherwise(""), long(key, 100, 200)).alias("x"), F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise(""), long(size, 60, 120)).alias("y"))
+    return p.select("p_partkey", B.parse(F.col("x")).alias("a"), B.parse(F.col("y")).alias("b"))
+
+
+_BIG_OPERANDS_SQL = """p AS (
+ SELECT p_partkey, p_partkey % 3 = 0 AS an, p_size % 2 = 0 AS bn, left(repeat((p_partkey * 7919 + 13)::varchar, 100), 200) AS x, left(repeat((p_size * 104729 + p_partkey)::varchar, 60), 120) AS y FROM part),
+signed AS (SELECT p_partkey, CASE WHEN an THEN '-' ELSE '' END || x AS xs, CASE WHEN bn THEN '-' ELSE '' END || y AS ys FROM p)"""
+
+
+def big_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, differences, products, quotients and powers past 38 digits."""
+    a, b, k = F.col("a"), F.col("b"), F.col("p_partkey")
+    short = B.parse(F.concat((k % 90_000 + 10_001).cast("string"), F.lit("00000000007")))
+    first = big_operands(spark, sf_dir).select("p_partkey", "a", "b", B.add(a, b).alias("added"), B.subtract(a, b).alias("taken"), B.multiply(a, b).alias("times"), B.divide(a, b).alias("d"), B.divide(a, short).alias("s"), B.compare(a, b).alias("compared"))
+    second = first.select("*", B.multiply(F.col("d.quotient"), b).alias("part"), B.power(B.add(B.parse(F.lit("1" + "0" * 50)), B.of(k)), 4).alias("raised"))
+    third = second.select("*", B.add(F.col("part"), F.col("d.rest")).alias("back"), F.col("s.quotient").alias("over"), F.col("s.rest").alias("rest"), (B.compare(B.magnitude(F.col("d.rest")), B.magnitude(b)) < 0).alias("below"))
+    return third.select("p_partkey", "compared", "below", *[B.text(F.col(c)).alias(c) for c in ("added", "taken", "times", "back", "over", "rest", "raised")])
+
+
+BIG_INTEGERS_SQL = f"""
+WITH RECURSIVE {_BIG_OPERANDS_SQL},
+xs AS (SELECT p_partkey, an <> bn AS n, i, substring('0000000' || x, i * 9 + 1, 9)::hugeint AS v FROM p, (SELECT unnest(range(23)) AS i)),
+ys AS (SELECT p_partkey, i, substring('000000' || y, i * 9 + 1, 9)::hugeint AS v FROM p, (SELECT unnest(range(14)) AS i)),
+times AS (SELECT p_partkey, CASE WHEN n THEN '-' ELSE '' END || sum((v || repeat('0', 9 * k))::bignum)::varchar AS t
+ FROM (SELECT xs.p_partkey, n, 35 - xs.i - ys.i AS k, sum(xs.v * ys.v)::varchar AS v FROM xs JOIN ys USING (p_partkey) GROUP BY ALL) GROUP BY p_partkey, n),
+long(p_partkey, i, r, q) AS (
+ SELECT p_partkey, 0, 0::hugeint, '' FROM p
+ UNION ALL SELECT l.p_partkey, i + 1, (r * 10 + substring(x, i + 1, 1)::hugeint) % c, q || ((r * 10 + substring(x, i + 1, 1)::hugeint) // c)::varchar
+ FROM long l JOIN p USING (p_partkey), (SELECT p_partkey AS key, ((p_partkey % 90000 + 10001)::varchar || '00000000007')::hugeint AS c FROM part) d WHERE d.key = l.p_partkey AND i < 200)
+SELECT p_partkey, CASE WHEN xs::bignum < ys::bignum THEN -1 WHEN xs::bignum > ys::bignum THEN 1 ELSE 0 END AS compared, true AS below,
+ (xs::bignum + ys::bignum)::varchar AS added, (xs::bignum - ys::bignum)::varchar AS taken, t AS times, xs AS back,
+ CASE WHEN an THEN '-' ELSE '' END || ltrim(q, '0') AS over, CASE WHEN an AND r > 0 THEN '-' ELSE '' END || r::varchar AS rest,
+ '1' || lpad((4 * p_partkey)::varchar, 50, '0') || lpad((6 * p_partkey::hugeint * p_partkey)::varchar, 50, '0') || lpad((4 * p_partkey::hugeint * p_partkey * p_partkey)::varchar, 50, '0')
+  || lpad((p_partkey::hugeint * p_partkey * p_partkey * p_partkey)::varchar, 50, '0') AS raised
+FROM p JOIN signed USING (p_partkey) JOIN times USING (p_partkey) JOIN long USING (p_partkey) WHERE i = 200
+"""
+
+
+def big_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of integers of 200 digits a brand."""
+    brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    rows = big_operands(spark, sf_dir).join(brands, "p_partkey").select("p_brand", "a")
+    return B.total(rows, ["p_brand"], F.col("a")).select("p_brand", B.text(F.col("total")).alias("total"))
+
+
+BIG_TOTALS_SQL = f"""
+WITH {_BIG_OPERANDS_SQL} SELECT p_brand, sum(xs::bignum)::varchar AS total FROM signed JOIN part USING (p_partkey) GROUP BY p_brand
+"""
+
+
+def big_rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and products of ratios of neighbours of 10^30 + key, in lowest terms."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = [B.add(B.parse(F.lit("1" + "0" * 30)), B.of(F.col("s_suppkey") + i)).alias(f"n{i}") for i in range(3)]
+    whole = s.select("s_suppkey", *n)
+    one = B.of(F.lit(1))
+    pair = lambda a, b: F.struct(a.alias("num"), b.alias("den"))
+    r = whole.select("s_suppkey", pair(one, F.col("n0")).alias("a"), pair(one, F.col("n1")).alias("b"), pair(F.col("n0"), F.col("n1")).alias("x"), pair(F.col("n1"), F.col("n2")).alias("y"))
+    made = r.select("s_suppkey", B.rational_add(F.col("a"), F.col("b")).alias("added"), B.rational_sub(F.col("a"), F.col("b")).alias("taken"), B.rational_mul(F.col("x"), F.col("y")).alias("times"), B.rational_compare(F.col("x"), F.col("y")).alias("compared"))
+    return B.reduced(made, "added", "taken", "times").select("s_suppkey", "compared", *[B.rational_text(F.col(c)).alias(c) for c in ("added", "taken", "times")])
+
+
+BIG_RATIONALS_SQL = """
+WITH t AS (SELECT s_suppkey, s_suppkey::hugeint AS k, '1' || lpad((2 * s_suppkey + 1)::varchar, 30, '0') || lpad((s_suppkey::hugeint * (s_suppkey + 1))::varchar, 30, '0') AS den FROM supplier)
+SELECT s_suppkey, -1 AS compared, '2' || lpad((2 * k + 1)::varchar, 30, '0') || '/' || den AS added, '1/' || den AS taken,
+ CASE WHEN k % 2 = 0 THEN '5' || lpad((k // 2)::varchar, 29, '0') || '/5' || lpad((k // 2 + 1)::varchar, 29, '0')
+ ELSE '1' || lpad(k::varchar, 30, '0') || '/1' || lpad((k + 2)::varchar, 30, '0') END AS times FROM t
+"""
+
+
 QUERIES = {
+    "scalar_big": (big_integers, BIG_INTEGERS_SQL), "scalar_big_totals": (big_totals, BIG_TOTALS_SQL), "scalar_big_rationals": (big_rationals, BIG_RATIONALS_SQL), "scalar_fraction_edges": (fraction_edges, FRACTION_EDGES_SQL),
     "scalar_fraction_constants": (fraction_constants, FRACTION_CONSTANTS_SQL), "scalar_complex_text": (complex_texts, COMPLEX_TEXTS_SQL),
     "scalar_integers": (integers, INTEGERS_SQL), "scalar_rationals": (rationals, RATIONALS_SQL), "scalar_rational_parse": (rational_parse, RATIONAL_PARSE_SQL), "scalar_rational_decimals": (rational_decimals, RATIONAL_DECIMALS_SQL), "scalar_floats": (floats, FLOATS_SQL),
     "scalar_complex": (complexes, COMPLEXES_SQL), "scalar_booleans": (booleans, BOOLEANS_SQL), "scalar_reductions": (reductions, REDUCTIONS_SQL), "scalar_continued_fractions": (fractions, FRACTIONS_SQL),
