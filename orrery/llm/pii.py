@@ -8,7 +8,8 @@ issuers, number prefixes, address ranges, lengths and prefixes of keys) and the
 4 kinds x 27) estimates how reliable each labeler is; its posteriors train a naive Bayes span classifier on shape features (sums of
 posteriors by feature), and loose candidates that it accepts with `ACCEPT` or more, and that overlap no base span, are added.
 
-Labelers and features read at most the first 200 characters of a span and the `NEAR` before it. Only these leave the text scan; patterns and feature values are bounded tables.
+Labelers and features read the whole span and the `NEAR` characters before it within the scan of the text, so that only votes, features
+and offsets leave it; patterns and feature values are bounded tables, and the classifier is applied to each row by itself.
 
 Defined results: null text is empty; kinds may overlap each other, spans of one kind don't; repeated rows are answered each; an empty
 table gives an empty result. Offsets are code points, ends exclusive.
@@ -17,6 +18,7 @@ table gives an empty result. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +38,7 @@ DIGIT_RUN = r"[0-9][0-9\x20-]{10,}+"
 CARD_LENGTH = r"[0-9](?:[\x20-]?[0-9]){11}"
 LOOSE_EMAIL = r"(?i)\b[a-z0-9._%+-]{1,64}(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)[a-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[a-z]{2,12}\b"
 LOOSE_PHONE = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])[A-Za-z0-9+/_-]{20,512}+={0,2}"
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
 SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2})$"
 #: Fixed values.
 SECRET_FORMS = r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|(?:ghp|gho|sk|pk|xox[bp]|AKIA|AIza)[_-]?[A-Za-z0-9_-]{16,})$"
@@ -148,27 +150,32 @@ def candidates(text: Column) -> Column:
         kind("phone", phones, yes),
         kind("email", guarded(F.regexp_like(text, F.lit(r"(?i)[(\[\x20]dot[)\]\x20]")), matches(text, LOOSE_EMAIL)), no),
         kind("phone", guarded(F.regexp_like(text, F.lit("[0-9]{3}")), matches(text, LOOSE_PHONE)), no),
-        kind("secret", guarded(F.regexp_like(text, F.lit(SECRET)), matches(text, SECRET)), no),
+        kind("secret", guarded(F.regexp_like(text, F.lit("[0-9]")) & F.regexp_like(text, F.lit(SECRET)), matches(text, SECRET)), no),
     )
 
 
-def votes(rows: DataFrame) -> DataFrame:
-    """`rows(kind, s, base, before)` with votes shape, gazetteer, context (1 yes, 0 no, -1 no opinion) and the classifier's features."""
-    number, s = digits(F.col("s")), F.col("s")
-    known = F.when(F.col("kind") == "email", F.element_at(F.split(F.lower(s), r"\.| dot |[(\[]dot[)\]]"), -1).isin(*DOMAINS))
-    known = known.when(F.col("kind") == "card", F.regexp_like(number, F.lit(ISSUERS)))
-    known = known.when(F.col("kind") == "ip", ~F.regexp_like(s, F.lit(r"^(?:0|22[4-9]|2[3-5][0-9])\.")))
-    known = known.when(F.col("kind") == "secret", F.regexp_like(s, F.lit(SECRET_FORMS)))
+def voted(x: Column) -> Column:
+    """A candidate (kind, start, end, s, base, before) as kind, start, end, base, its votes shape, gazetteer, context (1 yes, 0 no, -1 no
+    opinion) and the classifier's features."""
+    kind, s, before = x["kind"], x["s"], x["before"]
+    number = digits(s)
+    known = F.when(kind == "email", F.element_at(F.split(F.lower(s), r"\.| dot |[(\[]dot[)\]]"), -1).isin(*DOMAINS))
+    known = known.when(kind == "card", F.regexp_like(number, F.lit(ISSUERS)))
+    known = known.when(kind == "ip", ~F.regexp_like(s, F.lit(r"^(?:0|22[4-9]|2[3-5][0-9])\.")))
+    known = known.when(kind == "secret", F.regexp_like(s, F.lit(SECRET_FORMS)))
     known = known.otherwise(~F.regexp_like(number, F.lit(r"^(?:1?[01]|0{3})")))
-    near = reduce(lambda c, k: c.when(F.col("kind") == k, F.regexp_like("before", F.lit(CONTEXT[k]))), CONTEXT, F.when(F.lit(False), False))
-    shape = F.when(F.col("kind") == "secret", F.regexp_like(s, F.lit(SECRET_SHAPE))).otherwise(F.col("base")).cast("int")
-    return rows.select(
-        "*", shape.alias("shape"), F.when(known, 1).otherwise(0).alias("gazetteer"), F.when(near, 1).otherwise(-1).alias("context"),
-        F.concat_ws(":", "kind", F.lit("digits"), F.least(F.length(number), F.lit(20))).alias("f_digits"),
-        F.concat_ws(":", "kind", F.lit("marks"), F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(s, "[A-Za-z0-9]", ""), ""))), ""), 1, 8)).alias("f_marks"),
-        F.concat_ws(":", "kind", F.lit("left"), F.when(F.regexp_like("before", F.lit(r"[:=#]\s*$")), "sign").when(F.regexp_like("before", F.lit(r"\s$")), "space").otherwise("other")).alias("f_left"),
-        F.concat_ws(":", "kind", F.lit("near"), F.when(near, "yes").otherwise("no")).alias("f_near"),
-        F.concat_ws(":", "kind", F.lit("shape"), shape).alias("f_shape"),
+    near = reduce(lambda c, k: c.when(kind == k, F.regexp_like(before, F.lit(CONTEXT[k]))), CONTEXT, F.when(F.lit(False), False))
+    shape = F.when(kind == "secret", F.regexp_like(s, F.lit(SECRET_SHAPE))).otherwise(x["base"]).cast("int")
+    marks = F.substring(F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(s, "[A-Za-z0-9]", ""), ""))), ""), 1, 8)
+    left = F.when(F.regexp_like(before, F.lit(r"[:=#]\s*$")), "sign").when(F.regexp_like(before, F.lit(r"\s$")), "space").otherwise("other")
+    return F.struct(
+        kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"),
+        shape.alias("shape"), F.when(known, 1).otherwise(0).alias("gazetteer"), F.when(near, 1).otherwise(-1).alias("context"),
+        F.concat_ws(":", kind, F.lit("digits"), F.least(F.length(number), F.lit(20))).alias("f_digits"),
+        F.concat_ws(":", kind, F.lit("marks"), marks).alias("f_marks"),
+        F.concat_ws(":", kind, F.lit("left"), left).alias("f_left"),
+        F.concat_ws(":", kind, F.lit("near"), F.when(near, "yes").otherwise("no")).alias("f_near"),
+        F.concat_ws(":", kind, F.lit("shape"), shape).alias("f_shape"),
     )
 
 
@@ -208,20 +215,23 @@ def _lookup(table: dict, key: Column, default: float) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v))]), key), F.lit(default))
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    """Candidates with the classifier's probability, column p."""
-    voted = staged(votes(rows), "pii-votes")
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()]  # at most 5 x 27
+def classifier(candidates: DataFrame) -> Callable[[Column], Column]:
+    """The probability of a candidate, trained on all of `candidates` (the fields of `voted` as columns)."""
+    patterns = [(tuple(r[:-1]), r[-1]) for r in candidates.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()]  # at most 5 x 27
     posterior = reliabilities(patterns)
     name = F.concat_ws("|", "kind", *LABELERS)
-    soft = voted.withColumn("q", _lookup({"|".join(map(str, k)): v for k, v in posterior.items()}, name, 0.5))
-    values = F.explode(F.array(*[F.col(f) for f in FEATURES])).alias("value")
+    soft = candidates.withColumn("q", _lookup({"|".join(map(str, k)): v for k, v in posterior.items()}, name, 0.5))
+    values = F.explode(F.array(F.concat_ws(":", "kind", F.lit("")), *[F.col(f) for f in FEATURES])).alias("value")  # the first stands for all of a kind
     sums = soft.select("kind", "q", values).groupBy("kind", "value").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).orderBy("kind", "value").collect()
-    totals = {r["kind"]: (r["yes"], r["no"]) for r in soft.groupBy("kind").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).collect()}
-    weight = {r["value"]: math.log((r["yes"] + 0.5) / (totals[r["kind"]][0] + 1)) - math.log((r["no"] + 0.5) / (totals[r["kind"]][1] + 1)) for r in sums}
+    totals = {r["kind"]: (r["yes"], r["no"]) for r in sums if r["value"] == r["kind"] + ":"}
+    weight = {r["value"]: math.log((r["yes"] + 0.5) / (totals[r["kind"]][0] + 1)) - math.log((r["no"] + 0.5) / (totals[r["kind"]][1] + 1)) for r in sums if r["value"] != r["kind"] + ":"}
     base = {k: math.log((y + 0.5) / (n + 0.5)) for k, (y, n) in totals.items()}
-    logit = reduce(lambda a, f: a + _lookup(weight, F.col(f), 0.0), FEATURES, _lookup(base, F.col("kind"), 0.0))
-    return soft.withColumn("p", 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-50.0)), F.lit(50.0)))))
+
+    def probability(x: Column) -> Column:
+        logit = reduce(lambda a, f: a + _lookup(weight, x[f], 0.0), FEATURES, _lookup(base, x["kind"], 0.0))
+        return 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-50.0)), F.lit(50.0))))
+
+    return probability
 
 
 def joined(spans: Column) -> Column:
@@ -233,19 +243,11 @@ def joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (array of kind, start, end), added (the same): a row per row of `docs`."""
-    text = text_of(text_col)
-    scanned = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("_text")).withColumn("_found", candidates(F.col("_text")))
-    light = staged(
-        scanned.select(
-            "doc_id", "text_hash", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.substring(x["s"], 1, 200).alias("s"), x["base"].alias("base"), x["before"].alias("before"))).alias("found")
-        ), "pii-candidates",
-    )
-    rows = light.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")
-    accepted = classified(rows).where((~F.col("base")) & (F.col("p") >= ACCEPT))
-    added = accepted.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    scanned = docs.select(F.col(id_col).alias("doc_id"), F.transform(candidates(text_of(text_col)), voted).alias("found"))
+    light = staged(scanned, "pii-candidates")
+    probability = classifier(light.select(F.explode("found").alias("x")).select("x.*"))
     span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    own = light.select("doc_id", "text_hash", F.transform(F.filter("found", lambda x: x["base"]), span).alias("base"))
-    other = added.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "added")
-    both = own.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    clear = F.filter(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return both.select("doc_id", "base", clear.alias("added"))
+    base = F.filter("found", lambda x: x["base"])
+    clear = lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))
+    added = F.filter("found", lambda x: ~x["base"] & (probability(x) >= ACCEPT) & clear(x))
+    return light.withColumn("base", base).select("doc_id", F.transform("base", span).alias("base"), F.array_distinct(F.transform(added, span)).alias("added"))

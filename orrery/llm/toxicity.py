@@ -5,11 +5,11 @@ occurs in several toxic documents and hardly in others marks its tokens toxic th
 features word, prefixes, suffix and the words on both sides, is fitted by gradient ascent on the exact conditional likelihood.
 Forward-backward marginals give each token's probability; messages are passed in rows of `RUN` tokens and from row to row, so many
 documents go through numpy together and the marginals are those of the whole chain. A document's score is a logistic function of the
-maximum and of the sum of its marginals of at least `COUNTED` (so that many doubtful tokens of a long text don't add up), fitted on the
-same sample and brought back to the share of toxic documents among all labelled ones.
+maximum of its marginals and of the sum of their fourth powers (in which the many doubtful tokens of a long text hardly add up), fitted
+on the same sample and brought back to the share of toxic documents among all labelled ones.
 
-Training reads a bounded sample: whole documents by hash of doc_id, at most `PER_CLASS` of each label and `SAMPLE_BYTES` of text of each
-(one at least); one task fits them. Every text is scored whole.
+Training reads a bounded sample (`samples.bounded`): whole documents by hash of doc_id and text, at most `PER_CLASS` of each label and
+`SAMPLE_BYTES` of text of each (one at least), however many rows an id has; one task fits them. Every text is scored whole.
 
 Defined results: null and empty texts have no tokens and score as such; without labels of both kinds every score is the share of
 toxic labels (0 without labels); a document whose labels disagree counts as toxic; repeated rows are scored each; an empty table gives
@@ -28,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-PER_CLASS, SAMPLE_BYTES, RUN, DIMS, CACHE, THRESHOLD, COUNTED = 1500, 1 << 24, 64, 1 << 18, 400_000, 0.7, 0.25
+from orrery.llm import samples
+from orrery.llm.samples import PER_CLASS, SAMPLE_BYTES
+
+RUN, DIMS, CACHE, THRESHOLD, STEPS, POWER = 64, 1 << 18, 400_000, 0.7, 25, 4
 PREFIX, PREFIXES = 5, (4, 5)
 BATCH = 1 << 17
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -145,9 +147,9 @@ class Chain:
             expected = expected + (cell / cell.sum((0, 1))).sum(2)
         return p.ravel()[place], expected
 
-    def document_score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
-        z = self.document[0] + self.document[1] * np.log(total + 1e-3) + self.document[2] * most
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50))) if self.document.any() else np.full(len(total), self.prior)
+    def document_score(self, strong: np.ndarray, most: np.ndarray) -> np.ndarray:
+        z = self.document[0] + self.document[1] * np.log(strong + 1e-3) + self.document[2] * most
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50))) if self.document.any() else np.full(len(strong), self.prior)
 
 
 def runs(scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def one_of_copies(ids: list[np.ndarray]) -> list[int]:
     return sorted(seen.values())
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate: float = 0.3) -> Chain:
+def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = STEPS, rate: float = 0.3) -> Chain:
     """`share`: of toxic documents among all labelled ones."""
     chain = Chain()
     chain.prior = share
@@ -237,10 +239,9 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
         chain.start += 0.1 * rate * step / np.sqrt(speed_start)
     chain.weights = weights[:DIMS]
     p = chain.whole(scores(), sizes)
-    total = np.bincount(used, np.where(p >= COUNTED, p, 0), len(sizes))
     most = np.zeros(len(sizes))
     np.maximum.at(most, used, p)
-    x = np.stack([np.ones(len(sizes)), np.log(total + 1e-3), most])
+    x = np.stack([np.ones(len(sizes)), np.log(np.bincount(used, p**POWER, len(sizes)) + 1e-3), most])
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     w = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
@@ -277,7 +278,7 @@ class TokenScores(dict):
 
 def score_texts(texts: list[str | None], chain: Chain, cache: TokenScores) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """Score of each text, and its toxic spans (code points, end exclusive): tokens with a marginal of a half or more."""
-    total, most, spans = np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
+    strong, most, spans = np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
     held: list[tuple[int, int]] = []
     numbers: list[np.ndarray] = []
     filled = 0
@@ -294,7 +295,7 @@ def score_texts(texts: list[str | None], chain: Chain, cache: TokenScores) -> tu
         scores[same + 1] += each[same, 1]
         scores[same] += each[same + 1, 2]
         p = chain.whole(scores, sizes)
-        np.add.at(total, owner, np.where(p >= COUNTED, p, 0))
+        np.add.at(strong, owner, p**POWER)
         np.maximum.at(most, owner, p)
         first = dict(zip([i for i, _ in held], np.concatenate([[0], np.cumsum(sizes)[:-1]]), strict=True))
         hits = np.flatnonzero(p >= 0.5)
@@ -316,39 +317,27 @@ def score_texts(texts: list[str | None], chain: Chain, cache: TokenScores) -> tu
             if filled >= BATCH:
                 flush()
     flush()
-    return chain.document_score(total, most), spans
+    return chain.document_score(strong, most), spans
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Chain:
     """`docs(doc_id, text)`, `labels(doc_id, toxic)`; rows that are held out aren't read."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {bool(r[0]): r[1] for r in known.groupBy((F.col("toxic") > 0).alias("y")).count().collect()}
-    share = counts.get(True, 0) / max(1, sum(counts.values()))
-    # by hash of the id, about twice as many of each class as wanted, as labels without text fall out
-    rate = F.when(F.col("toxic") > 0, 2.0 * per_class / max(1, counts.get(True, 0))).otherwise(2.0 * per_class / max(1, counts.get(False, 0)))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 11) / F.lit(float(2**53))
-    near = known.withColumn("order", order).where(F.col("order") < rate).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("toxic"), "order")
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "_id"))).where(F.col("place") <= 2 * per_class)  # of about as many
-    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(near.drop("place")), F.col("doc_id") == F.col("_id"))
-    sizes = found.select("toxic", "order", F.octet_length("text").alias("n"), F.xxhash64("text").alias("hash")).toPandas()  # ids and sizes of at most 4 x per_class documents
-    wanted = []
-    for _, some in sizes.sort_values(["order", "hash"]).groupby("toxic"):
-        some = some.head(per_class)
-        within = some[(some["n"].cumsum() <= SAMPLE_BYTES) | (np.arange(len(some)) == 0)]
-        wanted += within["order"].tolist()
-    chosen = found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in wanted], "chosen double")), F.col("order") == F.col("chosen"), "left_semi")
+    known = samples.label_of(labels, "toxic", held_out(F.col("doc_id")), F.max("toxic"))
+    texts, share = samples.bounded(docs, known, per_class, sample_bytes)
+    if texts is None:
+        return fit([], np.zeros(0, int), share)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(o, t, int(y)) for batch in batches for o, t, y in zip(*(batch.column(c).to_pylist() for c in ("order", "text", "toxic")), strict=True)]
+        rows = [(o, t, int(y)) for batch in batches for o, t, y in zip(*(batch.column(c).to_pylist() for c in ("_order", "text", "_y")), strict=True)]
         rows.sort()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], np.array([y for *_, y in rows], int), share))])], ["model"])
 
     # one task for the bounded sample; the driver gets the weights alone
-    return pickle.loads(chosen.select("order", "text", "toxic").repartition(1).mapInArrow(fitted, "model binary").first()["model"]) if wanted else fit([], np.zeros(0, int), share)
+    return pickle.loads(texts.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

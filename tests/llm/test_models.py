@@ -357,7 +357,7 @@ def test_marginals_of_whole_documents(monkeypatch):
 
 
 def test_scores_are_those_of_the_chain(spark):
-    """Brute force: features of each token by definition, forward-backward in one row, the logistic of maximum and sum."""
+    """Brute force: features of each token by definition, forward-backward in one row, the logistic of maximum and sum of powers."""
     rows = toxic_rows(300)
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     chain = toxicity.train(docs, labels)
@@ -373,7 +373,7 @@ def test_scores_are_those_of_the_chain(spark):
             if k:
                 each[k - 1] += chain.weights[before]
         p = chain.marginals(np.array([each]), np.array([len(words)]))[0] if words else np.zeros(0)
-        want = chain.document_score(np.array([p[p >= toxicity.COUNTED].sum()]), np.array([p.max(initial=0)]))[0]
+        want = chain.document_score(np.array([(p**toxicity.POWER).sum()]), np.array([p.max(initial=0)]))[0]
         assert math.isclose(s, want, abs_tol=1e-9)
     assert chain.start != 0
 
@@ -573,3 +573,15 @@ def test_reliable_labelers_get_more_say():
     patterns = [(("a", 1, 1, 1), 50), (("a", 0, 0, 0), 50), (("a", 1, 1, 0), 5), (("a", 0, 1, 0), 5), (("a", 0, 0, 1), 20)]
     p = pii.reliabilities(patterns)
     assert p["a", 1, 1, 1] > 0.99 and p["a", 0, 0, 0] < 0.01 and p["a", 1, 1, 0] > p["a", 0, 0, 1]
+
+
+def test_secrets_are_covered_whole(spark):
+    """A key of any length is one span to its end, and a long candidate is judged by all of its text."""
+    long = "".join("aB3dE5fG7h"[i % 10] for i in range(600))
+    hexes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f'token = "{h}" and some words') for i, h in enumerate(hexes)] + [(100, f'token = "{long}" end'), (101, "key: " + "0123456789abcdef" * 30)]
+    got = {r["doc_id"]: r["added"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[100]] == [("secret", 9, 609)]
+    assert [tuple(s) for s in got[101]] == [("secret", 5, 485)]
+    many = spark.createDataFrame([(7, rows[0][1])] * 3000 + [(8, "")] * 2000, "doc_id long, text string")
+    assert Counter((r["doc_id"], len(r["added"])) for r in pii.find(many).collect()) == Counter({(7, 1): 3000, (8, 0): 2000})
