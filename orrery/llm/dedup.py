@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -64,35 +65,66 @@ class DigestIndex:
         """Drop the catalog's table; the files stay, to be opened again."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
+    def remove(self) -> None:
+        """Drop the catalog's table and the files."""
+        self.forget()
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def add_batch(docs: DataFrame, index: DigestIndex) -> str:
-    """Append what is new in `docs(doc_id, digest)` to the index; the batch's name."""
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """A staged row per digest of `docs(doc_id, digest)`: keep_id, group_size."""
+    # staged, as the planner would else push an anti-join below the aggregation and shuffle every row of a group of copies
+    return staged(docs.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
+
+
+def add_batch(groups: DataFrame, index: DigestIndex) -> str:
+    """Append what is new in `groups` to the index; the batch's name."""
     batch = uuid.uuid4().hex
-    # staged, as the planner would else push the anti-join below the aggregation and shuffle every row of a group of copies
-    groups = staged(docs.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
-    fresh = groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti")
-    index.append(fresh, batch)
+    index.append(groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti"), batch)
     return batch
 
 
-def mark(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return staged(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest")), "dedup-digests")
+
+
+def mark(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+
+    With several `batches` the documents come one range of ids after another, the largest ids first and those without id last, so each
+    batch is deduplicated against what the earlier ones have left in the index. Without an index one is made for the run and removed.
+    """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
-    light = staged(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest")), "dedup-digests")
-    batch = add_batch(light, index)
-    joined = skew_safe_left_join(light, index.read(), "digest", "group_size")
-    return joined.select(
-        "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    light = digests(docs, id_col, text_col)
+    cuts = sorted({int(x) for x in light.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}, reverse=True) if batches > 1 else []
+    below = [F.lit(True), *(F.coalesce(F.col("doc_id") < c, F.lit(True)) for c in cuts)]
+    groups, names = [], []
+    for i, low in enumerate(below):
+        part = light.where(low if i + 1 == len(below) else low & ~below[i + 1])
+        groups.append(grouped(part))
+        names.append(add_batch(groups[-1], index))
+    sizes = reduce(DataFrame.unionByName, groups).groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    known = index.read().select("digest", "keep_id", "batch", F.col("group_size").alias("_earlier"))
+    new = F.col("batch").isin(names)
+    found = sizes.join(known.hint("merge"), "digest").select("digest", "keep_id", F.when(new, F.col("group_size")).otherwise(F.col("_earlier")).alias("group_size"), F.col("group_size").alias("_rows"), new.alias("_new"))
+    found = staged(found, "dedup-found")
+    if own:
+        index.remove()
+    joined = skew_safe_left_join(light, found, "digest", "_rows")
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
-    light = staged(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("digest")), "dedup-digests")
-    batch = add_batch(light, index)
-    winners = index.read().where(F.col("batch") == batch).select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"))
-    winners = staged(winners, "dedup-winners")
+    light = digests(docs, id_col, text_col)
+    batch = add_batch(grouped(light), index)
+    winners = staged(index.read().where(F.col("batch") == batch).select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest")), "dedup-winners")
+    if own:
+        index.remove()
     here = docs.withColumn("_row_digest", F.sha2(text_of(text_col), 256))
     kept = here.join(winners, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest")), "left_semi")
     rows = light.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")

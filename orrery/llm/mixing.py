@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by built-in functions only.
 
 Each source's words, documents in order of doc_id, are packed into blocks of `BLOCK` words, fewer in sources that would have under
-`FEWEST` blocks. A source's target in blocks is its number of slots; each slot falls into an output shard by an independent uniform, so
-a source's counts per shard are multinomial draws around its target (counts drawn freely, shard by shard, would also miss the targets by
-their square roots, which sources must come near). The k-th slot of a source takes the block at place k mod blocks of a pseudorandom
+`FEWEST` blocks. A source's target in blocks is its number of slots; how many of them each output shard gets is a multinomial draw
+(counts drawn freely, shard by shard, would miss the targets by their square roots, which sources must come near). The table of these
+counts is the plan of the mix: a source's slots are numbered shard after shard, and all that is taken, `take`'s sums included, is read
+from it. The k-th slot of a source takes the block at place k mod blocks of a pseudorandom
 permutation of its block indices, another one for each pass k div blocks (swap-or-not rounds, which permute any number of indices);
 slots and blocks are joined by (source, index). Targets end at `MAX_PASSES` times a source's size, and so do its slots.
 
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from orrery.llm.common import WORD, RangeBuckets, partitions, staged, text_of
 
-BLOCK, FEWEST, SHARD_SLOTS, CHUNK, MAX_PASSES, SWAPS, WEIGHTS = 64, 256, 4096, 1 << 14, 3, 24, (1, 2, 3)
+BLOCK, FEWEST, SHARD_SLOTS, CELL, CHUNK, MAX_PASSES, SWAPS, WEIGHTS = 64, 256, 4096, 1024, 1 << 14, 3, 24, (1, 2, 3)
 
 
 def word_count(text: Column) -> Column:
@@ -89,18 +90,35 @@ def permuted(index: Column, size: Column, *keys) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(SWAPS)]), index, swap)
 
 
-def slots(sources: DataFrame, seed: int = 17) -> DataFrame:
-    """A row per slot of the mix: shard, skey, pass, block (index in its source)."""
+def shard_counts(sources: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix's plan: skey, blocks, shard, n, first. n is how many slots of the shard the source has, drawn: each of the source's slots
+    (its target in blocks) falls into a shard by an independent uniform, so a source's counts are multinomial; the shard's slots are
+    the source's from `first` on."""
     own = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_length(F.col("source_size"))).cast("long"))
-    own = own.where("blocks > 0").withColumn("n", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MAX_PASSES * F.col("blocks")))
-    wanted = own.agg(F.sum("n")).first()[0] or 0
+    own = own.where("blocks > 0").withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MAX_PASSES * F.col("blocks")))
+    wanted = own.agg(F.sum("slots")).first()[0] or 0
     # in two steps, so that no row becomes a long array, and over as many tasks as a shuffle has
-    chunks = own.where("n > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    chunks = own.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
     chunks = chunks.repartition(partitions(sources.sparkSession), "skey", "chunk")
-    each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)))
-    placed = each.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("int"))
+    draws = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)))
     shard = F.pmod(F.xxhash64(F.lit(seed), "skey", "k"), F.lit(max(1, -(-wanted // SHARD_SLOTS))))
-    return placed.select(shard.alias("shard"), "skey", "pass", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("skey"), F.col("pass")).alias("block"))
+    counts = draws.groupBy("skey", "blocks", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(counts.withColumn("cell", F.floor(F.col("shard") / CELL).cast("long")), "mix-counts")
+    # where a shard's slots begin: sums before its cell of shards, then before it within the cell
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy("skey", "cell").agg(F.sum("n").alias("_n"))
+    starts = cells.select(F.col("skey").alias("_skey"), F.col("cell").alias("_cell"), F.coalesce(F.sum("_n").over(before("skey").orderBy("cell")), F.lit(0)).alias("_start"))
+    inside = counts.withColumn("_inside", F.coalesce(F.sum("n").over(before("skey", "cell").orderBy("shard")), F.lit(0)))
+    joined = inside.join(starts, (F.col("skey") == F.col("_skey")) & (F.col("cell") == F.col("_cell")))
+    return joined.select("skey", "blocks", "shard", "n", (F.col("_start") + F.col("_inside")).alias("first"))
+
+
+def slots(sources: DataFrame, seed: int = 17) -> DataFrame:
+    """A row per slot of the mix: shard, skey, pass, block (index in its source)."""
+    counts = shard_counts(sources, seed).repartition(partitions(sources.sparkSession), "skey", "shard")
+    each = counts.withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    placed = each.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("int"))
+    return placed.select("shard", "skey", "pass", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("skey"), F.col("pass")).alias("block"))
 
 
 def pieces(rows: DataFrame) -> DataFrame:

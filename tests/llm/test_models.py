@@ -203,9 +203,32 @@ def test_near_copies_match_brute_force(spark, odd, none):
                 least[root] = min(least.get(root, r["doc_id"]), r["doc_id"])
         got = nearcopies.near_copies(docs).collect()
         assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r["doc_id"], least.get(root)) for r, root in zip(texts, label, strict=True))
-    assert nearcopies.near_copies(none).count() == 0
-
-
+        kept = Counter((r["doc_id"], r["text"]) for r in nearcopies.keep(docs).collect())
+        first = {}
+        for r, root in zip(texts, label, strict=True):
+            hashed = xxhash.xxh64_intdigest((r["text"] or "").encode(), 42)
+            mine = (r["doc_id"] is None, r["doc_id"] or 0, hashed - 2**64 if hashed >= 2**63 else hashed)
+            first[root] = min(first.get(root, (mine, r)), (mine, r), key=lambda x: x[0])
+        assert set(kept) == {(r["doc_id"], r["text"]) for _, r in first.values()}
+    assert nearcopies.near_copies(none).count() == 0 and nearcopies.keep(none).count() == 0
+
+
+def test_long_lists_are_dealt_anew(spark, monkeypatch):
+    """Texts that share half of their words fill long lists; the similar ones among them are still found."""
+    monkeypatch.setattr(nearcopies, "LONG", 6)
+    monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    passage, rows = invented("aa", 90, 1), []
+    for i in range(60):
+        own = invented("bb", 60, i // 2).split()
+        own[30] = f"w{i}"
+        rows.append((i, passage + " " + " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = nearcopies.staged(docs.select(F.xxhash64("text").alias("hash"), F.xxhash64("text").alias("root"), nearcopies.sketch(F.col("text")).alias("sketch")), "texts")
+    sizes = [r["count"] for r in texts.select(F.explode(F.slice("sketch", 4, nearcopies.BANDS)).alias("key")).groupBy("key").count().collect()]
+    assert max(sizes) > 6
+    label = brute_copies([t for _, t in rows])
+    assert len(set(label)) == 30
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == {i: min(k for k, x in enumerate(label) if x == root) for i, root in enumerate(label)}
 
 
 def test_components_of_a_long_chain(spark):

@@ -267,3 +267,45 @@ def test_one_id_with_two_texts(spark):
     for r in mixing.take(mixed).collect():
         taken[r["source_size"]] += r["taken"]
     assert words["s"] == taken[5] and words["t"] == taken[3]
+
+
+def test_taken_follows_the_shard_counts(spark, monkeypatch):
+    """Brute force of op8's taken: counts per shard are read back, slots numbered shard after shard, blocks looked up by permutation."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "CELL", 4)
+    rows = [(i, " ".join(["w"] * (40 + i % 90)), ["a", "b", None][min(i % 5, 2)]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing.placed(docs)
+    sources = mixing.staged(mixing.targets(placed), "t")
+    counts = mixing.shard_counts(sources).collect()
+    assert len({r["shard"] for r in counts}) > 20
+    slots = {r["skey"]: min(round(r["target"] * n / r["source_size"]), 3 * n) for r in sources.collect() for n in [-(-r["source_size"] // max(1, min(64, r["source_size"] // 256)))]}
+    for skey, n in slots.items():
+        own = sorted((r["shard"], r["n"], r["first"]) for r in counts if r["skey"] == skey)
+        assert sum(x for _, x, _ in own) == n and [f for *_, f in own] == [sum(x for _, x, _ in own[:i]) for i in range(len(own))]
+        mean, shards = n / len({r["shard"] for r in counts}), len({r["shard"] for r in counts})
+        spread = sum((x - mean) ** 2 for _, x, _ in own) / shards
+        assert 0.3 * mean < spread < 3 * mean  # a multinomial's, not an even deal
+    times = {}
+    drawn = mixing.slots(sources).collect()
+    for r in drawn:
+        times[r["skey"], r["block"]] = times.get((r["skey"], r["block"]), 0) + 1
+    want = {}
+    for r in placed.collect():
+        want[r["doc_id"]] = sum(times.get((r["skey"], w // r["length"]), 0) for w in range(r["start"], r["start"] + r["size"]))
+    assert {r["doc_id"]: r["taken"] for r in mixing.take(docs).collect()} == want
+
+
+def test_batches_meet_the_index(spark, odd):
+    """Batch by batch the result is that of one batch, and a run's own index leaves nothing behind."""
+    tables = {t.name for t in spark.catalog.listTables()}
+    extra = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)] + [(None, "text 3"), (None, "alone"), (3, "text 3")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(extra)
+    one = Counter(tuple(r) for r in dedup.mark(docs).collect())
+    assert one == Counter(tuple(r) for r in dedup.mark(docs, batches=2).collect()) == Counter(tuple(r) for r in dedup.mark(docs, batches=5).collect())
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    index = dedup.DigestIndex(spark)
+    dedup.mark(docs, index, batches=2)
+    per_batch = sorted(r["count"] for r in index.read().groupBy("batch").count().collect())
+    assert len(per_batch) == 2 and sum(per_batch) == len({r["text"] or "" for r in docs.collect()})
+    index.remove()

@@ -9,7 +9,7 @@ import pytest
 from orrery.llm import langid, mixing, packing, queries
 from orrery.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
-from test_models import SYLLABLES, brute_components, brute_simhash, invented
+from test_models import SYLLABLES, brute_copies, invented
 
 COLUMNS = {
     "op1_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
@@ -75,7 +75,7 @@ def test_pipeline_against_brute_force(spark, tables):
     for r in after_language:
         best[r["text"]] = max((x for x in (best.get(r["text"]), r["doc_id"]) if x is not None), default=None)
     unique = [(i, t) for t, i in best.items()]
-    roots = brute_components([brute_simhash(t) for _, t in unique])
+    roots = brute_copies([t for _, t in unique])  # SimHash's links and five-word similarity of all pairs
     least = {}
     for (i, _), root in zip(unique, roots, strict=True):
         if i is not None:
