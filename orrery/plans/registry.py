@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orrery.operators import cluster, numeric, scalars, sequence, series, spectral, stats, tensor
+from orrery.operators import cluster, numeric, scalars, sequence, series, spectral, stats, summary, tensor
 from orrery.streaming import windows
 
-MODULES = (stats, scalars, sequence, cluster, tensor, series, spectral, numeric, windows)
+MODULES = (stats, summary, scalars, sequence, cluster, tensor, series, spectral, numeric, windows)
 
 
 def queries() -> dict:
