@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.sources.scratch import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; times without a zone are read as times of the session's zone."""
@@ -21,6 +23,22 @@ def series(df: DataFrame, keys: list[str], order: list[str], value: str | Column
     return df.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).alias("idx"), col.alias(name))
 
 
+def indexed(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """`df` with its 0-based place in `order` over all rows, for which no task needs all: rows are dealt by ranges and sorted, and each
+    range adds how many rows come before it (a number a range). Ties are in any order; the places stay as they are once given."""
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = staged(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "indexed")
+    part = F.shiftright("_id", 33)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect()  # a row a partition
+    first, total = [], 0
+    for r in sizes:
+        first.append((r["part"], total))
+        total += r["rows"]
+    starts = df.sparkSession.createDataFrame(first, "_part long, _first long")
+    placed = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_first", "_id")
+
+
 def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.value per user in order of (ts, event_id): user_id, idx, x."""
     return series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
