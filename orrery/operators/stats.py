@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.sources.tables import table
+from orrery.sources.tables import indexed, table
 
 #: The four-fifths rule's threshold (fixed value).
 FOUR_FIFTHS = 0.8
@@ -129,36 +128,66 @@ def below(x: np.ndarray, n: int) -> np.ndarray:
     return ((high * np.uint64(n) + ((low * np.uint64(n)) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
 
 
-def bootstrap_mean_difference(df: DataFrame, arm: str, value: str, baseline: str, candidate: str, seed: int = 19, resamples: int = 2000, level: float = 0.95, block: int = 100) -> DataFrame:
+#: Values of an arm that one task resamples.
+BOOTSTRAP_BLOCK = 1 << 18
+
+
+def _shared(counts: np.ndarray, block: int, blocks: int, sizes: tuple[int, int], seed: int, arm: int) -> np.ndarray:
+    """How many of each replicate's draws fall into a block: the draws are split binomially between the halves of the blocks, and so on
+    down to one, each split by a generator of its own, so that every task finds the same numbers for the splits it shares."""
+    length, n = sizes
+    low, high = 0, blocks
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = min(middle * length, n) - low * length
+        share = left / (min(high * length, n) - low * length)
+        first = np.random.Generator(np.random.Philox(key=[seed, arm * 2**62 + low * 2**31 + high])).binomial(counts, share)
+        counts, low, high = (first, low, middle) if block < middle else (counts - first, middle, high)
+    return counts
+
+
+def _resampled(values: DataFrame, n: int, arm: int, first: int, stride: int, seed: int, resamples: int, block: int) -> DataFrame:
+    """replicate, total: sums of n draws from `values(idx, x)`."""
+    blocks = -(-n // block)
+
+    def one(group: pa.Table) -> pa.Table:
+        own = int(group.column("idx")[0].as_py()) // block
+        x = group.column("x").to_numpy(zero_copy_only=False)[np.argsort(group.column("idx").to_numpy())]
+        counts = _shared(np.full(resamples, n), own, blocks, (block, n), seed, arm)
+        totals = np.empty(resamples)
+        for r in range(resamples):
+            if blocks == 1:  # the one seeded stream, in which each replicate's draws have their place
+                at = draws(seed, r * stride + first, n)
+            else:
+                at = np.random.Generator(np.random.Philox(key=[seed, 2**63 + arm * 2**62 + own * 2**31 + r])).integers(0, 2**64, counts[r], np.uint64)
+            totals[r] = x[below(at, len(x))].sum()
+        return pa.table({"replicate": np.arange(resamples), "total": totals})
+
+    dealt = values.withColumn("block", F.floor(F.col("idx") / block)).groupBy("block").applyInArrow(one, "replicate long, total double")
+    return dealt.groupBy("replicate").agg(F.sum("total").alias("total"))
+
+
+def bootstrap_mean_difference(df: DataFrame, arm: str, value: str, baseline: str, candidate: str, seed: int = 19, resamples: int = 2000, level: float = 0.95, block: int = BOOTSTRAP_BLOCK) -> DataFrame:
     """Percentile interval of mean(candidate) - mean(baseline): both arms resampled independently, baseline's draws first in each replicate.
 
-    Replicates are dealt to tasks in blocks; each draw's place in the one seeded stream is known, so the split doesn't matter. The arms
-    travel to every block: they must be small (a benchmark's samples), and are counted before. Values are taken in order of column
-    `pos` if there is one, else of themselves.
+    An arm's values lie in blocks, each resampled by one task for all replicates. An arm of one block takes its draws from one seeded
+    stream; of a larger arm each replicate's draws are first split over the blocks (see `_shared`). What is shuffled is a sum a block
+    and replicate. Values are taken in order of column `pos` if there is one, else of themselves; null values are left out.
     """
-    arms = df.where(F.col(arm).isin(baseline, candidate)).groupBy(arm).agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r[0]: r[1] for r in arms}
-    if min(sizes.get(baseline, 0), sizes.get(candidate, 0)) == 0:
+    x = finite(value)
+    arms = df.where(F.col(arm).isin(baseline, candidate) & F.col(value).isNotNull()).select(F.col(arm).alias("arm"), x.alias("x"), *([F.col("pos")] if "pos" in df.columns else []))
+    known = {r["arm"]: r for r in arms.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean")).collect()}  # two rows
+    if len(known) < 2:
         raise ValueError("both arms need values")
-    if sum(sizes.values()) > 1_000_000:
-        raise ValueError("arms of over a million values in all: aggregate or sample them first")
-    order = ["pos"] if "pos" in df.columns else [value]
-    values = {k: np.array([r["x"] for r in df.where(F.col(arm) == k).orderBy(*order).select(finite(value).alias("x")).collect()]) for k in (baseline, candidate)}
-    a, b = values[baseline], values[candidate]
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((a, b))
-
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = shared.value
-        for batch in batches:
-            for r in batch["id"]:
-                first = int(r) * (len(a) + len(b))
-                x = draws(seed, first, len(a) + len(b))
-                yield pd.DataFrame({"effect": [b[below(x[len(a) :], len(b))].mean() - a[below(x[: len(a)], len(a))].mean()]})
-
-    effects = spark.range(0, resamples, 1, max(1, resamples // block)).mapInPandas(replicate, "effect double")
+    sizes = [known[k]["n"] for k in (baseline, candidate)]
+    each = []
+    for i, name in enumerate((baseline, candidate)):
+        placed = indexed(arms.where(F.col("arm") == name), ["pos"] if "pos" in arms.columns else ["x"])
+        each.append(_resampled(placed.select("idx", "x"), sizes[i], i, sizes[0] * i, sum(sizes), seed, resamples, block))
+    effects = each[0].withColumnRenamed("total", "base").join(each[1], "replicate").select((F.col("total") / sizes[1] - F.col("base") / sizes[0]).alias("effect"))
     tail = (1 - level) / 2
-    return effects.agg(F.lit(float(b.mean() - a.mean())).alias("effect"), F.percentile("effect", F.lit(tail)).alias("low"), F.percentile("effect", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("resamples"))
+    effect = float(known[candidate]["mean"] - known[baseline]["mean"])
+    return effects.agg(F.lit(effect).alias("effect"), F.percentile("effect", F.lit(tail)).alias("low"), F.percentile("effect", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("resamples"))
 
 
 # ---- queries
@@ -224,9 +253,26 @@ def q_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    arms = e.select(F.when(F.col("r_regionkey") < 2, "low").otherwise("high").alias("arm"), F.col("n_nationkey").alias("x"), F.col("n_nationkey").alias("pos"))
-    return bootstrap_mean_difference(arms, "arm", "x", "low", "high").select(*(F.round(c, 6).alias(c) for c in ("effect", "low", "high")), "resamples")
+    """Mean value of purchases less that of clicks, over all events of these types."""
+    events = table(spark, sf_dir, "events").select("event_type", "value", F.col("event_id").alias("pos"))
+    return bootstrap_mean_difference(events, "event_type", "value", "click", "purchase").select(*(F.round(c, 6).alias(c) for c in ("effect", "low", "high")), "resamples")
+
+
+def _mixed(z: str, shift: int, factor: int) -> str:
+    return f"((xor({z}, {z} >> {shift})::uhugeint * {factor}) % 18446744073709551616)::ubigint"
+
+
+BOOTSTRAP_SQL = f"""
+WITH e AS (SELECT event_type = 'purchase' AS b, value AS x, event_id FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL),
+v AS (SELECT b, list(x ORDER BY event_id) AS xs, count(*) AS n, avg(x) AS mean FROM e GROUP BY b),
+s AS (SELECT sum(n)::bigint AS total, max(CASE WHEN b THEN 0 ELSE n END) AS base FROM v),
+d AS (SELECT b, r, unnest(range(n)) + r * total + CASE WHEN b THEN base ELSE 0 END AS place FROM v, s, (SELECT unnest(range(2000)) AS r)),
+z0 AS (SELECT b, r, ((19 + {GOLDEN}::uhugeint * (place + 1)::uhugeint) % 18446744073709551616)::ubigint AS z FROM d),
+z1 AS (SELECT b, r, {_mixed("z", 30, 0xBF58476D1CE4E5B9)} AS z FROM z0), z2 AS (SELECT b, r, {_mixed("z", 27, 0x94D049BB133111EB)} AS z FROM z1),
+t AS (SELECT b, r, avg(xs[(((xor(z, z >> 31))::uhugeint * n::uhugeint) // 18446744073709551616)::bigint + 1]) AS m FROM z2 JOIN v USING (b) GROUP BY b, r),
+f AS (SELECT r, sum(CASE WHEN b THEN m ELSE -m END) AS effect FROM t GROUP BY r)
+SELECT (SELECT round(sum(CASE WHEN b THEN mean ELSE -mean END), 6) FROM v) AS effect, round(quantile_cont(effect, 0.025), 6) AS low, round(quantile_cont(effect, 0.975), 6) AS high, count(*) AS resamples FROM f
+"""
 
 
 QUERIES = {
@@ -240,5 +286,5 @@ QUERIES = {
     "stats_bayes_binary": (q_bayes, "SELECT round(avg((toxic = 1)::int), 6) AS prior, round(count(*) FILTER (toxic = 1 AND quality = 0) / count(*) FILTER (quality = 0), 6) AS posterior FROM labels"),
     "stats_claims": (q_claims, "SELECT 'mean' AS metric, event_type AS subject, round(avg(value), 6) AS value FROM events GROUP BY event_type UNION ALL SELECT 'variance', event_type, round(var_pop(value), 6) FROM events GROUP BY event_type UNION ALL SELECT 'entropy', 'event_type', round(entropy(event_type), 6) FROM events UNION ALL SELECT 'disparate-impact', 'labels', round(avg((toxic = 0)::int) FILTER (quality <> 1) / avg((toxic = 0)::int) FILTER (quality = 1), 6) FROM labels"),
     "stats_regression": (q_regression, "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag"),
-    "stats_bootstrap": (q_bootstrap, None),
+    "stats_bootstrap": (q_bootstrap, BOOTSTRAP_SQL),
 }

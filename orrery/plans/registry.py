@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orrery.operators import cluster, numeric, scalars, scan, sequence, series, spectral, stats, summary, tensor
+from orrery.operators import chirp, cluster, numeric, scalars, scan, sequence, series, spectral, stats, summary, tensor
 from orrery.streaming import windows
 
-MODULES = (stats, summary, scalars, sequence, scan, cluster, tensor, series, spectral, numeric, windows)
+MODULES = (stats, summary, scalars, sequence, scan, cluster, tensor, series, spectral, chirp, numeric, windows)
 
 
 def queries() -> dict:
