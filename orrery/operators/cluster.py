@@ -86,16 +86,16 @@ def plus_plus(points: DataFrame, value: str, key: str, k: int, units: Units, n:
     return np.array(centers)
 
 
-def fit_kmeans(points: DataFrame, value: str, key: str, k: int, seed: int = 4, restarts: int = 4, rounds: int = 50) -> KMeans:
-    """Lloyd's rounds from k-means++ starts; empty clusters take the points farthest from their centers, one each. Of the restarts the lowest inertia
+def fit_kmeans(points: DataFrame, value: str, key: str, k: int, seed: int = 4, restarts: int = 4, rounds: int = 50, start: np.ndarray | None = None) -> KMeans:
+    """Lloyd's rounds from k-means++ starts, or once from `start`; empty clusters take the points farthest from their centers, one each. Of the restarts the lowest inertia
     wins, ties to the first; centers come in lexicographic order. `work`: distances computed."""
     points = points.select(key, value).cache()
     n = points.count()
     if n < k:
         raise ValueError("fewer points than clusters")
     best, work = None, 0
-    for s in _restart_seeds(seed, restarts):
-        centers = plus_plus(points, value, key, k, Units(s), n)
+    for s in _restart_seeds(seed, restarts if start is None else 1):
+        centers = plus_plus(points, value, key, k, Units(s), n) if start is None else np.array(start, float)
         d = centers.shape[1]
         for number in range(rounds):
 
@@ -181,12 +181,12 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(1, keepdims=True)))[:, 0]
 
 
-def fit_gmm(points: DataFrame, value: str, key: str, k: int, seed: int = 4, full: bool = False, regularization: float = 1e-6, tolerance: float = 1e-9, rounds: int = 100) -> Mixture:
-    """Expectation-maximisation from k-means++ means, equal weights and the global covariance; stops when the mean log-likelihood gains no
+def fit_gmm(points: DataFrame, value: str, key: str, k: int, seed: int = 4, full: bool = False, regularization: float = 1e-6, tolerance: float = 1e-9, rounds: int = 100, start: np.ndarray | None = None) -> Mixture:
+    """Expectation-maximisation from k-means++ means (or the means `start`), equal weights and the global covariance; stops when the mean log-likelihood gains no
     more than `tolerance`. Components come in lexicographic order of means."""
     points = points.select(key, value).cache()
     n = points.count()
-    means = plus_plus(points, value, key, k, Units(_restart_seeds(seed, 1)[0]), n)
+    means = plus_plus(points, value, key, k, Units(_restart_seeds(seed, 1)[0]), n) if start is None else np.array(start, float)
     d = means.shape[1]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +229,7 @@ def fit_gmm(points: DataFrame, value: str, key: str, k: int, seed: int = 4, full
         means = s / mass[:, None]
         shift = means - model.means
         cov = ss / mass[:, None, None] - shift[:, :, None] * shift[:, None, :] + regularization * np.eye(d)
-        model = Mixture(mass / mass.sum(), means, cov if full else np.array([np.diag(c) for c in cov]), n=n)
+        model = Mixture(mass / mass.sum(), means, cov if full else np.array([np.diag(c) for c in cov]), last, number, n)  # the likelihood is that before this update
     points.unpersist()
     order = sorted(range(k), key=lambda j: model.means[j].tolist())
     return Mixture(model.weights[order], model.means[order], model.covariances[order], model.log_likelihood, model.rounds, n)
@@ -297,4 +297,41 @@ def q_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responsibilities(points, "v", "vec_id", model).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("log_density"), 3).alias("log_likelihood"))
 
 
-QUERIES = {"kmeans_fit": (q_kmeans, None), "kmeans_assign": (q_assign, ASSIGN_SQL), "kmeans_assign_wide": (q_assign_wide, ASSIGN_WIDE_SQL), "gmm_fit": (q_gmm, None)}
+def q_kmeans_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of Lloyd's rounds over all components from fixed centers: the centers they give, and the inertia before the last."""
+    model = fit_kmeans(_points(spark, sf_dir), "v", "vec_id", 3, rounds=2, start=WIDE.centers)
+    rows = [(i, j, float(v)) for i, c in enumerate(model.centers) for j, v in enumerate(c)]
+    return spark.createDataFrame(rows, "cluster int, pos int, center double").select("cluster", "pos", F.round("center", 6).alias("center"), F.lit(round(model.inertia, 4)).alias("inertia"))
+
+
+def _nearest(centers: str) -> str:
+    return f"SELECT x.vec_id, c.c, sum((x.x - c.x) ^ 2) AS d FROM x JOIN {centers} c ON c.pos = x.pos GROUP BY x.vec_id, c.c QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY d, c.c) = 1"
+
+
+KMEANS_ROUND_SQL = f"""WITH x AS {_WIDE_CELLS}, c0 AS (SELECT c, pos, CASE WHEN c = 0 THEN -0.1 WHEN c = 2 OR pos % 2 = 0 THEN 0.1 ELSE -0.1 END AS x FROM (SELECT unnest([0, 1, 2]) AS c), (SELECT unnest(range(64)) AS pos)),
+n0 AS ({_nearest("c0")}), c1 AS (SELECT c, pos, avg(x) AS x FROM n0 JOIN x USING (vec_id) GROUP BY c, pos), n1 AS ({_nearest("c1")}),
+c2 AS (SELECT c, pos, avg(x) AS x FROM n1 JOIN x USING (vec_id) GROUP BY c, pos), named AS (SELECT c, row_number() OVER (ORDER BY list(x ORDER BY pos)) - 1 AS cluster FROM c2 GROUP BY c)
+SELECT cluster, pos, round(x, 6) AS center, (SELECT round(sum(d), 4) FROM n1) AS inertia FROM c2 JOIN named USING (c)"""
+
+
+def q_gmm_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of expectation-maximisation from fixed means: the mixture it gives, read from its second round's likelihood on."""
+    model = fit_gmm(_points(spark, sf_dir), "v", "vec_id", 3, rounds=1, start=WIDE.centers * 0.5)
+    rows = [(i, j, float(model.weights[i]), float(model.means[i, j]), float(model.covariances[i, j])) for i in range(3) for j in range(64)]
+    out = spark.createDataFrame(rows, "component int, pos int, weight double, mean double, variance double")
+    return out.select("component", "pos", *(F.round(c, 5).alias(c) for c in ("weight", "mean", "variance")), F.lit(round(model.log_likelihood, 3)).alias("log_likelihood"))
+
+
+GMM_ROUND_SQL = f"""WITH x AS {_WIDE_CELLS}, g AS (SELECT pos, var_pop(x) + 1e-6 AS v FROM x GROUP BY pos),
+m AS (SELECT c, pos, 0.5 * CASE WHEN c = 0 THEN -0.1 WHEN c = 2 OR pos % 2 = 0 THEN 0.1 ELSE -0.1 END AS m FROM (SELECT unnest([0, 1, 2]) AS c), (SELECT unnest(range(64)) AS pos)),
+j AS (SELECT vec_id, c, ln(1.0 / 3) - 0.5 * sum(ln(2 * pi()) + ln(v) + (x - m) ^ 2 / v) AS j FROM x JOIN m USING (pos) JOIN g USING (pos) GROUP BY vec_id, c),
+z AS (SELECT vec_id, max(j) + ln(sum(exp(j - top))) AS z FROM (SELECT *, max(j) OVER (PARTITION BY vec_id) AS top FROM j) GROUP BY vec_id),
+r AS (SELECT vec_id, c, exp(j - z) AS r FROM j JOIN z USING (vec_id)), w AS (SELECT c, sum(r) AS w FROM r GROUP BY c),
+e AS (SELECT c, pos, sum(r * x) / any_value(w) AS mean FROM r JOIN x USING (vec_id) JOIN w USING (c) GROUP BY c, pos),
+v AS (SELECT c, pos, sum(r * (x - mean) ^ 2) / any_value(w) + 1e-6 AS variance FROM r JOIN x USING (vec_id) JOIN w USING (c) JOIN e USING (c, pos) GROUP BY c, pos),
+named AS (SELECT c, row_number() OVER (ORDER BY list(mean ORDER BY pos)) - 1 AS component FROM e GROUP BY c)
+SELECT component, pos, round(w / (SELECT sum(w) FROM w), 5) AS weight, round(mean, 5) AS mean, round(variance, 5) AS variance, (SELECT round(sum(z), 3) FROM z) AS log_likelihood
+FROM e JOIN v USING (c, pos) JOIN w USING (c) JOIN named USING (c)"""
+
+
+QUERIES = {"kmeans_fit": (q_kmeans, None), "kmeans_assign": (q_assign, ASSIGN_SQL), "kmeans_assign_wide": (q_assign_wide, ASSIGN_WIDE_SQL), "gmm_fit": (q_gmm, None), "kmeans_round": (q_kmeans_round, KMEANS_ROUND_SQL), "gmm_round": (q_gmm_round, GMM_ROUND_SQL)}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.sequence import EXAMPLE, Hmm
+from orrery.operators.sequence import EXAMPLE, Hmm, fit, q_decode, roles
 from orrery.sources.scratch import staged
 from orrery.sources.tables import indexed, table
 
@@ -208,11 +208,12 @@ def q_decode_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("t", "path", "state", F.round("confidence", 6).alias("confidence"), F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
-def decode_sql(rows: str, digits: int = 6) -> str:
-    """Viterbi and forward-backward of the two-state example, place by place, for sequences `rows` (seq, t from 0, x)."""
+def messages_sql(rows: str) -> str:
+    """CTEs of Viterbi and forward-backward of the two-state example, place by place, for sequences `rows` (seq, t from 0, x): f has the
+    forward probability a of state 0 and the log-likelihood l so far, b the backward share b of state 0, the best path and l of all."""
     (s0, s1), ((m00, m01), (m10, m11)), ((e00, e01), (e10, e11)) = EXAMPLE.start, EXAMPLE.move, EXAMPLE.emit
     return f"""
-WITH RECURSIVE r AS ({rows}), o AS (SELECT seq, t, CASE x WHEN 0 THEN {e00}::double ELSE {e01} END AS e0, CASE x WHEN 0 THEN {e10}::double ELSE {e11} END AS e1, max(t) OVER (PARTITION BY seq) AS n FROM r),
+WITH RECURSIVE r AS ({rows}), o AS (SELECT seq, t, x, CASE x WHEN 0 THEN {e00}::double ELSE {e01} END AS e0, CASE x WHEN 0 THEN {e10}::double ELSE {e11} END AS e1, max(t) OVER (PARTITION BY seq) AS n FROM r),
 f AS (
  SELECT seq, t, {s0}::double * e0 / ({s0} * e0 + {s1} * e1) AS a, ln({s0}::double * e0 + {s1} * e1) AS l, ln({s0}::double) + ln(e0) AS d0, ln({s1}::double) + ln(e1) AS d1, 0 AS p0, 0 AS p1 FROM o WHERE t = 0
  UNION ALL SELECT seq, t, u0 / (u0 + u1), l + ln(u0 + u1), greatest(d0 + ln({m00}::double), d1 + ln({m10}::double)) + ln(e0), greatest(d0 + ln({m01}::double), d1 + ln({m11}::double)) + ln(e1),
@@ -223,13 +224,43 @@ b AS (
  UNION ALL SELECT seq, t, v0 / (v0 + v1), path, back, l
  FROM (SELECT f.seq, f.t, {m00} * o.e0 * b.b + {m01} * o.e1 * (1 - b.b) AS v0, {m10} * o.e0 * b.b + {m11} * o.e1 * (1 - b.b) AS v1, b.back AS path, CASE b.back WHEN 0 THEN f.p0 ELSE f.p1 END AS back, b.l
   FROM b JOIN f ON f.seq = b.seq AND f.t = b.t - 1 JOIN o ON o.seq = b.seq AND o.t = b.t)),
-p AS (SELECT seq, t, path, a * b / (a * b + (1 - a) * (1 - b)) AS p, b.l FROM b JOIN f USING (seq, t))
-SELECT seq, t, path, CASE WHEN p >= 0.5 THEN 0 ELSE 1 END AS state, round(greatest(p, 1 - p), {digits}) AS confidence, l FROM p"""
+p AS (SELECT seq, t, path, a * b / (a * b + (1 - a) * (1 - b)) AS p, b.l FROM b JOIN f USING (seq, t))"""
 
 
+def decode_sql(rows: str) -> str:
+    return messages_sql(rows) + """
+SELECT seq, t, path, CASE WHEN p >= 0.5 THEN 0 ELSE 1 END AS state, round(greatest(p, 1 - p), 6) AS confidence, l FROM p"""
+
+
+_ROLES = "SELECT conv_id AS seq, turn AS t, CASE WHEN length(text) > 200 THEN 1 ELSE 0 END AS x FROM conversations"
+DECODE_SQL = f"SELECT seq AS conv_id, t, path, state, confidence, round(l, 6) AS log_likelihood FROM ({decode_sql(_ROLES)})"
+
+
+def q_fit_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of Baum-Welch from the example model: the model it gives, and the likelihoods before and after."""
+    model, found = fit(roles(spark, sf_dir), "conv_id", 2, 2, rounds=1, start=EXAMPLE)
+    rows = [(i, j, float(model.start[i]), float(model.move[i, j]), float(model.emit[i, j])) for i in range(2) for j in range(2)]
+    out = spark.createDataFrame(rows, "state int, other int, start double, move double, emit double")
+    return out.select("state", "other", *(F.round(c, 6).alias(c) for c in ("start", "move", "emit")), F.lit(round(found[0], 4)).alias("before"), F.lit(found[1] > found[0]).alias("better"))
+
+
+_MOVE, _EMIT = EXAMPLE.move, EXAMPLE.emit
+FIT_ROUND_SQL = messages_sql(_ROLES) + f""",
+g AS (SELECT p.*, o.x FROM p JOIN o USING (seq, t)),
+w AS (SELECT i, j, (CASE i WHEN 0 THEN f.a ELSE 1 - f.a END) * (CASE WHEN i = 0 AND j = 0 THEN {_MOVE[0, 0]}::double WHEN i = 0 THEN {_MOVE[0, 1]} WHEN j = 0 THEN {_MOVE[1, 0]} ELSE {_MOVE[1, 1]} END)
+  * (CASE j WHEN 0 THEN o.e0 * b.b ELSE o.e1 * (1 - b.b) END) AS w, f.seq, f.t
+ FROM f JOIN o ON o.seq = f.seq AND o.t = f.t + 1 JOIN b ON b.seq = o.seq AND b.t = o.t, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+moves AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w / sum(w) OVER (PARTITION BY seq, t) AS w FROM w) GROUP BY i, j),
+emits AS (SELECT i, j, sum(CASE WHEN x = j THEN CASE i WHEN 0 THEN p ELSE 1 - p END ELSE 0 END) AS w FROM g, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) GROUP BY i, j),
+starts AS (SELECT i, sum(CASE i WHEN 0 THEN p ELSE 1 - p END) AS w FROM g, (SELECT unnest([0, 1]) AS i) WHERE t = 0 GROUP BY i)
+SELECT moves.i AS state, moves.j AS other, round((starts.w + 1e-6) / (SELECT sum(w + 1e-6) FROM starts), 6) AS start, round((moves.w + 1e-6) / sum(moves.w + 1e-6) OVER (PARTITION BY moves.i), 6) AS move,
+ round((emits.w + 1e-6) / sum(emits.w + 1e-6) OVER (PARTITION BY moves.i), 6) AS emit, (SELECT round(sum(l), 4) FROM b WHERE t = 0) AS before, true AS better
+FROM moves JOIN emits ON emits.i = moves.i AND emits.j = moves.j JOIN starts ON starts.i = moves.i
+"""
+
 DECODE_LONG_SQL = f"""
 SELECT t, path, state, confidence, round(l, 3) AS log_likelihood FROM (
 {decode_sql("SELECT 0 AS seq, row_number() OVER (ORDER BY ts, event_id) - 1 AS t, CASE event_type WHEN 'error' THEN 1 ELSE 0 END AS x FROM events")})
 """
 
-QUERIES = {"hmm_decode_long": (q_decode_long, DECODE_LONG_SQL)}
+QUERIES = {"hmm_decode": (q_decode, DECODE_SQL), "hmm_decode_long": (q_decode_long, DECODE_LONG_SQL), "hmm_fit_round": (q_fit_round, FIT_ROUND_SQL)}

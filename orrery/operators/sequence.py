@@ -197,14 +197,14 @@ def first_model(states: int, symbols: int, seed: int) -> Hmm:
     return Hmm(start, move, np.array([row(symbols) for _ in range(states)]))
 
 
-def fit(df: DataFrame, seq: str, states: int, symbols: int, seed: int = 23, rounds: int = 6, smoothing: float = 1e-6, tolerance: float = 1e-9) -> tuple[Hmm, list[float]]:
-    """Baum-Welch over `df(seq, t, x)` with symbols 0 … symbols - 1.
+def fit(df: DataFrame, seq: str, states: int, symbols: int, seed: int = 23, rounds: int = 6, smoothing: float = 1e-6, tolerance: float = 1e-9, start: Hmm | None = None) -> tuple[Hmm, list[float]]:
+    """Baum-Welch over `df(seq, t, x)` with symbols 0 … symbols - 1, from `start` or a seeded model.
 
     E-step: sequences in parallel emit expected counts, added per task before they are summed by Spark; M-step on the summed counts,
     whose number depends on the model alone. The log-likelihoods are those before each round's update and after the last.
     """
     sequences = df.groupBy(seq).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda r: r["x"].cast("int")).alias("xs")).select("xs").cache()
-    model, found = first_model(states, symbols, seed), []
+    model, found = start or first_model(states, symbols, seed), []
 
     def expected(model: Hmm):
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,6 +390,5 @@ QUERIES = {
     "markov_row_stochastic": (q_stochastic, "SELECT 0 AS bad_rows"),
     "markov_holdout": (q_holdout, HOLDOUT_SQL),
     "hmm_fit_gaussian": (q_gaussian, None),
-    "hmm_decode": (q_decode, None),
     "hmm_fit": (q_fit, None),
 }

@@ -602,6 +602,9 @@ _BURG = f"""{_N}, c AS (SELECT user_id, idx, n, x, avg(x) OVER (PARTITION BY use
  k3 AS (SELECT user_id, coalesce(-2 * sum(f * g) / nullif(sum(f * f + g * g), 0), 0) AS k3 FROM f2 WHERE idx >= 3 GROUP BY user_id),
  v AS (SELECT user_id, any_value(mean) AS mean, any_value(n) AS n, avg(y * y) AS e0, arg_min(y, idx) AS first, arg_max(y, idx) AS last, max(CASE WHEN idx = 1 THEN y END) AS second, max(CASE WHEN idx = n - 2 THEN y END) AS before FROM y GROUP BY user_id),
  fit AS (SELECT *, e0 * (1 - k1 * k1) AS e1, e0 * (1 - k1 * k1) * (1 - k2 * k2) AS e2, k1 + k2 * k1 AS a1, k2 AS a2 FROM v JOIN k1 USING (user_id) JOIN k2 USING (user_id))"""
+MEM_SQL = _BURG + """, m AS (SELECT user_id, a1, a2, e2, unnest(range(9)) AS k FROM fit WHERE n >= 4),
+ p AS (SELECT *, (1 + a1 * cos(-pi() * k / 8) + a2 * cos(-2 * pi() * k / 8)) ^ 2 + (a1 * sin(-pi() * k / 8) + a2 * sin(-2 * pi() * k / 8)) ^ 2 AS size FROM m)
+SELECT user_id, k::int AS k, round(CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END * e2 / size, 4) + 0.0 AS power FROM p"""
 BURG_SQL = _BURG + """, o AS (SELECT user_id, mean, n, unnest([1, 2, 3]) AS p, unnest([e1, e2, e2 * (1 - k3 * k3)]) AS e FROM fit JOIN k3 USING (user_id) WHERE n >= 5)
 SELECT user_id, p::int AS order, round(mean, 4) AS mean, round(e, 4) AS variance FROM o QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n * ln(greatest(e, 1e-300)) + 2 * p, p) = 1""".replace("AS order", 'AS "order"')
 PREDICT_SQL = _BURG + """, t AS (SELECT user_id, mean, a1, a2, 'after' AS side, last AS u, before AS w FROM fit WHERE n >= 4 UNION ALL SELECT user_id, mean, a1, a2, 'before', first, second FROM fit WHERE n >= 4),
@@ -613,7 +616,7 @@ QUERIES = {
     "signal_fft_round_trip": (q_round_trip, "SELECT w AS normalization, 0.0::double AS error, (SELECT count(*) FROM events) AS n FROM (SELECT unnest(['inverse', 'forward', 'orthonormal']) AS w)"),
     **{f"signal_{kind}": (_trig_query(kind), _trig_sql(kind)) for kind in KERNELS},
     "signal_periodogram": (q_periodogram, PERIODOGRAM_SQL), "signal_welch": (q_welch, WELCH_SQL), "signal_cross_spectrum": (q_cross, CROSS_SQL), "signal_multitaper": (q_multitaper, None),
-    "signal_lomb_scargle": (q_lomb, LOMB_SQL), "signal_burg": (q_burg, BURG_SQL), "signal_mem_spectrum": (q_mem, None), "signal_predict": (q_predict, PREDICT_SQL), "signal_toeplitz": (q_toeplitz, TOEPLITZ_SQL),
+    "signal_lomb_scargle": (q_lomb, LOMB_SQL), "signal_burg": (q_burg, BURG_SQL), "signal_mem_spectrum": (q_mem, MEM_SQL), "signal_predict": (q_predict, PREDICT_SQL), "signal_toeplitz": (q_toeplitz, TOEPLITZ_SQL),
     "signal_deconvolve": (q_deconvolve, "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT 0.0::double AS error, sum(n)::bigint AS n FROM n WHERE n >= 3"),
     "signal_analytic": (q_analytic, "SELECT 0.0::double AS error, true AS bounds, count(*) AS n FROM events"),
     "signal_instantaneous_frequency": (q_frequency, f"WITH s AS ({USER_SERIES_SQL}) SELECT user_id, idx + 0.5::double AS idx, round(0.5 / (2 * pi()), 6) AS frequency FROM s QUALIFY lead(idx) OVER (PARTITION BY user_id ORDER BY idx) IS NOT NULL"),

@@ -255,7 +255,7 @@ def q_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value of purchases less that of clicks, over all events of these types."""
     events = table(spark, sf_dir, "events").select("event_type", "value", F.col("event_id").alias("pos"))
-    return bootstrap_mean_difference(events, "event_type", "value", "click", "purchase").select(*(F.round(c, 6).alias(c) for c in ("effect", "low", "high")), "resamples")
+    return bootstrap_mean_difference(events, "event_type", "value", "click", "purchase", resamples=200).select(*(F.round(c, 6).alias(c) for c in ("effect", "low", "high")), "resamples")
 
 
 def _mixed(z: str, shift: int, factor: int) -> str:
@@ -263,13 +263,14 @@ def _mixed(z: str, shift: int, factor: int) -> str:
 
 
 BOOTSTRAP_SQL = f"""
-WITH e AS (SELECT event_type = 'purchase' AS b, value AS x, event_id FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL),
-v AS (SELECT b, list(x ORDER BY event_id) AS xs, count(*) AS n, avg(x) AS mean FROM e GROUP BY b),
+WITH e AS (SELECT event_type = 'purchase' AS b, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL),
+v AS (SELECT b, count(*) AS n, avg(x) AS mean FROM e GROUP BY b),
 s AS (SELECT sum(n)::bigint AS total, max(CASE WHEN b THEN 0 ELSE n END) AS base FROM v),
-d AS (SELECT b, r, unnest(range(n)) + r * total + CASE WHEN b THEN base ELSE 0 END AS place FROM v, s, (SELECT unnest(range(2000)) AS r)),
-z0 AS (SELECT b, r, ((19 + {GOLDEN}::uhugeint * (place + 1)::uhugeint) % 18446744073709551616)::ubigint AS z FROM d),
-z1 AS (SELECT b, r, {_mixed("z", 30, 0xBF58476D1CE4E5B9)} AS z FROM z0), z2 AS (SELECT b, r, {_mixed("z", 27, 0x94D049BB133111EB)} AS z FROM z1),
-t AS (SELECT b, r, avg(xs[(((xor(z, z >> 31))::uhugeint * n::uhugeint) // 18446744073709551616)::bigint + 1]) AS m FROM z2 JOIN v USING (b) GROUP BY b, r),
+d AS (SELECT b, r, n, unnest(range(n)) + r * total + CASE WHEN b THEN base ELSE 0 END AS place FROM v, s, (SELECT unnest(range(200)) AS r)),
+z0 AS (SELECT b, r, n, ((19 + {GOLDEN}::uhugeint * (place + 1)::uhugeint) % 18446744073709551616)::ubigint AS z FROM d),
+z1 AS (SELECT b, r, n, {_mixed("z", 30, 0xBF58476D1CE4E5B9)} AS z FROM z0), z2 AS (SELECT b, r, n, {_mixed("z", 27, 0x94D049BB133111EB)} AS z FROM z1),
+pick AS (SELECT b, r, ((xor(z, z >> 31)::uhugeint * n::uhugeint) >> 64)::bigint AS i FROM z2),
+t AS (SELECT b, r, avg(x) AS m FROM pick JOIN e USING (b, i) GROUP BY b, r),
 f AS (SELECT r, sum(CASE WHEN b THEN m ELSE -m END) AS effect FROM t GROUP BY r)
 SELECT (SELECT round(sum(CASE WHEN b THEN mean ELSE -mean END), 6) FROM v) AS effect, round(quantile_cont(effect, 0.025), 6) AS low, round(quantile_cont(effect, 0.975), 6) AS high, count(*) AS resamples FROM f
 """
