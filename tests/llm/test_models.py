@@ -217,6 +217,7 @@ def test_long_lists_are_dealt_anew(spark, monkeypatch):
     """Texts that share half of their words fill long lists; the similar ones among them are still found."""
     monkeypatch.setattr(nearcopies, "LONG", 6)
     monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    assert nearcopies.CLOSEST >= 8
     passage, rows = invented("aa", 90, 1), []
     for i in range(60):
         own = invented("bb", 60, i // 2).split()
