@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.operators.tridiagonal import solve_rows
 from orrery.sources.tables import USER_SERIES_SQL, table, user_series
 
 
@@ -157,8 +158,7 @@ def cubic_second_derivatives(t: np.ndarray, x: np.ndarray) -> np.ndarray:
     if n < 3:
         return m
     h, s = np.diff(t), np.diff(x) / np.diff(t)
-    a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-    m[1:-1] = np.linalg.solve(a, 6 * np.diff(s))
+    m[1:-1] = solve_rows(h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(s))
     return m
 
 
