@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orrery.operators import chirp, cluster, numeric, scalars, scan, sequence, series, spectral, stats, summary, tensor, tridiagonal
+from orrery.operators import chirp, cluster, numeric, scalars, scan, sequence, series, spectral, stats, summary, tensor, tiles, tridiagonal
 from orrery.streaming import windows
 
-MODULES = (stats, summary, scalars, sequence, scan, cluster, tensor, series, spectral, chirp, tridiagonal, numeric, windows)
+MODULES = (stats, summary, scalars, sequence, scan, cluster, tensor, tiles, series, spectral, chirp, tridiagonal, numeric, windows)
 
 
 def queries() -> dict:
