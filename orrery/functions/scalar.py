@@ -98,23 +98,23 @@ def gcd(a: Column, b: Column) -> Column:
 LONG_DIVISOR = 10**7
 
 
-def quotient(a: Column, b: Column) -> Column:
-    """floor(a / b) exactly, for all of 38 digits; null for b = 0."""
+def exact_quotient(a: Column, b: Column) -> Column:
+    """a / b for a multiple a of b, for all of 38 digits, without a lambda of its own (the analyzer goes through a limited number)."""
+    a, b, most, unit = wide(a), wide(b), 2**63 - 1, F.lit("1" + "0" * 19).cast(WIDE)
+    ratio = lambda x, y: (x / y).cast(WIDE)
+    high, low = ratio(a - a % unit, unit), a % unit  # short divisors take the number in two parts
+    rest = high % b
+    parts = (ratio(high - rest, b) * unit).cast(WIDE) + ratio((rest * unit).cast(WIDE) + low, b)
+    fits = a.between(-most, most) & b.between(-most, most)
+    return F.when(fits, F.call_function("div", a.cast("bigint"), b.cast("bigint")).cast(WIDE)).when((b >= LONG_DIVISOR) | (b <= -LONG_DIVISOR), ratio(a, b)).otherwise(parts.cast(WIDE))
 
-    def of(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        exact = lambda x, y: ((x - x % y).cast(WIDE) / y).cast(WIDE)
-        unit = F.lit("1" + "0" * 19).cast(WIDE)  # short divisors take the number in two parts
-        high = lambda h: ((h * unit).cast(WIDE) + exact((a - (h * b).cast(WIDE) * unit).cast(WIDE), b)).cast(WIDE)
-        parts = F.transform(F.array(exact(exact(a, unit), b)), high)[0]
-        fits = (a <= F.lit(2**63 - 1)) & (b <= F.lit(2**63 - 1))
-        short = F.call_function("div", a.cast("bigint"), b.cast("bigint")).cast(WIDE)
-        whole = F.when(fits, short).when(b >= LONG_DIVISOR, exact(a, b)).otherwise(parts)
-        floor = lambda q: F.when(s["apart"], (neg(q) - F.when(a % b == 0, 0).otherwise(1)).cast(WIDE)).otherwise(q)
-        return F.when(b != 0, F.transform(F.array(whole), floor)[0])
 
-    apart = (wide(a) < 0) != (wide(b) < 0)
-    return F.transform(F.array(F.struct(size(a).alias("a"), size(b).alias("b"), apart.alias("apart"))), of)[0]
+def quotient(a: Column, b: Column) -> Column:
+    """floor(a / b) exactly, for all of 38 digits; null for b = 0."""
+    a, b = wide(a), wide(b)
+    rest = a % b
+    below = F.when((rest != 0) & ((rest < 0) != (b < 0)), 1).otherwise(0)
+    return F.when(b != 0, (exact_quotient(a - rest, b) - below).cast(WIDE))
 
 
 def rational(num: Column, den: Column) -> Column:
@@ -122,10 +122,10 @@ def rational(num: Column, den: Column) -> Column:
 
     def reduced(s: Column) -> Column:
         common = F.when(s["den"] == 0, F.raise_error(F.lit("zero denominator")).cast(WIDE)).otherwise(gcd(s["num"], s["den"])) * F.when(s["den"] < 0, -1).otherwise(1)
-        lowest = lambda g: F.struct(quotient(s["num"], g).alias("num"), quotient(s["den"], g).alias("den"))
+        lowest = lambda g: F.struct(exact_quotient(s["num"], g).alias("num"), exact_quotient(s["den"], g).alias("den"))
         return F.transform(F.array(common.cast(WIDE)), lowest)[0]
 
-    return F.transform(F.array(F.struct(wide(num).alias("num"), wide(den).alias("den"))), reduced)[0]
+    return F.transform(F.array(F.struct(wide(num).alias("num"), wide(den).alias("den"))), reduced)[0]  # evaluates both once
 
 
 DECIMAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
@@ -149,17 +149,12 @@ def rational_of(text: Column) -> Column:
 
 
 def rational_add(a: Column, b: Column) -> Column:
-    """Over the least common denominator, so that no more digits are formed than the sum needs."""
-
-    def summed(s: Column) -> Column:
-        own, other = quotient(s["a"]["den"], s["g"]), quotient(s["b"]["den"], s["g"])
-        return rational((s["a"]["num"] * other).cast(WIDE) + (s["b"]["num"] * own).cast(WIDE), (s["a"]["den"] * other).cast(WIDE))
-
-    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), gcd(a["den"], b["den"]).alias("g"))), summed)[0]
+    """Like all of these within 38 digits before it is reduced; `functions.big` goes on from there."""
+    return rational(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
 
 
 def rational_sub(a: Column, b: Column) -> Column:
-    return rational_add(a, rational_neg(b))
+    return rational(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
 
 
 def rational_mul(a: Column, b: Column) -> Column:
