@@ -5,29 +5,37 @@ A summary is a row: n, exact, values, gaps, slacks. Up to `Policy.exact` observa
 `slacks[i]`. As long as gap + slack is at most 2 * error * n, some entry is within error * n ranks of any rank asked for, and each
 estimate says between which ranks its value lies for certain. A policy's limit of entries is never passed: rather, it raises.
 
-Rows are summed up a task at a time, in sorted runs merged into the group's summary (two sorted lists with rank bounds make one), so
-what is shuffled is a summary a task and group; those of a group are merged in two steps, first in about as many parts as the square
-root of the tasks, so that no task reads one of every task. Everything is deterministic for a given division of rows into tasks, and
-the bounds hold for any.
+Groups of at most `Policy.exact` rows are collected and sorted by Spark as they are. Rows of the others are summed up a task at a time, in
+sorted runs merged into the group's summary (two sorted lists with rank bounds make one), so what is shuffled is a summary a task and
+group; those of a group are merged in two steps, first in about as many parts as the square root of the tasks, so that no task reads one
+of every task. Everything is deterministic for a given division of rows into tasks, and the bounds hold for any.
+
+Entries whose slack has used up the allowance can't be joined any more, so that summaries merged one after another would grow with
+their number. Therefore each step has a share of the error of its own (`SHARES`): what comes into a step leaves at least a third of the
+allowance free, and what leaves it has at most about 3 / error entries, however many came in.
 
 Null values are left out; NaN and infinities raise; a group without values has no row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import staged
 from orrery.sources.tables import table
 
 STATE = "n long, exact boolean, values array<double>, gaps array<long>, slacks array<long>"
 #: Rows of a group that are sorted and merged at once.
 RUN = 1 << 15
+#: Of the error: what a task's summaries use, those of a part, and the group's.
+SHARES = (1 / 3, 2 / 3, 1.0)
 
 
 @dataclass(frozen=True)
@@ -44,8 +52,8 @@ class Policy:
         if self.exact < 1 or self.most < self.exact:
             raise ValueError("exact must be 1 or more, and most no less")
 
-    def allowance(self, n: int) -> int:
-        return int(2 * self.error * n)
+    def allowance(self, n: int, share: float = 1.0) -> int:
+        return int(2 * self.error * share * n)
 
 
 class Summary:
@@ -58,9 +66,14 @@ class Summary:
 
     @classmethod
     def of(cls, policy: Policy, values: np.ndarray) -> Summary:
+        return cls.whole(policy, values).reduced()
+
+    @classmethod
+    def whole(cls, policy: Policy, values: np.ndarray) -> Summary:
+        """An entry an observation."""
         if not np.isfinite(values).all():
             raise ValueError("non-finite value")
-        return cls(policy, np.sort(values)).reduced()
+        return cls(policy, np.sort(values))
 
     @property
     def n(self) -> int:
@@ -71,7 +84,17 @@ class Summary:
         return self.n <= self.policy.exact
 
     def merged(self, other: Summary) -> Summary:
-        """Ranks add up: between two neighbours of the other side a value's rank there is known to the upper neighbour's bounds."""
+        return self.beside(other).reduced()
+
+    @classmethod
+    def of_all(cls, rows: list[Summary], share: float = 1.0) -> Summary:
+        """Merged in a tree, so that no summary is merged more often than it must, and reduced once, at the end."""
+        while len(rows) > 1:
+            rows = [rows[i].beside(rows[i + 1]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
+        return rows[0].reduced(share)
+
+    def beside(self, other: Summary) -> Summary:
+        """All entries of both. Ranks add up: between two neighbours of the other side a value's rank there is known to the upper neighbour's bounds."""
         if self.policy != other.policy:
             raise ValueError("summaries of different policies")
 
@@ -85,13 +108,18 @@ class Summary:
         order = np.argsort(values, kind="stable")
         slacks = np.concatenate([widened(self, other), widened(other, self)])[order]
         slacks[[0, -1]] = 0  # the least and the greatest are known
-        return Summary(self.policy, values[order], np.concatenate([self.gaps, other.gaps])[order], slacks).reduced()
+        return Summary(self.policy, values[order], np.concatenate([self.gaps, other.gaps])[order], slacks)
+
+    def reduced(self, share: float = 1.0) -> Summary:
+        """Entries joined to the one above while gap + gap + slack stays within the allowance, from the top down; never the least. The
+        limit of entries holds for the whole allowance: a summary that keeps to a share of it is on its way."""
+        made = self._reduced(share)
+        return made.checked() if share == 1 else made
 
-    def reduced(self) -> Summary:
-        """Entries joined to the one above while gap + gap + slack stays within the allowance, from the top down; never the least."""
+    def _reduced(self, share: float) -> Summary:
         if self.exact or len(self.values) < 3:
-            return self.checked()
-        allowed, gaps, slacks = self.policy.allowance(self.n), self.gaps.tolist(), self.slacks.tolist()
+            return self
+        allowed, gaps, slacks = self.policy.allowance(self.n, share), self.gaps.tolist(), self.slacks.tolist()
         kept = [len(gaps) - 1]
         for i in range(len(gaps) - 2, 0, -1):
             above = kept[-1]
@@ -100,7 +128,7 @@ class Summary:
             else:
                 kept.append(i)
         at = np.array([*kept, 0][::-1])
-        return Summary(self.policy, self.values[at], np.array(gaps)[at], self.slacks[at]).checked()
+        return Summary(self.policy, self.values[at], np.array(gaps)[at], self.slacks[at])
 
     def checked(self) -> Summary:
         if len(self.values) > self.policy.most:
@@ -144,6 +172,28 @@ def _arrow_schema(df: DataFrame, keys: list[str], more: str = "") -> tuple[str,
 
 def summarize(df: DataFrame, value: str, keys: list[str], policy: Policy) -> DataFrame:
     """keys and the summary's columns: a row a group."""
+    rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    if not keys:
+        return sketched(rows, value, keys, policy)
+    large = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > policy.exact).select(*(F.col(k).alias(f"_{k}") for k in keys)), "summary-large")
+    if large.isEmpty():
+        return collected(rows, value, keys)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    small = collected(rows.join(large, same, "left_anti"), value, keys)
+    return sketched(rows.join(large, same, "left_semi"), value, keys, policy).unionByName(small)
+
+
+def collected(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Summaries of groups of few rows: all their values."""
+    bad = F.raise_error(F.lit("non-finite value")).cast("double")
+    finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), bad).otherwise(F.col(value))
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(finite)).alias("values"))
+    alike = lambda n: F.transform("values", lambda _: F.lit(n).cast("long"))
+    return lists.select(*keys, F.size("values").cast("long").alias("n"), F.lit(True).alias("exact"), "values", alike(1).alias("gaps"), alike(0).alias("slacks"))
+
+
+def sketched(df: DataFrame, value: str, keys: list[str], policy: Policy) -> DataFrame:
+    """Summaries of groups of any size."""
     text, schema = _arrow_schema(df, keys)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,46 +201,59 @@ def summarize(df: DataFrame, value: str, keys: list[str], policy: Policy) -> Dat
         waiting: dict[tuple, list[np.ndarray]] = {}
 
         def take(key: tuple) -> None:
-            new = Summary.of(policy, np.concatenate(waiting.pop(key)))
-            held[key] = held[key].merged(new) if key in held else new
+            new = Summary.whole(policy, np.concatenate(waiting.pop(key)))
+            held[key] = Summary.of_all([held[key], new] if key in held else [new], SHARES[0])
 
         for batch in batches:
             rows = pa.table({**{f"k{i}": batch.column(k) for i, k in enumerate(keys)}, "v": batch.column(value)}).append_column("one", pa.array(np.zeros(batch.num_rows, np.int8)))
             groups = rows.group_by([f"k{i}" for i in range(len(keys))] or ["one"], use_threads=False).aggregate([("v", "list")])
-            for g in groups.to_pylist():
+            lists = groups.column("v_list").combine_chunks()
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for at, g in enumerate(groups.drop_columns("v_list").to_pylist()):
                 key = tuple(g[f"k{i}"] for i in range(len(keys)))
-                waiting.setdefault(key, []).append(np.array(g["v_list"], float))
+                waiting.setdefault(key, []).append(values[ends[at] : ends[at + 1]])
                 if sum(map(len, waiting[key])) >= RUN:
                     take(key)
         for key in list(waiting):
             take(key)
         yield from _table(keys, schema, list(held.items())).to_batches()
 
-    parts = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()).mapInArrow(partial, text)
-    return merge(parts, keys, policy)
+    return merge(df.select(*keys, value).mapInArrow(partial, text), keys, policy)
 
 
 def merge(parts: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
     """Summaries of one policy merged by group, in two steps."""
     text, schema = _arrow_schema(parts, keys)
 
-    def together(group: pa.Table) -> pa.Table:
-        rows = [Summary(policy, r["values"], r["gaps"], r["slacks"]) for r in group.select(["values", "gaps", "slacks"]).to_pylist()]
-        while len(rows) > 1:  # a tree, so that no summary is merged more often than it must
-            rows = [rows[i].merged(rows[i + 1]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
-        return _table(keys, schema, [(tuple(group.column(k)[0].as_py() for k in keys), rows[0].reduced())])
+    def step(share: float) -> Callable[[pa.Table], pa.Table]:
+        def together(group: pa.Table) -> pa.Table:
+            columns = [group.column(c) for c in ("values", "gaps", "slacks")]
+            rows = [Summary(policy, *(c[i].values.to_numpy() for c in columns)) for i in range(group.num_rows)]
+            return _table(keys, schema, [(tuple(group.column(k)[0].as_py() for k in keys), Summary.of_all(rows, share))])
+
+        return together
 
     spark = parts.sparkSession
     some = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     dealt = parts.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(some)))
-    first = dealt.groupBy(*keys, "_part").applyInArrow(together, text)
-    return first.groupBy(*keys).applyInArrow(together, text)
+    first = dealt.groupBy(*keys, "_part").applyInArrow(step(SHARES[1]), text)
+    return first.groupBy(*keys).applyInArrow(step(SHARES[2]), text)
 
 
 def estimates(summaries: DataFrame, keys: list[str], policy: Policy, qs: list[float]) -> DataFrame:
     """keys, q, value, low, high (the value's rank for certain, as a share), n, entries, exact."""
     named = ", ".join(f"`{k}` {summaries.schema[k].dataType.simpleString()}" for k in keys)
 
+    if not all(0 <= q <= 1 for q in qs):
+        raise ValueError(f"no quantile: {qs}")
+    summaries = staged(summaries, "summaries")  # read twice below
+    # of a group that is held whole the values are at hand; the others' bounds are worked out from their entries
+    at = F.col("q") * (F.col("n") - 1)
+    low = F.get("values", F.floor(at).cast("int"))
+    share = F.when(F.col("n") > 1, F.col("q")).otherwise(0.0)
+    each = summaries.where("exact").select(*keys, "n", "values", F.explode(F.array(*map(F.lit, map(float, qs)))).alias("q"))
+    whole = each.select(*keys, "q", (low + (F.get("values", F.ceil(at).cast("int")) - low) * (at - F.floor(at))).alias("value"), share.alias("low"), share.alias("high"), "n", F.col("n").alias("entries"), F.lit(True).alias("exact"))
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(r, Summary(policy, r["values"], r["gaps"], r["slacks"])) for r in batch.to_pylist()]
@@ -200,7 +263,7 @@ def estimates(summaries: DataFrame, keys: list[str], policy: Policy, qs: list[fl
             counts = {"n": pa.array([s.n for _, s, *_ in each], pa.int64()), "entries": pa.array([len(s.values) for _, s, *_ in each], pa.int64()), "exact": pa.array([s.exact for _, s, *_ in each], pa.bool_())}
             yield pa.RecordBatch.from_pydict({**own, **numbers, **counts})
 
-    return summaries.mapInArrow(asked, f"{named}{', ' if keys else ''}q double, value double, low double, high double, n long, entries long, exact boolean")
+    return whole.unionByName(summaries.where("NOT exact").mapInArrow(asked, f"{named}{', ' if keys else ''}q double, value double, low double, high double, n long, entries long, exact boolean"))
 
 
 # ---- queries

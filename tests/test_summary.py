@@ -65,3 +65,21 @@ def test_table_of_summaries(spark):
     assert summarize(df.where("false"), "x", ["g"], policy).count() == 0
     with pytest.raises(Exception, match="non-finite"):
         summarize(df.select("g", F.lit(float("nan")).alias("x")), "x", ["g"], policy).collect()
+
+
+def test_entries_stay_few_however_many_tasks(spark):
+    """Ties and many merges: the entries once grew with the tasks, past their limit."""
+    rng, policy = np.random.default_rng(8), Policy(0.005, 16, 700)
+    x = rng.integers(0, 50, 120_000)
+    df = spark.createDataFrame([(int(v),) for v in x], "x long").withColumn("g", F.lit("a")).repartition(120)
+    got = estimates(summarize(df, "x", ["g"], policy), ["g"], policy, [0.11, 0.31, 0.51, 0.71, 0.91]).collect()
+    assert sorted(r["value"] for r in got) == [float(v) for v in np.quantile(x, [0.11, 0.31, 0.51, 0.71, 0.91], method="inverted_cdf")]
+    assert all(r["n"] == len(x) and r["entries"] <= 3 / policy.error for r in got)
+
+
+def test_few_rows_a_group_run_no_python(spark):
+    df, policy = spark.range(4000).selectExpr("id % 1000 AS g", "id * 1.0 AS x"), Policy(0.01, 256, 256)
+    made = estimates(summarize(df, "x", ["g"], policy), ["g"], policy, [0.5])
+    assert made.where("value = g + 1500.0 AND n = 4 AND entries = 4 AND exact AND low = 0.5").count() == 1000
+    plan = summarize(df, "x", ["g"], policy)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" not in plan
