@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import expr as E
+from orrery.functions.arrays import let
 from orrery.functions.autodiff import Dual, Tape
-from orrery.sources.tables import table
+from orrery.sources.tables import spread, table
 
 Unary = Callable[[Column], Column]
 
@@ -47,33 +48,44 @@ def richardson(f: Unary, x: Column, h: float = 1e-6) -> Column:
 # ---- fixed quadrature
 
 
-def _sum(n: int, term: Callable[[Column], Column]) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0.0), lambda s, i: s + term(i))
+def _weighed(f: Unary, lo: Column, hi: Column, n: int, weight: Unary, by: float = 1.0) -> Column:
+    """step / by times the sum of weighted values at n + 1 even places. Step and places are named before `f` uses them, as an expression
+    is evaluated anew wherever it stands."""
+
+    def total(lo: Column, h: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: lo + h * i)
+        return h / by * F.aggregate(F.transform(places, lambda x, i: weight(i) * f(x)), F.lit(0.0), lambda s, y: s + y)
+
+    return let(total, lo, (hi - lo) / n)
 
 
 def trapezoid(f: Unary, lo: Column, hi: Column, n: int = 256) -> Column:
-    h = (hi - lo) / n
-    return h * _sum(n, lambda i: F.when((i == 0) | (i == n), 0.5).otherwise(1.0) * f(lo + h * i))
+    return _weighed(f, lo, hi, n, lambda i: F.when((i == 0) | (i == n), 0.5).otherwise(1.0))
 
 
 def simpson(f: Unary, lo: Column, hi: Column, n: int = 128) -> Column:
     n += n % 2
-    h = (hi - lo) / n
-    return h / 3 * _sum(n, lambda i: F.when((i == 0) | (i == n), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0) * f(lo + h * i))
+    return _weighed(f, lo, hi, n, lambda i: F.when((i == 0) | (i == n), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0), 3.0)
 
 
 def romberg(f: Unary, lo: Column, hi: Column, levels: int = 6) -> Column:
-    row = [trapezoid(f, lo, hi, 1 << k) for k in range(levels)]
-    for k in range(1, levels):
-        row = [(4**k * row[i + 1] - row[i]) / (4**k - 1) for i in range(len(row) - 1)]
-    return row[0]
+    def combined(*row: Column) -> Column:
+        for k in range(1, levels):
+            row = [(4**k * row[i + 1] - row[i]) / (4**k - 1) for i in range(len(row) - 1)]
+        return row[0]
+
+    return let(combined, *(trapezoid(f, lo, hi, 1 << k) for k in range(levels)))
 
 
 def gauss_legendre(f: Unary, lo: Column, hi: Column, n: int = 16) -> Column:
     x, w = np.polynomial.legendre.leggauss(n)
     nodes = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip(x, w, strict=True)])
-    half, mid = (hi - lo) / 2, (hi + lo) / 2
-    return half * F.aggregate(nodes, F.lit(0.0), lambda s, p: s + p["w"] * f(mid + half * p["x"]))
+
+    def total(half: Column, mid: Column) -> Column:
+        places = F.transform(nodes, lambda p: F.struct((mid + half * p["x"]).alias("x"), p["w"].alias("w")))
+        return half * F.aggregate(F.transform(places, lambda p: p["w"] * f(p["x"])), F.lit(0.0), lambda s, y: s + y)
+
+    return let(total, (hi - lo) / 2, (hi + lo) / 2)
 
 
 QUADRATURE: dict[str, Callable[..., Column]] = {"trapezoid": trapezoid, "simpson": simpson, "romberg": romberg, "gauss-legendre-8": lambda f, a, b: gauss_legendre(f, a, b, 8), "gauss-legendre-16": gauss_legendre, "gauss-legendre-32": lambda f, a, b: gauss_legendre(f, a, b, 32)}
@@ -102,13 +114,14 @@ def adaptive(rows: DataFrame, key: str, lo: str, hi: str, f: Unary, tolerance: f
     """(key, value, intervals): G7-K15 on a table of intervals; those over their tolerance are halved, each half with half of it, at most
     `depth` times. Each round is one narrow pass over the open intervals; sums meet once at the end."""
     points = [(s * x, w, GAUSS[i // 2] if i % 2 == 1 else 0.0) for i, (x, w) in enumerate(KRONROD) for s in ((1, -1) if x else (1,))]
-    nodes = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("k"), F.lit(g).alias("g")) for x, w, g in points])
     half, mid = (F.col("b") - F.col("a")) / 2, (F.col("b") + F.col("a")) / 2
-    zero = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("g"))
-    both = F.aggregate(nodes, zero, lambda s, p: F.transform(F.array(f(mid + half * p["x"])), lambda y: F.struct((s["k"] + p["k"] * y).alias("k"), (s["g"] + p["g"] * y).alias("g")))[0])
+    # the values are an array of their own, so that both sums are plain products of its cells
+    values = let(lambda half, mid: F.transform(F.transform(F.array(*[F.lit(x) for x, _, _ in points]), lambda x: mid + half * x), f), half, mid)
+    kronrod, gauss = (sum((F.col("y")[i] * w for i, w in enumerate(ws) if w), F.lit(0.0)) for ws in ([w for _, w, _ in points], [g for _, _, g in points]))
     opened, done = rows.select(F.col(key), F.col(lo).cast("double").alias("a"), F.col(hi).cast("double").alias("b"), F.lit(tolerance).alias("tol")), None
     for level in range(depth + 1):
-        tried = opened.withColumn("r", both).select(key, "a", "b", "tol", (half * F.col("r.k")).alias("value"), F.abs(half * (F.col("r.k") - F.col("r.g"))).alias("error")).cache()
+        summed = opened.withColumn("y", values).select(key, "a", "b", "tol", kronrod.alias("k"), gauss.alias("g"))
+        tried = summed.select(key, "a", "b", "tol", (half * F.col("k")).alias("value"), F.abs(half * (F.col("k") - F.col("g"))).alias("error")).cache()
         fine = tried if level == depth else tried.where(F.col("error") <= F.col("tol"))
         done = fine.select(key, "value") if done is None else done.unionByName(fine.select(key, "value"))
         rest = tried.where(F.col("error") > F.col("tol"))
@@ -296,7 +309,8 @@ def methods(spark: SparkSession) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 1000).alias("a"), (F.col("p_size") / 10).alias("b"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size"), "p_partkey")
+    return part.select("p_partkey", (F.col("p_retailprice") / 1000).alias("a"), (F.col("p_size") / 10).alias("b"))
 
 
 def _smooth(x: Column) -> Column:

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by its keys over all cores, several tasks a core: for rows that are few bytes and much work, as a file of some MB is one
+    task otherwise. The number is given, so that adaptive execution doesn't join the small parts again."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def series(df: DataFrame, keys: list[str], order: list[str], value: str | Column, name: str = "x") -> DataFrame:
     """keys, idx (0-based place in `order` within the keys), value: the one form of ordered series used here. A series must be bounded
     per key; the window deals series by their keys."""
