@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import arrays as A
 from orrery.functions import scalar as S
-from orrery.sources.tables import table
+from orrery.sources.tables import spread, table
 
 
 def matmul_cells(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def q_rational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 x 2 matrices of exact rationals: m + 1/3 in each cell, then the trace of m m."""
     k, n = F.col("p_partkey"), F.col("p_size")
     cells = F.array(_ratio(k % 97, n), _ratio(n, F.lit(6)), _ratio(-k % 89, F.lit(4)), _ratio(F.lit(1), n))
-    t = table(spark, sf_dir, "part").select("p_partkey", A.tensor_of(F.array(F.lit(2), F.lit(2)), cells).alias("m"))
+    t = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", A.tensor_of(F.array(F.lit(2), F.lit(2)), cells).alias("m"))
     third = A.tensor_of(F.array(F.lit(1)), F.array(_ratio(F.lit(1), F.lit(3))))
     moved = t.select("p_partkey", A.broadcasted(F.col("m"), third, S.rational_add).alias("s"), A.matmul_of(F.col("m"), F.col("m"), _ratio(F.lit(0), F.lit(1)), S.rational_add, S.rational_mul).alias("p"))
     said = {"s00": F.col("s.data")[0], "s01": F.col("s.data")[1], "s10": F.col("s.data")[2], "s11": F.col("s.data")[3]}
