@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import big as B
 from orrery.functions import scalar as S
-from orrery.sources.tables import table
+from orrery.sources.tables import spread, table
 
 BIG = 9_007_199_254_740_993  # 2^53 + 1
 
@@ -204,7 +204,7 @@ SELECT p_partkey, x::varchar || CASE WHEN y < 0 THEN '' ELSE '+' END || y::varch
 
 def fraction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continued fractions of ratios that lie a ten-millionth or less from an integer."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[(F.col("p_size").cast("bigint") * den + off).alias("x") for den in (10**7, 10**12) for off in (-1, 1)])).alias("num"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.explode(F.array(*[(F.col("p_size").cast("bigint") * den + off).alias("x") for den in (10**7, 10**12) for off in (-1, 1)])).alias("num"))
     cut = p.withColumn("den", F.when(F.col("num") < 10**10, 10**7).otherwise(10**12))
     return cut.select("p_partkey", "num", F.array_join(S.fraction_coefficients(F.col("num"), F.col("den")).cast("array<string>"), ",").alias("coefficients"))
 
@@ -219,12 +219,13 @@ SELECT p_partkey, num, out AS coefficients FROM e WHERE b = 0
 """
 
 
-def big_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integers of 200 and 120 digits a part, some negative."""
+def big_operands(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Integers of 200 and 120 digits a part, some negative; `more` columns of the part beside them."""
     long = lambda c, times, digits: F.substring(F.repeat(c.cast("string"), times), 1, digits)
     key, size = F.col("p_partkey") * 7919 + 13, F.col("p_size") * 104_729 + F.col("p_partkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "-").otherwise(""), long(key, 100, 200)).alias("x"), F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise(""), long(size, 60, 120)).alias("y"))
-    return p.select("p_partkey", B.parse(F.col("x")).alias("a"), B.parse(F.col("y")).alias("b"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", *more), "p_partkey")
+    p = part.select("p_partkey", *more, F.concat(F.when(F.col("p_partkey") % 3 == 0, "-").otherwise(""), long(key, 100, 200)).alias("x"), F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise(""), long(size, 60, 120)).alias("y"))
+    return p.select("p_partkey", *more, B.parse(F.col("x")).alias("a"), B.parse(F.col("y")).alias("b"))
 
 
 _BIG_OPERANDS_SQL = """p AS (
@@ -263,9 +264,7 @@ FROM p JOIN signed USING (p_partkey) JOIN times USING (p_partkey) JOIN long USIN
 
 def big_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of integers of 200 digits a brand."""
-    brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    rows = big_operands(spark, sf_dir).join(brands, "p_partkey").select("p_brand", "a")
-    return B.total(rows, ["p_brand"], F.col("a")).select("p_brand", B.text(F.col("total")).alias("total"))
+    return B.total(big_operands(spark, sf_dir, "p_brand").select("p_brand", "a"), ["p_brand"], F.col("a")).select("p_brand", B.text(F.col("total")).alias("total"))
 
 
 BIG_TOTALS_SQL = f"""
