@@ -1,7 +1,7 @@
 """Dense matrices larger than a task: products of square tiles, and elimination with partial pivoting over column panels.
 
 A tile is a row (bi, bj, rows, columns, data), a panel (bj, columns, data) holds `width` whole columns; data are doubles in row order.
-A product joins tiles by the inner index, multiplies pairs and adds up those of one place. Elimination goes panel by panel: one task
+A product joins tiles by the inner index, multiplies pairs and adds up those of one place, each task its own first. Elimination goes panel by panel: one task
 factors a panel (the largest entry left in each column is its pivot), its multipliers and row order go to each of the panels after it,
 which are brought up to date in parallel; then unknowns come back panel by panel. A task holds a panel and the one that it is
 eliminated with, so n x width doubles must fit twice; every step is written to the shared folder.
@@ -24,6 +24,8 @@ from orrery.sources.scratch import staged
 from orrery.sources.tables import indexed, table
 
 TILE, WIDTH = 512, 128
+#: Tiles of a product that a task adds up before it passes them on.
+HELD = 64
 _TILE = "bi long, bj long, rows int, columns int, data array<double>"
 _PANEL = "bj long, columns int, data array<double>"
 _FACTOR = "lead long, columns int, data array<double>, turned array<long>, swaps long, least double"
@@ -72,19 +74,46 @@ def multiplied(a: DataFrame, b: DataFrame) -> DataFrame:
     right = b.select(F.col("bi").alias("inner"), "bj", "columns", F.col("data").alias("right"))
 
     def products(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def ready() -> pa.RecordBatch:
+            at = list(sums)
+            out = {"bi": [i for i, _ in at], "bj": [j for _, j in at], "rows": pa.array([m.shape[0] for m in sums.values()], pa.int32()), "columns": pa.array([m.shape[1] for m in sums.values()], pa.int32()), "data": _lists(*sums.values())}
+            sums.clear()
+            return pa.RecordBatch.from_pydict(out)
+
         for batch in batches:
-            rows = batch.to_pylist()
-            if rows:
-                made = _lists(*(np.array(r["left"]).reshape(r["rows"], r["mid"]) @ np.array(r["right"]).reshape(r["mid"], r["columns"]) for r in rows))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bi", "bj", "rows", "columns")), made], ["bi", "bj", "rows", "columns", "data"])
+            shapes, left, right = batch.select(["bi", "bj", "rows", "columns", "mid"]).to_pylist(), batch.column("left"), batch.column("right")
+            for k, r in enumerate(shapes):
+                made = left[k].values.to_numpy().reshape(r["rows"], r["mid"]) @ right[k].values.to_numpy().reshape(r["mid"], r["columns"])
+                place = (r["bi"], r["bj"])
+                sums[place] = sums[place] + made if place in sums else made
+                if len(sums) >= HELD:
+                    yield ready()
+        if sums:
+            yield ready()
 
     def added(group: pa.Table) -> pa.Table:
-        total = np.sum([np.array(x) for x in group.column("data").to_pylist()], 0)
+        total = sum(x.values.to_numpy() for x in group.column("data"))
         return group.slice(0, 1).drop_columns("data").append_column("data", _lists(total))
 
     return left.join(right, "inner").select("bi", "bj", "rows", "columns", "mid", "left", "right").mapInArrow(products, _TILE).groupBy("bi", "bj").applyInArrow(added, _TILE)
 
 
+def row_products(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, s): the inner products of the rows of two matrices in tiles of one size."""
+    pairs = a.select("bi", "bj", "rows", "columns", F.col("data").alias("left")).join(b.select("bi", "bj", F.col("data").alias("right")), ["bi", "bj"])
+
+    def summed(batches):
+        for batch in batches:
+            shapes, left, right = batch.select(["bi", "rows", "columns"]).to_pylist(), batch.column("left"), batch.column("right")
+            for k, r in enumerate(shapes):
+                both = left[k].values.to_numpy() * right[k].values.to_numpy()
+                yield pa.RecordBatch.from_pydict({"i": r["bi"] * r["rows"] + np.arange(r["rows"]), "s": both.reshape(r["rows"], r["columns"]).sum(1)})
+
+    return pairs.mapInArrow(summed, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))
+
+
 def panels(cells: DataFrame, n: int, width: int, first: int = 0) -> DataFrame:
     """Column panels of an n-row cell table, numbered from `first`."""
     dealt = cells.select((F.floor(F.col("j") / width) + first).cast("long").alias("bj"), F.col("i").cast("long").alias("i"), (F.col("j") % width).cast("long").alias("j"), F.col("v").cast("double").alias("v"))
@@ -178,11 +207,12 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All inner products of the embeddings, X X', in tiles of 128; per vector the sum of their squares, and its product with itself."""
+    """All inner products of the embeddings, X X', in tiles of 128; per vector the sum of their squares, and its product with itself. The
+    squares in row i of X X' add up to row i of X (X'X) times row i of X, which takes no table of all pairs."""
     vectors = indexed(_rows(spark, sf_dir), ["vec_id"], "i")
     tiles = staged(tiled(vectors.select("i", F.posexplode("v").alias("j", "v")), 128), "tiles")
-    cells = cells_of(multiplied(tiles, transposed(tiles)))
-    each = cells.groupBy("i").agg(F.sum(F.col("v") ** 2).alias("squares"), F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))).alias("own"))
+    inner = staged(multiplied(transposed(tiles), tiles), "tiles")
+    each = row_products(multiplied(tiles, inner), tiles).withColumnRenamed("s", "squares").join(row_products(tiles, tiles).withColumnRenamed("s", "own"), "i")
     return each.join(vectors.select("i", "vec_id"), "i").select("vec_id", F.round("squares", 6).alias("squares"), F.round("own", 6).alias("own"))
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from orrery.operators.tiles import cells_of, eliminate, multiplied, tiled, transposed
+from orrery.operators.tiles import cells_of, eliminate, multiplied, q_products, row_products, tiled, transposed
 
 
 def cells(spark, m):
@@ -46,3 +46,21 @@ def test_singular(spark):
     right = spark.createDataFrame([(0, 1.0), (1, 1.0)], "i long, v double")
     with pytest.raises(Exception, match="singular"):
         eliminate(cells(spark, np.array([[1.0, 2.0], [2.0, 4.0]])), right, 2, 1)
+
+
+def test_row_products(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(9, 6)), rng.normal(size=(9, 6))
+    got = {r["i"]: r["s"] for r in row_products(tiled(cells(spark, a), 4), tiled(cells(spark, b), 4)).collect()}
+    np.testing.assert_allclose([got[i] for i in range(9)], (a * b).sum(1))
+
+
+def test_products_of_all_vectors_make_no_table_of_pairs(spark, tmp_path):
+    """Rows between the products' tiles grow with the vectors, not with their square."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 5)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = q_products(spark, str(tmp_path))
+    assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    rows, g = {r["vec_id"]: (r["squares"], r["own"]) for r in got.collect()}, x.astype(float) @ x.astype(float).T
+    np.testing.assert_allclose([rows[i] for i in range(600)], np.stack([(g**2).sum(1), g.diagonal()], 1), atol=1e-5)
