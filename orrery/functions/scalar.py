@@ -81,17 +81,25 @@ def divide(a: Column, b: Column) -> Column:
 
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's steps, in 64 bits where both numbers fit (short decimals otherwise take most of the time)."""
+    return F.when(fits(a, b), _euclid(F.abs(a.cast("bigint")), F.abs(b.cast("bigint")), "bigint").cast(WIDE)).otherwise(_euclid(size(a), size(b), WIDE))
 
-    def euclid(kind: str) -> Column:
-        pair = F.struct(size(a).cast(kind).alias("a"), size(b).cast(kind).alias("b"))
-        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(kind).alias("b")))
-        run = lambda p, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), p, step)
-        # most pairs are done after few steps; the others go on
-        return F.transform(F.array(run(pair, SOON)), lambda p: F.when(p["b"] == 0, p["a"]).otherwise(run(p, EUCLID - SOON)["a"]))[0]
 
-    most = F.lit(2**63 - 1)
-    fits = (size(a) <= most) & (size(b) <= most)
-    return F.when(fits, euclid("bigint").cast(WIDE)).otherwise(euclid(WIDE))
+#: The greatest number of 64 bits whose negative has 64 bits too.
+MOST = 2**63 - 1
+
+
+def fits(*c: Column) -> Column:
+    """Whether the numbers' sizes are within 64 bits."""
+    return reduce(Column.__and__, [x.between(-MOST, MOST) for x in c])
+
+
+def _euclid(a: Column, b: Column, kind: str) -> Column:
+    """Of numbers that are not negative."""
+    pair = F.struct(a.cast(kind).alias("a"), b.cast(kind).alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(kind).alias("b")))
+    run = lambda p, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), p, step)
+    # most pairs are done after few steps; the others go on
+    return F.transform(F.array(run(pair, SOON)), lambda p: F.when(p["b"] == 0, p["a"]).otherwise(run(p, EUCLID - SOON)["a"]))[0]
 
 
 #: Divisors from which on a quotient of 38 digits has at most 32, as many as Spark's division of such decimals keeps before the point.
@@ -120,10 +128,15 @@ def quotient(a: Column, b: Column) -> Column:
 def rational(num: Column, den: Column) -> Column:
     """In lowest terms; raises on den = 0."""
 
+    def lowest(n: Column, d: Column, kind: str, over) -> Column:
+        """In 64 bits or decimals throughout."""
+        steps = _euclid(F.abs(n), F.abs(d), kind) if kind == "bigint" else _euclid(size(n), size(d), kind)
+        common = F.when(d == 0, F.raise_error(F.lit("zero denominator")).cast(kind)).otherwise(steps) * F.when(d < 0, -1).otherwise(1)
+        return F.transform(F.array(common.cast(kind)), lambda g: F.struct(over(n, g).cast(WIDE).alias("num"), over(d, g).cast(WIDE).alias("den")))[0]
+
     def reduced(s: Column) -> Column:
-        common = F.when(s["den"] == 0, F.raise_error(F.lit("zero denominator")).cast(WIDE)).otherwise(gcd(s["num"], s["den"])) * F.when(s["den"] < 0, -1).otherwise(1)
-        lowest = lambda g: F.struct(exact_quotient(s["num"], g).alias("num"), exact_quotient(s["den"], g).alias("den"))
-        return F.transform(F.array(common.cast(WIDE)), lowest)[0]
+        short = lowest(s["num"].cast("bigint"), s["den"].cast("bigint"), "bigint", lambda x, g: F.call_function("div", x, g))
+        return F.when(fits(s["num"], s["den"]), short).otherwise(lowest(s["num"], s["den"], WIDE, exact_quotient))
 
     return F.transform(F.array(F.struct(wide(num).alias("num"), wide(den).alias("den"))), reduced)[0]  # evaluates both once
 
@@ -249,14 +262,23 @@ def fraction_convergent(coefficients: Column) -> Column:
 
 
 def fraction_coefficients(num: Column, den: Column, most: int = 64) -> Column:
-    """Coefficients of num / den by Euclid's algorithm."""
-    start = F.struct(wide(num).alias("a"), wide(den).alias("b"), F.array().cast(f"array<{WIDE}>").alias("out"))
+    """Coefficients of num / den by Euclid's algorithm, in 64 bits where both numbers fit."""
+
+    def short(a: Column, b: Column) -> Column:
+        """floor(a / b); the remainders of numbers of 64 bits have 64 bits."""
+        rest = a % b
+        return F.call_function("div", a, b) - F.when((rest != 0) & ((rest < 0) != (b < 0)), 1).otherwise(0)
+
+    def euclid(kind: str, over) -> Column:
+        start = F.struct(num.cast(kind).alias("a"), den.cast(kind).alias("b"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(s, _):
+            taken = lambda whole: F.struct(s["b"].alias("a"), (s["a"] - whole * s["b"]).cast(kind).alias("b"), F.array_append(s["out"], whole).alias("out"))
+            return F.when(s["b"] == 0, s).otherwise(F.transform(F.array(over(s["a"], s["b"])), taken)[0])
 
-    def step(s, _):
-        whole = quotient(s["a"], s["b"])
-        return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] - whole * s["b"]).cast(WIDE).alias("b"), F.array_append(s["out"], whole).alias("out")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["out"].cast(f"array<{WIDE}>")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["out"]
+    return F.when(fits(wide(num), wide(den)), euclid("bigint", short)).otherwise(euclid(WIDE, quotient))
 
 
 #: Terms that go on by rule after these first ones (fixed values; the tail of pi is 1 for ever, an approximation).

@@ -32,7 +32,8 @@ FROM lineitem
 
 def rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotients of integers in lowest terms, their sums, differences, products, quotients and powers."""
-    base = table(spark, sf_dir, "orders").select("o_orderkey", S.rational(F.col("o_custkey"), F.col("o_orderkey") + 1).alias("r"), S.rational(F.lit(-5), F.length("o_orderpriority")).alias("q"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    base = orders.select("o_orderkey", S.rational(F.col("o_custkey"), F.col("o_orderkey") + 1).alias("r"), S.rational(F.lit(-5), F.length("o_orderpriority")).alias("q"))
     text = lambda c, name: S.rational_text(c).alias(name)
     r, q = F.col("r"), F.col("q")
     return base.select(
@@ -122,7 +123,7 @@ SELECT l_orderkey, sum(l_partkey::hugeint)::varchar AS summed, list_reduce(list(
 
 def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continued fractions of ratios: coefficients, value, and the exact convergent, which gives the ratio back."""
-    t = table(spark, sf_dir, "orders").withColumn("cf", S.fraction_coefficients(F.col("o_orderkey"), F.col("o_custkey") + 1))
+    t = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("cf", S.fraction_coefficients(F.col("o_orderkey"), F.col("o_custkey") + 1))
     return t.select("o_orderkey", F.array_join(F.transform("cf", lambda x: x.cast("string")), ",").alias("coefficients"), F.round(S.fraction_value(F.col("cf")), 9).alias("value"), S.rational_text(S.fraction_convergent(F.col("cf"))).alias("ratio"))
 
 

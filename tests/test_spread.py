@@ -14,7 +14,7 @@ def few(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["numeric_quadrature", "ode_fixed_step", "scalar_fraction_edges", "tensor_rational", "scalar_big"])
+@pytest.mark.parametrize("name", ["numeric_quadrature", "ode_fixed_step", "scalar_fraction_edges", "tensor_rational", "scalar_big", "scalar_rationals", "scalar_continued_fractions"])
 def test_tasks_of_a_small_file(spark, few, name):
     assert registry.queries()[name](spark, few).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
