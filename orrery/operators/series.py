@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.tridiagonal import solve_rows
-from orrery.sources.tables import USER_SERIES_SQL, table, user_series
+from orrery.sources.scratch import staged
+from orrery.sources.tables import USER_SERIES_SQL, series, spread, table, user_series
 
 
 def _along(keys: list[str]):
@@ -99,9 +101,17 @@ def convolve_overlap_save(df: DataFrame, keys: list[str], kernel: list[float], b
 
 def correlate(df: DataFrame, keys: list[str], lags: int, norm: str = "none") -> DataFrame:
     """Of columns x and y: (keys, lag, r), r = sum x[n] y[n + lag] for lags -lags … lags; norms none, biased, unbiased, coefficient."""
+    return normed(lag_sums(df, keys, lags), keys, lags, norm)
+
+
+def lag_sums(df: DataFrame, keys: list[str], lags: int) -> DataFrame:
+    """keys, n, xx, yy, and the sums r0 … of all lags: one pass, whatever norms are taken of them."""
     w = _along(keys)
     shifted = df.select(*keys, "x", "y", *(F.lag("y", -lag).over(w).alias(f"y{i}") for i, lag in enumerate(range(-lags, lags + 1))))
-    sums = shifted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy"), *(F.coalesce(F.sum(F.col("x") * F.col(f"y{i}")), F.lit(0.0)).alias(f"r{i}") for i in range(2 * lags + 1)))
+    return shifted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy"), *(F.coalesce(F.sum(F.col("x") * F.col(f"y{i}")), F.lit(0.0)).alias(f"r{i}") for i in range(2 * lags + 1)))
+
+
+def normed(sums: DataFrame, keys: list[str], lags: int, norm: str) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"r{i}").alias("r")) for i, lag in enumerate(range(-lags, lags + 1))])).alias("e")
     long = sums.where(F.col("n") > lags).select(*keys, "n", "xx", "yy", each).select(*keys, "n", "xx", "yy", "e.lag", "e.r")
     scale = {"none": F.lit(1.0), "biased": F.col("n"), "unbiased": F.col("n") - F.abs("lag"), "coefficient": F.sqrt(F.col("xx") * F.col("yy"))}[norm]
@@ -179,14 +189,15 @@ def monotone_tangents(t: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def interpolate_smooth(df: DataFrame, keys: list[str], t: str, x: str, step: float, kind: str = "monotone") -> DataFrame:
-    """Cubic (natural) or monotone Hermite values at the multiples of `step`; a series a row of the kernel's batch."""
+    """Cubic (natural) or monotone Hermite values at the multiples of `step`; a series a row of the kernel's batch, which stays in Arrow's
+    arrays (as Python objects it would take some twenty times as much memory)."""
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x")))).alias("s"))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, r in batch.iterrows():
-                a, b = np.array([p["t"] for p in r["s"]], float), np.array([p["x"] for p in r["s"]], float)
+            for row, s in enumerate(batch.column("s")):
+                a, b = (s.values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("t", "x"))
                 at = np.arange(math.ceil(a[0] / step), math.floor(a[-1] / step) + 1) * step
                 if len(a) == 1:
                     y = np.full(len(at), b[0])
@@ -199,9 +210,10 @@ def interpolate_smooth(df: DataFrame, keys: list[str], t: str, x: str, step: flo
                     else:
                         m = monotone_tangents(a, b)
                         y = (1 + 2 * u) * (1 - u) ** 2 * b[i] + u * (1 - u) ** 2 * h * m[i] + u**2 * (3 - 2 * u) * b[i + 1] + u**2 * (u - 1) * h * m[i + 1]
-                yield pd.DataFrame({k: r[k] for k in keys} | {"t": at, "y": y})
+                own = {k: batch.column(k).take(pa.array(np.full(len(at), row))) for k in keys}
+                yield pa.RecordBatch.from_pydict({**own, "t": at, "y": y})
 
-    return rows.mapInPandas(each, f"{kinds}, t double, y double")
+    return rows.mapInArrow(each, f"{kinds}, t double, y double")
 
 
 # ---- wavelets
@@ -328,13 +340,19 @@ def q_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_series(spark, sf_dir).withColumn("y", F.col("x") * F.when(F.col("idx") % 2 == 0, 1.0).otherwise(-0.5))
+    return _paired(user_series(spark, sf_dir))
+
+
+def _paired(s: DataFrame) -> DataFrame:
+    return s.withColumn("y", F.col("x") * F.when(F.col("idx") % 2 == 0, 1.0).otherwise(-0.5))
 
 
 def q_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    """All norms of one table of sums, written once; the events are dealt by users over all cores, so that no task sorts more than a part."""
+    events = spread(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id")
+    sums, out = staged(lag_sums(_paired(series(events, ["user_id"], ["ts", "event_id"], "value")), ["user_id"], 2), "lag-sums"), None
     for norm in ("none", "biased", "unbiased", "coefficient"):
-        part = correlate(_two(spark, sf_dir), ["user_id"], 2, norm).select("user_id", "lag", F.lit(norm).alias("norm"), F.round("r", 5).alias("r"))
+        part = normed(sums, ["user_id"], 2, norm).select("user_id", "lag", F.lit(norm).alias("norm"), F.round("r", 5).alias("r"))
         out = part if out is None else out.unionByName(part)
     return out
 
