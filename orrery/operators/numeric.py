@@ -116,12 +116,12 @@ def adaptive(rows: DataFrame, key: str, lo: str, hi: str, f: Unary, tolerance: f
     points = [(s * x, w, GAUSS[i // 2] if i % 2 == 1 else 0.0) for i, (x, w) in enumerate(KRONROD) for s in ((1, -1) if x else (1,))]
     half, mid = (F.col("b") - F.col("a")) / 2, (F.col("b") + F.col("a")) / 2
     # the values are an array of their own, so that both sums are plain products of its cells
-    values = let(lambda half, mid: F.transform(F.transform(F.array(*[F.lit(x) for x, _, _ in points]), lambda x: mid + half * x), f), half, mid)
-    kronrod, gauss = (sum((F.col("y")[i] * w for i, w in enumerate(ws) if w), F.lit(0.0)) for ws in ([w for _, w, _ in points], [g for _, _, g in points]))
+    values = let(lambda half, mid: F.transform(F.transform(F.array(*[F.lit(x) for x, _, _ in points]), lambda x: mid + half * x), lambda x: f(x)), half, mid)
+    kronrod, gauss = (sum((F.col("_values")[i] * w for i, w in enumerate(ws) if w), F.lit(0.0)) for ws in ([w for _, w, _ in points], [g for _, _, g in points]))
     opened, done = rows.select(F.col(key), F.col(lo).cast("double").alias("a"), F.col(hi).cast("double").alias("b"), F.lit(tolerance).alias("tol")), None
     for level in range(depth + 1):
-        summed = opened.withColumn("y", values).select(key, "a", "b", "tol", kronrod.alias("k"), gauss.alias("g"))
-        tried = summed.select(key, "a", "b", "tol", (half * F.col("k")).alias("value"), F.abs(half * (F.col("k") - F.col("g"))).alias("error")).cache()
+        summed = opened.withColumn("_values", values).select(key, "a", "b", "tol", kronrod.alias("_kronrod"), gauss.alias("_gauss"))
+        tried = summed.select(key, "a", "b", "tol", (half * F.col("_kronrod")).alias("value"), F.abs(half * (F.col("_kronrod") - F.col("_gauss"))).alias("error")).cache()
         fine = tried if level == depth else tried.where(F.col("error") <= F.col("tol"))
         done = fine.select(key, "value") if done is None else done.unionByName(fine.select(key, "value"))
         rest = tried.where(F.col("error") > F.col("tol"))
