@@ -7,10 +7,12 @@ hashed shingles; texts that share a key are candidates, which a pair of similari
 candidates that agree in fewer than `AGREE` are no pairs (at 0.8 that is four standard deviations off; texts that share just a passage
 fail). Pairs of different groups are verified by their whole shingle sets, in rounds: first the members of each list with the one nearest
 to the list's majority of bits, the least edited of a group of copies; then, where groups still differ, each group's `CLOSEST` pairs in
-each of its lists, `TURNS` times. So pairs grow with the texts, not with the square of a group's size. All of a list are compared by
-sketch in the later rounds; one of more than `LONG` members is dealt anew there, by pairs of band keys (two texts of similarity 0.8
-share two keys or more with a probability of 0.98). What can be lost is a group of texts none of whose 16 to 320 closest others passes
-while a farther one would; README gives the recall measured against all pairs. The links join SimHash's groups.
+each of its lists, `TURNS` times. These rounds join most, so that little is left for the last, which tests every pair of each list: the
+members that have a candidate in another group meet with their whole sets, and only links between groups leave the task. So rows grow
+with the texts, not with the square of a group's size, and no candidate is left out. A text that shares fewer than 8 in 10 of its
+shingles with other groups of the list has no similar text there, which ends most of that work. In the last round a list of more than
+`LONG` members (or `WEIGHT` shingles) goes over cells of two blocks each, so that every pair of groups meets in bounded memory; in the
+rounds before it is dealt by pairs of band keys. The links join SimHash's groups.
 
 Texts are known by 64 bits of hash, shingles too. A text of fewer than five words is one shingle. Defined results: null text has no words
 and, like all such texts, the fingerprint zero; rows without an id count for no minimum; repeated rows are returned each by
@@ -24,19 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.common import HOT_SHARE, skew_safe_left_join, staged, text_of
-from orrery.llm.simhash import components, fingerprint, rooted, shingle_hashes
+from orrery.llm.simhash import Merger, components, fingerprint, rooted, shingle_hashes
 
 SHINGLE = 5
 #: The least similarity, in tenths.
 TENTHS = 8
 BANDS, ROWS, AGREE, LONG, BLOCK, SPREAD = 20, 6, 95, 1 << 14, 1 << 9, 1 << 11
-#: Pairs that a group of texts takes from each list, in each of TURNS turns.
-CLOSEST, TURNS = 8, 2
+#: Pairs that a group of texts takes from each list, in each of TURNS turns, before all pairs are tested.
+CLOSEST, TURNS = 8, 1
+#: Shingles that meet in a task at once, in the test of all pairs.
+WEIGHT = 1 << 21
 _RANDOM = np.random.default_rng(5)
 _FACTORS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _TERMS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -165,6 +169,118 @@ def _pairs(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Record
         yield ready()
 
 
+def partners(members: list[np.ndarray]) -> np.ndarray:
+    """Which members have a candidate of another root. Of two roots one isn't the list's largest, so its own pairs aren't formed."""
+    n, found = len(members[0]), np.zeros(len(members[0]), bool)
+    _, root, sizes = np.unique(members[1], return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(root != sizes.argmax())
+    for i in range(0, len(outside), BLOCK):
+        at = outside[i : i + BLOCK]
+        one = [c[at, None] for c in members]
+        for j in range(0, n, BLOCK):
+            good = fit(one, [c[None, j : j + BLOCK] for c in members])
+            found[at] |= good.any(1)
+            found[j : j + BLOCK] |= good.any(0)
+    return found
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, text) of the members that `partners` finds; lists of the same such members are one unit."""
+    for members in lists(batches):
+        if (members[1] == members[1][0]).all():
+            continue
+        hashes = members[0][partners(members)]
+        if len(hashes):
+            unit = xxhash.xxh64_intdigest(np.sort(hashes).tobytes()) - 2**63
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), unit)), pa.array(hashes)], ["unit", "hash"])
+
+
+def alike(root: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (hi, lo) of the roots that have similar texts, of all pairs of texts with sets of `sizes` that lie one after another
+    in `values`."""
+    names, place = np.unique(root, return_inverse=True)
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    _, token = np.unique(values, return_inverse=True)
+    alive, shared = np.ones(len(sizes), bool), sizes
+    for _ in range(4):  # a bound: what a text shares with other roots; each text without a partner lowers that of others
+        use = alive[owner]
+        least, most = np.full(len(token) + 1, len(names)), np.full(len(token) + 1, -1)
+        np.minimum.at(least, token[use], place[owner[use]])
+        np.maximum.at(most, token[use], place[owner[use]])
+        shared = np.bincount(owner[use & (least[token] != most[token])], minlength=len(sizes))
+        fewer = alive & (10 * shared >= TENTHS * sizes)
+        if (fewer == alive).all():
+            break
+        alive = fewer
+    merger, hi, lo = Merger(len(names)), [], []
+    rest = np.flatnonzero(alive)
+    if not len(rest):
+        return names[:0], names[:0]
+    main = np.bincount(place[rest]).argmax()
+    rest = np.concatenate([rest[place[rest] != main], rest[place[rest] == main]])  # each pair of two roots has its first text outside the largest
+    marked = np.zeros(len(token) + 1, bool)
+    for i, x in enumerate(rest[: int((place[rest] != main).sum())]):
+        y = rest[i + 1 :]
+        both = sizes[x] + sizes[y]
+        y = y[(merger.label[place[x]] != merger.label[place[y]]) & (10 * np.minimum(sizes[x], sizes[y]) >= TENTHS * np.maximum(sizes[x], sizes[y])) & ((10 + TENTHS) * np.minimum(shared[x], shared[y]) >= TENTHS * both)]
+        if not len(y):
+            continue
+        mine = token[starts[x] : starts[x] + sizes[x]]
+        marked[mine] = True
+        ends = np.cumsum(sizes[y])
+        common = np.add.reduceat(marked[token[np.arange(ends[-1]) + np.repeat(starts[y] - (ends - sizes[y]), sizes[y])]], ends - sizes[y], dtype=np.int64)
+        marked[mine] = False
+        y = y[10 * common >= TENTHS * (sizes[x] + sizes[y] - common)]
+        a, b = np.full(len(y), place[x]), place[y]
+        new = merger.add(a, b)
+        hi.append(np.maximum(names[a[new]], names[b[new]]))
+        lo.append(np.minimum(names[a[new]], names[b[new]]))
+    return np.concatenate([names[:0], *hi]), np.concatenate([names[:0], *lo])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (hi, lo) of each whole unit of batches (unit, root, set) sorted by unit."""
+
+    def of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, sets = (np.concatenate([p.column(1).to_numpy() for p in parts]), [p.column(2) for p in parts])
+        if len(root) > 1 and (root != root[0]).any():
+            hi, lo = alike(root, np.concatenate([s.value_lengths().to_numpy() for s in sets]).astype(np.int64), np.concatenate([s.flatten().to_numpy() for s in sets]))
+            if len(hi):
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["hi", "lo"])
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if kept and kept[0].column(0)[0].as_py() != unit[begin]:
+                yield from of(kept)
+                kept = []
+            kept.append(batch.slice(begin, end - begin))
+    if kept:
+        yield from of(kept)
+
+
+def celled(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """`rows(key, hash, root, ...)` with the lists of more than `most` in all weights dealt over cells of about that much. A list's rows
+    outside its largest root are cut into blocks, and so are all its rows; a cell is a block of each, so every pair of roots meets."""
+    of_roots = rows.groupBy(key, "root").agg(F.sum(weight).alias("weight"))
+    sizes = of_roots.groupBy(key).agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where((F.col("roots") > 1) & (F.col("all") > most))
+    blocks = [F.ceil(2 * x / most).cast("long").alias(n) for x, n in ((F.col("all") - F.col("main.weight"), "ones"), (F.col("all"), "others"))]
+    long = staged(sizes.select(key, "all", F.col("main.root").alias("main"), *blocks), "near-long")
+    if long.isEmpty():
+        return rows
+    marked = skew_safe_left_join(rows, long, key, "all")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j: F.xxhash64(F.col(key), i, j)
+    other = F.transform(upto("ones"), lambda i: cell(i, F.pmod(F.xxhash64("hash"), F.col("others"))))
+    one = F.transform(upto("others"), lambda j: cell(F.pmod(F.xxhash64("hash"), F.col("ones")), j))
+    cells = F.when(F.col("all").isNull(), F.array(key)).when(F.col("root") == F.col("main"), other).otherwise(F.array_union(one, other))
+    return marked.select(F.explode(cells).alias(key), *(c for c in rows.columns if c != key))
+
+
 def posted(texts: DataFrame, whole: bool) -> DataFrame:
     """Postings (key, text, root, n, bits) of the band keys. In the `whole` round members of long lists are posted by pairs of keys."""
     row = ("hash", "root", F.col("sketch")[0].alias("n"), F.col("sketch")[1].alias("bits0"), F.col("sketch")[2].alias("bits1"))
@@ -193,12 +309,17 @@ def with_sets(pairs: DataFrame, sets: DataFrame, hot: DataFrame, side: str) -> D
     return joined.drop("_place", "_hash", "_at")
 
 
+def sets_of(hashes: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(hash, root, set) of the texts with these hashes, staged."""
+    known = texts.select("hash", "root").join(hashes, "hash")
+    once = docs.select(F.xxhash64("text").alias("_hash"), "text").join(known, F.col("_hash") == F.col("hash"))
+    return staged(once.select("hash", "root", shingles(F.col("text")).alias("set")).dropDuplicates(["hash"]), "near-sets")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """(hi, lo): the roots of pairs (a, b) of text hashes that are similar enough. `pairs` and `texts(hash, root)` are staged."""
     ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("uses")), "near-ends")
-    known = texts.select("hash", "root").join(ends.select("hash"), "hash")
-    once = docs.select(F.xxhash64("text").alias("_hash"), "text").join(known, F.col("_hash") == F.col("hash"))
-    sets = staged(once.select("hash", "root", shingles(F.col("text")).alias("set")).dropDuplicates(["hash"]), "near-sets")
+    sets = sets_of(ends.select("hash"), texts, docs)
     total = ends.agg(F.sum("uses")).first()[0] or 0
     hot = ends.where(F.col("uses") >= max(2 * SPREAD, total * HOT_SHARE)).select("hash", F.ceil(F.col("uses") / SPREAD).cast("long").alias("places"))
     both = with_sets(with_sets(pairs, sets, hot, "a"), sets, hot, "b")
@@ -207,6 +328,17 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     return alike.select(F.greatest("root_a", "root_b").alias("hi"), F.least("root_a", "root_b").alias("lo")).where("hi <> lo")
 
 
+def linked_wholly(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(hi, lo): links of all roots that have a similar pair of texts in some list."""
+    postings = celled(posted(texts.where(F.size("sketch") > 0), False), "key", F.lit(1), LONG)
+    ordered = postings.select("key", "hash", "root", "n", "bits0", "bits1").repartition("key").sortWithinPartitions("key", "hash")
+    units = staged(ordered.mapInArrow(_partners, "unit long, hash long").distinct(), "near-units")
+    sets = sets_of(units.select("hash").distinct(), texts, docs)
+    rows = celled(units.join(sets.select("hash", "root", F.size("set").alias("n")), "hash"), "unit", F.col("n"), WEIGHT)
+    whole = rows.select("unit", "hash").join(sets, "hash").select("unit", "root", "set").repartition("unit").sortWithinPartitions("unit")
+    return whole.mapInArrow(_alike, "hi long, lo long")
+
+
 def renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """`rows` with the roots in `joined(hi, lo)` replaced."""
     sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("uses"))
@@ -225,6 +357,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ordered = posted(texts.where(F.size("sketch") > 0), whole).repartition("key").sortWithinPartitions("key", "hash")
         pairs = staged(ordered.mapInArrow(lambda batches, w=whole: _pairs(batches, w), "a long, b long").distinct(), "near-pairs")
         texts = renamed(texts, components(verified(pairs, texts, plain)))
+    texts = renamed(texts, components(linked_wholly(texts, plain)))
     return staged(skew_safe_left_join(prints.select("doc_id", "hash"), texts.select("hash", "copies", "root"), "hash", "copies").select("doc_id", "hash", "root"), "near-groups")
 
 

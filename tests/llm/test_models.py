@@ -232,6 +232,48 @@ def test_long_lists_are_dealt_anew(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == {i: min(k for k, x in enumerate(label) if x == root) for i, root in enumerate(label)}
 
 
+def test_a_similar_text_behind_many_closer_ones_is_found(spark):
+    """The one text similar to text 1 is text 2, whose sketch is farther from it than those of more than CLOSEST others in each of their lists."""
+    words = [f"b20w{i}" for i in range(200)]
+    apart = [*words[:90], *(f"x20w{i}" for i in range(20)), *words[110:]]
+    rows = [words, apart, words[:107] + apart[107:], *([*words[:93], *(f"d20w{k}v{i}" for i in range(12)), *words[105:]] for k in range(100))]
+    texts = [" ".join(r) for r in rows]
+    assert brute_copies(texts) == [0] * len(texts) and set(brute_copies(texts[:2] + texts[3:])) == {0, 1}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in nearcopies.near_copies(docs).collect()} == {0}
+
+
+def test_all_pairs_of_a_unit_are_tested():
+    rng = np.random.default_rng(1)
+    for n in (2, 7, 30, 40):
+        bases, sets = rng.integers(-(2**62), 2**62, (3, 60)), []
+        for _ in range(n):
+            at = rng.choice(60, rng.integers(0, 16), False)
+            mixed = bases[rng.integers(0, 3)].copy()
+            mixed[at] = bases[rng.integers(0, 3)][at] if rng.random() < 0.5 else rng.integers(-(2**62), 2**62, len(at))
+            sets.append(np.unique(mixed[: rng.integers(50, 61)]))
+        root = rng.integers(0, n // 2 + 1, n) - 3
+        similar = [(root[i], root[j]) for i, j in combinations(range(n), 2) if 10 * len(shared := np.intersect1d(sets[i], sets[j])) >= 8 * (len(sets[i]) + len(sets[j]) - len(shared))]
+        joined = []
+        for links in (similar, list(zip(*nearcopies.alike(root, np.array([len(s) for s in sets]), np.concatenate(sets)), strict=True))):
+            label = {r: r for r in root.tolist()}
+            for a, b in links:
+                label = {r: min(label[a], label[b]) if x in (label[a], label[b]) else x for r, x in label.items()}
+            joined.append(label)
+        assert joined[0] == joined[1]
+
+
+def test_cells_let_every_pair_of_roots_meet(spark):
+    rows = [(1, i, i // 12) for i in range(30)] + [(2, i, 0) for i in range(30)] + [(3, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "key long, hash long, root long")
+    cells = {}
+    for r in nearcopies.celled(df, "key", F.lit(1), 8).collect():
+        cells.setdefault(r["key"], []).append((r["hash"], r["root"]))
+    assert len(cells[2]) == 30 and len(cells[3]) == 4 and max(len(v) for k, v in cells.items() if k != 2) <= 20
+    met = {(a, b) for k, v in cells.items() if k not in (2, 3) for (a, _), (b, _) in combinations(sorted(v), 2)}
+    assert met >= {(i, j) for i, j in combinations(range(30), 2) if i // 12 != j // 12}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(100)] + [(501, 500)], "hi long, lo long")
     assert {(r["hi"], r["lo"]) for r in simhash.components(links).collect()} == {(i + 1, 0) for i in range(100)} | {(501, 500)}
